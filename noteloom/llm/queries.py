@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from noteloom.llm.bpe import op1_bpe
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noteloom.llm.sharding import op3_sharding
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
 }

@@ -3,13 +3,16 @@
 from noteloom.llm.bpe import op1_bpe
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noteloom.llm.sharding import op3_sharding
+from noteloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op10_warc": OP10_SQL,
 }

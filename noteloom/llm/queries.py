@@ -2,12 +2,14 @@
 
 from noteloom.llm.bpe import op1_bpe
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
 from noteloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
+    "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_warc": op10_warc,
 }

@@ -2,6 +2,7 @@
 
 from noteloom.llm.bpe import op1_bpe
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from noteloom.llm.fingerprint import op7_fingerprint
 from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
 from noteloom.llm.warc import OP10_SQL, op10_warc
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fingerprint": op7_fingerprint,
     "op10_warc": op10_warc,
 }
 

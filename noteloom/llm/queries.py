@@ -5,6 +5,7 @@ from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noteloom.llm.fingerprint import op7_fingerprint
 from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
+from noteloom.llm.toxicity import op9_toxicity
 from noteloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprint": op7_fingerprint,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 

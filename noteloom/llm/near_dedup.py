@@ -8,9 +8,9 @@ fewer than 6 of 32 coordinates with probability 1e-7.
 
 Lists are never expanded into all pairs:
 1. In each list every class is checked against the list's smallest class; links join components.
-2. A list whose classes now lie in one component has nothing left to find. Where few (at most MINORITY)
-   lie outside the list's largest component, these are checked against the list. Any other list is posted
-   again under a further coordinate (a pair must agree in MATCHES of them), which splits it; after
+2. A list whose classes now lie in one component has nothing left to find. Where few (at most MINORITY, or
+   FEW_PAIRS by the list's length) lie outside the list's largest component, these are checked against
+   the list. Any other list is posted again under a further coordinate (a pair must agree in MATCHES of them), which splits it; after
    MATCHES coordinates its pairs are true candidates and all of those across components are checked.
 Checks are exact, on full sets, and need agreement in MATCHES coordinates first.
 
@@ -37,6 +37,7 @@ COORDINATES = 32
 FOLD = 3
 MATCHES = 6
 MINORITY = 8
+FEW_PAIRS = 1024
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -195,15 +196,17 @@ def across(lists: DataFrame, minority: int, matches: int) -> DataFrame:
     while True:
         shares = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         sums = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-        open_ = stored(sums.filter("comps > 1").select("key", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.n")).alias("others")), "open")
+        others = F.col("n") - F.col("top.n")
+        few_ = (others <= minority) | (others * F.col("n") <= FEW_PAIRS * F.lit(minority > 0).cast("int"))
+        open_ = stored(sums.filter("comps > 1").select("key", F.col("top.comp").alias("top"), few_.alias("few")), "open")
         held = stored(lists.join(open_, "key"), "held")
         last = F.col("depth") >= matches
-        few = held.filter((F.col("others") <= minority) | last)
+        few = held.filter(F.col("few") | last)
         outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"))
         pairs = few.select("key", F.col("cls").alias("a"), "comp", "top").join(outside, "key").filter(F.col("comp") != F.col("of"))
         pairs = stored(_ordered(pairs.select("a", "b")), "across")
         found = pairs if found is None else found.union(pairs)
-        many = held.filter((F.col("others") > minority) & ~last)
+        many = held.filter(~F.col("few") & ~last)
         if many.isEmpty():
             return found.distinct()
         room = COORDINATES - matches + 1 + F.col("depth")  # a later place leaves too few coordinates to agree in

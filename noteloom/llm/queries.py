@@ -3,6 +3,7 @@
 from noteloom.llm.bpe import op1_bpe
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noteloom.llm.fingerprint import op7_fingerprint
+from noteloom.llm.mixing import op8_mixing
 from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
 from noteloom.llm.toxicity import op9_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprint": op7_fingerprint,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }

@@ -7,10 +7,10 @@ COORDINATES - MATCHES + 1 (the prefix), so only those are posted. At similarity
 fewer than 6 of 32 coordinates with probability 1e-7.
 
 Lists are never expanded into all pairs:
-1. In each list every class is checked against the list's smallest class; links join components.
+1. In each list every class is checked against the list's smallest and largest class; links join components.
 2. A list whose classes now lie in one component has nothing left to find. Where few (at most MINORITY, or
    FEW_PAIRS by the list's length) lie outside the list's largest component, these are checked against
-   the list. Any other list is posted again under a further coordinate (a pair must agree in MATCHES of them), which splits it; after
+   the list (a linear or constant number of pairs for each list). Any other list is posted again under a further coordinate (a pair must agree in MATCHES of them), which splits it; after
    MATCHES coordinates its pairs are true candidates and all of those across components are checked.
 Checks are exact, on full sets, and need agreement in MATCHES coordinates first.
 
@@ -37,7 +37,7 @@ COORDINATES = 32
 FOLD = 3
 MATCHES = 6
 MINORITY = 8
-FEW_PAIRS = 1024
+FEW_PAIRS = 1 << 16
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -229,9 +229,10 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, minori
     classes = stored(classes, "classes")
     prefix = F.slice("sig", 1, COORDINATES - matches + 1)
     posted = classes.select("cls", F.posexplode(prefix).alias("at", "value")).select("cls", "at", F.xxhash64("at", "value").alias("key"))
-    heads = posted.groupBy("key").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    heads = posted.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).filter("head < tail")
     lists = stored(posted.join(heads, "key"), "lists")
-    first = verified(_ordered(lists.select(F.col("head").alias("a"), F.col("cls").alias("b"))), classes, docs, similarity, matches)
+    stars = lists.select(F.explode(F.array("head", "tail")).alias("a"), F.col("cls").alias("b"))
+    first = verified(_ordered(stars), classes, docs, similarity, matches)
     comps = stored(components(classes, first), "components")
     full = lists.select("key", "cls", "at").join(comps, "cls").join(classes.select("cls", "sig"), "cls").withColumn("depth", F.lit(1))
     rest = verified(across(full, minority, matches), classes, docs, similarity, matches)

@@ -53,14 +53,14 @@ def test_families_with_chains_and_a_common_passage(spark, minority):
     rows, n = [], 0
     for size in (40, 90, 200):
         base = pick.choices(words, k=size)
-        for _ in range(25):
+        for _ in range(12):
             copy = list(base)
             for _ in range(pick.randrange(4)):
                 copy[pick.randrange(size)] = "edit%d" % pick.randrange(1000)
             rows.append((n, " ".join(copy)))
             n += 1
             base = copy if pick.random() < 0.3 else base
-    for _ in range(80):
+    for _ in range(30):
         rows.append((n, " ".join(pick.choices(words, k=pick.randrange(5, 60)) + passage)))
         n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

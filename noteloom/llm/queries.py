@@ -6,6 +6,7 @@ from noteloom.llm.fingerprint import op7_fingerprint
 from noteloom.llm.mixing import op8_mixing
 from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
+from noteloom.llm.suffix_dedup import op4_suffix_dedup
 from noteloom.llm.suffix_tree import op2_lm_score
 from noteloom.llm.toxicity import op9_toxicity
 from noteloom.llm.warc import OP10_SQL, op10_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
     "op3_sharding": op3_sharding,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprint": op7_fingerprint,

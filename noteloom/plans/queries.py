@@ -401,15 +401,6 @@ def media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.regexp_replace("folder", "^lecture_id=", "").alias("lecture_id"), "no", "bytes")
 
 
-@query("text_pair_scan", duck("fx_pairs") + " SELECT source_id, candidate, source_text, candidate_text FROM fx_pairs WHERE source_id % 10 = source_id % 10")
-def text_pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, pairs = folder(spark, "pairs"), fixture(spark, sf_dir, "fx_pairs")
-    pairs.filter("candidate = 'same'").select("source_id", F.col("source_text").alias("value")).write.partitionBy("source_id").text(f"{base}/sources")
-    pairs.select("source_id", "candidate", F.col("candidate_text").alias("value")).write.partitionBy("source_id", "candidate").text(f"{base}/candidates")
-    out = readers.text_pair_scan(spark, f"{base}/sources", f"{base}/candidates")
-    return out.withColumns({c: F.regexp_replace(c, "\n$", "") for c in ("source_text", "candidate_text")})
-
-
 @query("template_scan", "SELECT concat('part-', item_id) AS name, text AS body FROM benchmark")
 def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "templates")

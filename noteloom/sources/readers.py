@@ -25,7 +25,7 @@ def srt_cues(texts: DataFrame) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row per file of a folder tree."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def partition_value(path, name: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
@@ -487,9 +487,7 @@ def call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixture(spark, sf_dir, "fx_status")
     stream = streams.file_stream(spark, in_time_order(events, "ts"), events.schema)
-    rows = streams.run_once(streams.status_fold_stream(stream), "update", folder(spark, "fold"))
-    rest = ["seq", "stage", "progress_pct", "result_path", "error"]
-    return rows.groupBy("task_id").agg(F.max_by(F.struct(*rest), "batch").alias("row")).select("task_id", "row.*")
+    return streams.run_once(streams.status_fold_stream(stream), "update", folder(spark, "fold"), "task_id")
 
 
 @query("call_rate_stream", D_RATE)
@@ -510,9 +508,49 @@ def asr_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_once(streams.asr_ingest_stream(chunks), "append", folder(spark, "words"))
 
 
-# ---- described in the reference's design only ----
+# ---- further operators on notes, reviews and versions ----
 on("low_confidence", "events", lambda d: ev.low_spans(d.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "value"), 20.0),
    "WITH r AS (SELECT user_id AS task_id, event_id AS seq, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), l AS (SELECT *, rn - row_number() OVER (PARTITION BY task_id ORDER BY seq) AS g FROM r WHERE value < 20) SELECT task_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM l GROUP BY task_id, g")
 on("review_stats", "events", lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.floor(F.col("value")) % 5 + 1), 9).alias("mean_stars")), "SELECT user_id, count(*) AS n, round(avg(CAST(floor(value) AS BIGINT) % 5 + 1), 9) AS mean_stars FROM events GROUP BY user_id")
 on("latest_version", "fx_status", lambda d: d.groupBy("task_id").agg(F.max_by("stage", F.struct("ts", "seq")).alias("stage"), F.max("ts").alias("ts")), S + " SELECT task_id, arg_max_null(stage, (ts, seq)) AS stage, max(ts) AS ts FROM fx_status GROUP BY task_id")
 on("lecture_filter", "documents", lambda d: d.filter("lang = 'en' AND n_chars > 1000").join(d.filter("source = 'src1'").select("lang").distinct(), "lang", "left_semi").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars > 1000 AND lang IN (SELECT lang FROM documents WHERE source = 'src1')")
+
+
+@query("photo_section_asof", duck("fx_sections", "fx_calls") + """ SELECT c.call_id AS photo_id, c.key_id, s.lecture_id, s.section_no FROM fx_calls c ASOF JOIN fx_sections s
+ ON s.lecture_id = CAST(c.prompt_id % 100 AS VARCHAR) AND c.call_id % 4000 >= s.start_s""")
+def photo_section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that has begun last when a photo was taken: both sides in one stream of time per lecture, carried forward."""
+    calls = fixture(spark, sf_dir, "fx_calls")
+    photos = calls.select((F.col("prompt_id") % 100).cast("string").alias("lecture_id"), (F.col("call_id") % 4000).cast("double").alias("at"), F.lit(1).alias("kind"), F.col("call_id").alias("photo_id"), "key_id", F.lit(None).cast("int").alias("section_no"))
+    starts = fixture(spark, sf_dir, "fx_sections").select("lecture_id", F.col("start_s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("key_id"), "section_no")
+    w = Window.partitionBy("lecture_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = photos.unionByName(starts).withColumn("section_no", F.last("section_no", ignorenulls=True).over(w))
+    return rows.filter("kind = 1 AND section_no IS NOT NULL").select("photo_id", "key_id", "lecture_id", "section_no")
+
+
+@query("note_search", f"""WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({d_tokens('text')}) AS token FROM documents) GROUP BY ALL),
+ q AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest({d_tokens('text')}) AS token FROM benchmark)), n AS (SELECT count(*) AS n_all FROM documents),
+ d AS (SELECT token, ln(CAST(n_all AS DOUBLE) / count(*)) AS idf FROM t, n GROUP BY token, n_all),
+ x AS (SELECT item_id, doc_id, round(sum(tf * idf), 6) AS score FROM q JOIN t USING (token) JOIN d USING (token) GROUP BY ALL)
+ SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 10""")
+def note_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each query text by summed TF-IDF of its terms."""
+    docs = table(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.explode(s.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("token"))
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
+    idf = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n_all") / F.col("df")).alias("idf"))  # n: one row
+    hits = asked.join(idf, "token").join(terms, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return hits.withColumn("rank", rank).filter("rank <= 10")
+
+
+@query("qa_attempts", C + """, x AS (SELECT prompt_id, attempt, model_rank, call_id, (call_id * 37) % 100 AS score FROM fx_calls),
+ g AS (SELECT prompt_id, arg_min(call_id, (attempt, model_rank, call_id)) FILTER (WHERE score >= 60) AS good, arg_max(call_id, (attempt, model_rank, call_id)) AS last FROM x GROUP BY prompt_id)
+ SELECT prompt_id, coalesce(good, last) AS call_id, good IS NULL AS flagged FROM g""")
+def qa_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first attempt whose score reaches the threshold, else the last one, flagged."""
+    order = "struct(attempt, model_rank, call_id)"
+    rows = fixture(spark, sf_dir, "fx_calls").withColumn("score", F.col("call_id") * 37 % 100)
+    best = rows.groupBy("prompt_id").agg(F.expr(f"min_by(call_id, {order}) FILTER (WHERE score >= 60)").alias("good"), F.expr(f"max_by(call_id, {order})").alias("last"))
+    return best.select("prompt_id", F.coalesce("good", "last").alias("call_id"), F.isnull("good").alias("flagged"))

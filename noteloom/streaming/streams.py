@@ -40,8 +40,8 @@ def asr_ingest_stream(chunks: DataFrame) -> DataFrame:
     return tr.chunk_offset(tr.word_filter(rows))
 
 
-def upsert(target: str, key: str, order: str):
-    """For foreachBatch in update mode: each batch is one folder of a table; read with latest()."""
+def put_batch(target: str):
+    """For foreachBatch in update mode: each batch is one folder of a table, so a batch that is run again replaces itself. Read with latest()."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id:09d}")
@@ -50,18 +50,18 @@ def upsert(target: str, key: str, order: str):
 
 
 def latest(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The last written row of each key of a folder that upsert() wrote."""
+    """The last written row of each key of a folder that put_batch() wrote."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(target)
     rest = [c for c in rows.columns if c not in (key, "batch")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(key, "row.*")
 
 
-def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Run a stream over what is there and give its rows as a table. In update mode the caller folds them by key."""
+def run_once(df: DataFrame, mode: str, folder: str, key: str | None = None) -> DataFrame:
+    """Run a stream over what is there and give its rows as a table; in update mode the latest row of each key."""
     spark, out = df.sparkSession, f"{folder}/out-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state-{uuid.uuid4().hex}")
     if mode == "update":
-        writer.foreachBatch(upsert(out, "", "")).start().awaitTermination()
-    else:
-        writer.format("parquet").option("path", out).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out) if mode != "update" else spark.read.option("recursiveFileLookup", "true").parquet(out)
+        writer.foreachBatch(put_batch(out)).start().awaitTermination()
+        return latest(spark, out, key)
+    writer.format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)

@@ -7,11 +7,13 @@ COORDINATES - MATCHES + 1 (the prefix), so only those are posted. At similarity
 fewer than 6 of 32 coordinates with probability 1e-7.
 
 Lists are never expanded into all pairs:
-1. In each list every class is checked against the list's smallest and largest class; links join components.
-2. A list whose classes now lie in one component has nothing left to find. Where few (at most MINORITY, or
-   FEW_PAIRS by the list's length) lie outside the list's largest component, these are checked against
-   the list (a linear or constant number of pairs for each list). Any other list is posted again under a further coordinate (a pair must agree in MATCHES of them), which splits it; after
-   MATCHES coordinates its pairs are true candidates and all of those across components are checked.
+1. In each list every class is checked against the list's smallest class and against its hub, the class whose
+   coordinates are the most frequent (copies of one text differ least from it); links join components.
+2. A list whose classes now lie in one component has nothing left to find. In the others, classes outside the
+   list's largest component are checked against the list, but only pairs that can still reach the similarity
+   by their sizes and by the shingles that no other open class has: such shingles are never shared.
+3. A list where that could be more than FEW_PAIRS comparisons is posted again under a further coordinate
+   (a pair must agree in MATCHES of them), which splits it; after MATCHES coordinates its pairs are checked.
 Checks are exact, on full sets, and need agreement in MATCHES coordinates first.
 
 Defined results: null or blank text has the empty set, links with nothing and stays; equal texts and
@@ -36,8 +38,7 @@ SIMILARITY = (85, 100)
 COORDINATES = 32
 FOLD = 3
 MATCHES = 6
-MINORITY = 8
-FEW_PAIRS = 1 << 16
+FEW_PAIRS = 1 << 22
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -186,39 +187,59 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     return stored(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(similarity), "a long, b long"), "links")
 
 
+def _rows_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, texts in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets = shingle_sets(texts)
+            which = np.repeat(np.array(ids, np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "shingle"])
+
+
+def own_shingles(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, own): how many of its shingles no other wanted class has. Rows that share an id count as one class, so own is never too large."""
+    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls", "left_semi")
+    rows = texts.mapInArrow(_rows_of_sets, "cls long, shingle long")
+    single = rows.groupBy("shingle").agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
 
-def across(lists: DataFrame, minority: int, matches: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components to be checked in lists (key, cls, comp, sig, at, depth)."""
-    found = None
+def across(lists: DataFrame, docs: DataFrame, similarity: tuple[int, int], few_pairs: int, matches: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components to be checked in lists (key, cls, n, comp, sig, at, depth)."""
+    part, whole = similarity
+    found, own = None, None
     while True:
-        shares = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        sums = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-        others = F.col("n") - F.col("top.n")
-        few_ = (others <= minority) | (others * F.col("n") <= FEW_PAIRS * F.lit(minority > 0).cast("int"))
+        shares = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        sums = shares.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+        few_ = (F.col("m") - F.col("top.m")) * F.col("m") <= few_pairs
         open_ = stored(sums.filter("comps > 1").select("key", F.col("top.comp").alias("top"), few_.alias("few")), "open")
         held = stored(lists.join(open_, "key"), "held")
+        if own is None:
+            own = stored(own_shingles(held.select("cls").distinct(), docs), "own")
         last = F.col("depth") >= matches
-        few = held.filter(F.col("few") | last)
-        outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"))
-        pairs = few.select("key", F.col("cls").alias("a"), "comp", "top").join(outside, "key").filter(F.col("comp") != F.col("of"))
+        few = held.filter(F.col("few") | last).join(own, "cls", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+        outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"), F.col("n").alias("nb"), F.col("shared").alias("shared_b"))
+        most = F.least("shared", "shared_b")
+        can = (F.col("comp") != F.col("of")) & (most * whole >= (F.col("n") + F.col("nb") - most) * part)
+        pairs = few.select("key", F.col("cls").alias("a"), "comp", "n", "shared").join(outside.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & can)
         pairs = stored(_ordered(pairs.select("a", "b")), "across")
         found = pairs if found is None else found.union(pairs)
         many = held.filter(~F.col("few") & ~last)
         if many.isEmpty():
             return found.distinct()
         room = COORDINATES - matches + 1 + F.col("depth")  # a later place leaves too few coordinates to agree in
-        again = many.select("key", "cls", "comp", "sig", "depth", F.explode(F.sequence(F.col("at") + 1, F.col("at") + COORDINATES)).alias("next"), room.alias("room"))
+        again = many.select("key", "cls", "n", "comp", "sig", "depth", F.explode(F.sequence(F.col("at") + 1, F.col("at") + COORDINATES)).alias("next"), room.alias("room"))
         again = again.filter(F.col("next") < F.least("room", F.lit(COORDINATES)))
         lists = stored(
-            again.select(F.xxhash64("key", "next", F.col("sig")[F.col("next")]).alias("key"), "cls", "comp", "sig", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")),
+            again.select(F.xxhash64("key", "next", F.col("sig")[F.col("next")]).alias("key"), "cls", "n", "comp", "sig", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")),
             "lists",
         )
 
 
-def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, minority: int = MINORITY, matches: int = MATCHES) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     sketched = stored(_named(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "sketches")
     classes = (
@@ -229,13 +250,15 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, minori
     classes = stored(classes, "classes")
     prefix = F.slice("sig", 1, COORDINATES - matches + 1)
     posted = classes.select("cls", F.posexplode(prefix).alias("at", "value")).select("cls", "at", F.xxhash64("at", "value").alias("key"))
-    heads = posted.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).filter("head < tail")
-    lists = stored(posted.join(heads, "key"), "lists")
-    stars = lists.select(F.explode(F.array("head", "tail")).alias("a"), F.col("cls").alias("b"))
+    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    lists = stored(posted.join(sizes, "key"), "lists")
+    liked = lists.groupBy("cls").agg(F.sum("size").alias("liked"))
+    heads = lists.join(liked, "cls").groupBy("key").agg(F.min("cls").alias("head"), F.max_by("cls", F.struct("liked", "cls")).alias("hub"))
+    stars = lists.join(heads, "key").select(F.explode(F.array_distinct(F.array("head", "hub"))).alias("a"), F.col("cls").alias("b"))
     first = verified(_ordered(stars), classes, docs, similarity, matches)
     comps = stored(components(classes, first), "components")
-    full = lists.select("key", "cls", "at").join(comps, "cls").join(classes.select("cls", "sig"), "cls").withColumn("depth", F.lit(1))
-    rest = verified(across(full, minority, matches), classes, docs, similarity, matches)
+    full = lists.select("key", "cls", "at").join(comps, "cls").join(classes.select("cls", "n", "sig"), "cls").withColumn("depth", F.lit(1))
+    rest = verified(across(full, docs, similarity, few_pairs, matches), classes, docs, similarity, matches)
     comps = stored(components(classes, first.union(rest)), "components")
     named = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "cls").join(comps, "cls").drop("cls")
     out = sketched.drop("sig").join(named, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))

@@ -45,8 +45,8 @@ def test_documents(spark):
     assert result(docs) == plain([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("minority", [0, 8])
-def test_families_with_chains_and_a_common_passage(spark, minority):
+@pytest.mark.parametrize("few_pairs", [2, 1 << 22])
+def test_families_with_chains_and_a_common_passage(spark, few_pairs):
     pick = random.Random(2)
     words = [f"w{k}" for k in range(400)]
     passage = pick.choices(words, k=60)
@@ -64,7 +64,7 @@ def test_families_with_chains_and_a_common_passage(spark, minority):
         rows.append((n, " ".join(pick.choices(words, k=pick.randrange(5, 60)) + passage)))
         n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(df, minority=minority) == plain(rows)
+    assert result(df, few_pairs=few_pairs) == plain(rows)
 
 
 def test_odd_rows(spark):

@@ -37,6 +37,7 @@ WIDTH = LENGTH - 1 + SPREAD  # bytes of the longest run
 SEGMENT = 400_000
 BLOCK_BYTES = 8_000_000
 BATCH = 1 << 14
+RANGE = 1 << 13
 _PLACE = np.uint64((1 << 24) - 1)
 _Q = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,7 +78,9 @@ def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     anchor = (least[at] & _PLACE).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return h[anchor[new]], at[new], np.diff(np.concatenate([new, [len(at)]]))
+    gram = h[anchor[new]]
+    gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)  # anchors have the least hashes; owners need even ones
+    return gram, at[new], np.diff(np.concatenate([new, [len(at)]]))
 
 
 def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,8 +266,22 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
         heads.append(np.column_stack([head, np.full(len(head), int(block))]))
         bodies.append(body)
     head, body = np.concatenate(heads), np.concatenate(bodies)
-    order = np.lexsort((head[:, 2], head[:, 1], head[:, 5], head[:, 0]))
-    head, body = head[order], body[order]
+    order = np.argsort(head[:, 4], kind="stable")
+    gram, spans = head[order, 4], []
+    begin = 0
+    while begin < len(order):  # a range of grams at a time, so that little is held
+        end = int(np.searchsorted(gram, gram[min(begin + RANGE, len(order) - 1)], side="right"))
+        part = order[begin:end]
+        part = part[np.lexsort((head[part, 2], head[part, 1], head[part, 5], head[part, 0]))]
+        spans += _match(head[part], body[part])
+        begin = end
+    found = np.concatenate(spans)
+    rows = [(int(b), found[found[:, 0] == b][:, 1:].tobytes()) for b in np.unique(found[:, 0])]
+    return pd.DataFrame(rows, columns=["block", "spans"]).astype({"block": "int64"})
+
+
+def _match(head: np.ndarray, body: np.ndarray) -> list[np.ndarray]:
+    """Spans (block, row, begin, end) of runs in text order that repeat, wholly or in some windows."""
     seen = np.zeros(len(head), bool)
     family, keys = Family(), np.ascontiguousarray(body).view(f"S{WIDTH + 1}").ravel()
     for k in range(0, len(keys), BATCH):
@@ -287,9 +304,7 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
             spans.append(np.column_stack([head[of[x]][:, [5, 1, 2]], head[of[y], 2]]))
             spans[-1][:, 2] += offset[x]
             spans[-1][:, 3] += offset[y] + LENGTH
-    spans = np.concatenate(spans)
-    rows = [(int(b), spans[spans[:, 0] == b][:, 1:].tobytes()) for b in np.unique(spans[:, 0])]
-    return pd.DataFrame(rows, columns=["block", "spans"]).astype({"block": "int64"})
+    return spans
 
 
 def _remove(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:

@@ -221,10 +221,13 @@ def across(lists: DataFrame, docs: DataFrame, similarity: tuple[int, int], few_p
             own = stored(own_shingles(held.select("cls").distinct(), docs), "own")
         last = F.col("depth") >= matches
         few = held.filter(F.col("few") | last).join(own, "cls", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-        outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"), F.col("n").alias("nb"), F.col("shared").alias("shared_b"))
+        outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"), F.col("n").alias("nb"), F.col("shared").alias("shared_b"), F.col("sig").alias("sig_b"))
         most = F.least("shared", "shared_b")
         can = (F.col("comp") != F.col("of")) & (most * whole >= (F.col("n") + F.col("nb") - most) * part)
-        pairs = few.select("key", F.col("cls").alias("a"), "comp", "n", "shared").join(outside.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & can)
+        # a pair counts in the list of the first coordinates in which it agrees, not in each list that has both
+        before = _agreeing(F.slice("sig", F.lit(1), F.col("at") + 1), F.slice("sig_b", F.lit(1), F.col("at") + 1))
+        can = can & (before == F.col("depth")) & (_agreeing(F.col("sig"), F.col("sig_b")) >= matches)
+        pairs = few.select("key", F.col("cls").alias("a"), "comp", "n", "shared", "sig", "at", "depth").join(outside.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & can)
         pairs = stored(_ordered(pairs.select("a", "b")), "across")
         found = pairs if found is None else found.union(pairs)
         many = held.filter(~F.col("few") & ~last)

@@ -242,8 +242,9 @@ def _block_runs(owners: int):
             for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
                 inside = np.arange(WIDTH) < (head[part, 3] + LENGTH - 1)[:, None]
                 packed = zstandard.ZstdCompressor(level=1).compress(body[part][:, :WIDTH][inside].tobytes())
-                runs = np.column_stack([head[part], g[part].view(np.int64)])
-                out.append(blank | {"block": block, "owner": int(owner[part[0]]), "runs": runs.tobytes(), "bytes": packed})
+                runs = np.ascontiguousarray(np.column_stack([head[part], g[part].view(np.int64)]).T)
+                runs = zstandard.ZstdCompressor(level=1).compress(runs.tobytes())
+                out.append(blank | {"block": block, "owner": int(owner[part[0]]), "runs": runs, "bytes": packed})
         for row, (doc_id, no_id, text, whole) in enumerate(zip(docs["doc_id"], docs["no_id"], docs["text"], texts, strict=True)):
             if row in pending:
                 out.append(blank | {"doc_id": doc_id, "no_id": no_id, "block": block, "row": row, "text": text})
@@ -258,7 +259,7 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one owner: the spans to remove, packed for each block."""
     heads, bodies = [], []
     for block, runs, packed in zip(pdf["block"], pdf["runs"], pdf["bytes"], strict=True):
-        head = np.frombuffer(runs, np.int64).reshape(-1, 5)
+        head = np.frombuffer(zstandard.ZstdDecompressor().decompress(runs), np.int64).reshape(5, -1).T
         body = np.zeros((len(head), WIDTH + 1), np.uint8)
         inside = np.arange(WIDTH) < (head[:, 3] + LENGTH - 1)[:, None]
         body[:, :WIDTH][inside] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)

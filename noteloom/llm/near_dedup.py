@@ -169,10 +169,12 @@ def _agreeing(x: Column, y: Column) -> Column:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, matches: int = MATCHES) -> DataFrame:
     """The links among pairs (a, b): those that agree in enough coordinates and whose full sets are similar enough."""
-    sig = classes.select("cls", "sig")
+    part, whole = similarity
+    sig = classes.select("cls", "sig", "n")
     likely = (
-        pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
+        .join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
+        .filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)  # sets of such sizes can be similar enough
         .filter(_agreeing(F.col("sa"), F.col("sb")) >= matches)
         .select("a", "b")
     )

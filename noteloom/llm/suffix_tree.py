@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over tokens.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end for each text. The tree's root
-is the add-0.1 unigram distribution. Contexts of one or two tokens are candidates if they make up at least
-LEAST_MASS of the training tokens, which bounds their number, and so are next tokens by LEAST_PAIR.
+is the add-0.1 unigram distribution. Contexts of one or two tokens, of all words, are candidates; a next token
+is one if it follows its context LEAST times or more. No bound depends on the size of the corpus.
 A context is retained if its next-token distribution diverges from that of its suffix: its count times
 the Kullback-Leibler divergence must reach DIVERGENCE, over the next tokens that pass a test of their
 own. Their probabilities are discounted; all others have the suffix's, scaled so that all sum to one. A
@@ -10,7 +10,11 @@ token is scored in the state of the longest retained suffix of what precedes it,
 
 Jobs: one pass over the texts writes each block's dictionary and its texts as numbers of that dictionary;
 counts of all words are one aggregation of the dictionaries, and go back to the blocks by a join with them,
-so a word travels once per block and not once per occurrence. The tree has a bounded size and is sent to tasks.
+so a word travels once per block and not once per occurrence. Each block then sends its distinct triples,
+packed, to owners of their last two tokens; an owner sums them and notes which blocks have what reaches LEAST.
+Tests and states are joins and aggregations of the tables of these, and what is retained goes back by the
+owners' notes, so that each block gets the part of the tree that it needs. build_tree() is the same on one
+machine, for tests.
 
 Defined results: null and blank texts are one end token; a null id counts as not held out; repeated rows
 are each counted and scored; without training rows N and V are 0 and scores are those of the root;
@@ -32,12 +36,13 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import stored, table
 
 END = "\n"
-LEAST_MASS = 1e-4
-LEAST_PAIR = 2e-6
+LEAST = 3
 DIVERGENCE = 20.0
 TEST = 6.0
 DISCOUNT = 0.5
 BLOCK_CHARS = 16_000_000
+BLOCK_WORDS = 1_000_000  # the cube of a block's words must fit in 63 bits
+OWNER_TOKENS = 2_000_000
 
 Tree = dict[str, np.ndarray]
 
@@ -72,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed.append(pack(seq.tobytes()))
             sizes.append(len(seq))
             size += len(text or "")
-            full = size > BLOCK_CHARS
+            full = size > BLOCK_CHARS or len(number) > BLOCK_WORDS
             if full or k == len(texts) - 1:
                 n = len(packed)
                 empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
@@ -86,39 +91,148 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield dictionary()
 
 
-def _contexts(symbols: list[str]):
-    """Counts of two and three tokens in a row, all of them among symbols, in training texts; a text begins after an end."""
-    of = {s.encode(): k for k, s in enumerate(symbols)}
-    m = len(symbols)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in held]))
-
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                x = np.array([of[END.encode()], *(of.get(w, -1) for w in tokens(text))], np.int64)
-                pair = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] * m + x[1:], -1)
-                found.append(pair[pair >= 0])
-                triple = np.where((pair[:-1] >= 0) & (x[2:] >= 0), (pair[:-1] + m) * m + x[2:], -1)
-                found.append(triple[triple >= 0])
-                if sum(map(len, found[-200:])) > 2_000_000:
-                    held.append(np.unique(np.concatenate(found), return_counts=True))
-                    found = []
-            if found:
-                held.append(np.unique(np.concatenate(found), return_counts=True))
-            if sum(len(c) for c, _ in held) > 4_000_000:
-                held = [summed()]
-        if held:
-            codes, n = summed()
-            for k in range(0, len(codes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 100_000], pa.int64()), pa.array(n[k : k + 100_000].astype(np.int64))], ["code", "n"])
-
-    return count
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers below 2^32, byte by byte, so that their high bytes shrink."""
+    sides = [np.ascontiguousarray(x, np.uint32) for x in arrays]
+    planes = [x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in sides]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in sides], np.uint32).tobytes() + b"".join(planes))
+
+
+def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(packed), [], 4 * n
+    for size in np.frombuffer(raw, np.uint32, n).tolist():
+        planes = np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64))
+        at += 4 * size
+    return out
+
+
+def _triples(owners: int):
+    """Distinct (a, b, c) in a row in a block's texts, as ids (a is 0 where there is none), with their counts in training."""
+
+    def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        words = words.sort_values("place")
+        ids = words["id"].to_numpy(np.int64)
+        known, rank = np.unique(np.concatenate([[0], ids]), return_inverse=True)
+        m, rank = len(known), rank[1:]
+        texts = [np.frombuffer(unpack(x), np.uint32) for x in docs["numbers"]]
+        seqs = [rank[x] for x in texts]
+        if not seqs:
+            return pd.DataFrame({"owner": [], "block": [], "keys": []})
+        b = np.concatenate([np.concatenate([x[-1:], x[:-1]]) for x in seqs])
+        a = np.concatenate([np.concatenate([[0], x[-1:], x[:-2]])[: len(x)] for x in seqs])
+        c = np.concatenate(seqs)
+        train = np.repeat(~docs["held_out"].to_numpy(bool), [len(x) for x in seqs])
+        both = (b > 0) & (c > 0)
+        code, at = np.unique((b[both] * m + c[both]) * m + a[both], return_inverse=True)
+        n = np.bincount(at, train[both], minlength=len(code)).astype(np.int64)
+        pair, a = code // m, known[code % m]
+        b, c = known[pair // m], known[pair % m]
+        mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        owner = ((mixed >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1) if len(order) else []:
+            begins = np.flatnonzero(np.diff(pair[part], prepend=-1))
+            first = part[begins]
+            out.append((owner[part[0]], docs["of"].iloc[0], _pack(np.diff(b[first], prepend=0), c[first], np.diff(begins, append=len(part)), a[part], n[part])))
+        return pd.DataFrame(out, columns=["owner", "block", "keys"])
+
+    return run
+
+
+GRAMS = "owner long, block long, g long, a long, b long, c long, n long, keys binary"
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes that reach LEAST, and their sums."""
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), minlength=len(found)).astype(np.int64)
+    return found[n >= LEAST], n[n >= LEAST]
+
+
+def _among(wanted: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places in found (sorted) of what is wanted, -1 where it isn't there."""
+    if not len(found):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(found, wanted), len(found) - 1)
+    return np.where(found[at] == wanted, at, -1)
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a is 0) and triples that reach LEAST, numbered by g, and for each block (n is 0) which of them it has."""
+    pairs, counts, more = [], [], []
+    for packed in rows["keys"]:
+        b, c, runs, a, n = _unpack(packed, 5)
+        pairs.append(np.cumsum(b) << 32 | c)
+        counts.append(np.add.reduceat(n, np.cumsum(runs) - runs))
+        more.append((runs, a, n))
+    two, n2 = _summed(pairs, counts)
+    own, codes, counts = [], [], []
+    for pair, (runs, a, n) in zip(pairs, more, strict=True):
+        at = _among(pair, two)
+        each = np.repeat(at, runs)
+        stays = (each >= 0) & (a > 0)
+        own.append(at[at >= 0])
+        codes.append(each[stays] << 32 | a[stays])
+        counts.append(n[stays])
+    three, n3 = _summed(codes, counts)
+    lists = []
+    for at, code in zip(own, codes, strict=True):
+        found = _among(code, three)
+        lists.append(_pack(np.diff(at, prepend=0), np.diff(found[found >= 0], prepend=0)))
+    pair = np.concatenate([two, two[three >> 32]])
+    k, owner = len(pair), rows["owner"].iloc[0]
+    grams = {"owner": owner, "block": -1, "g": np.concatenate([np.arange(len(two)), np.arange(len(three))]), "a": np.concatenate([np.zeros(len(two), np.int64), three & 0xFFFFFFFF]), "b": pair >> 32, "c": pair & 0xFFFFFFFF, "n": np.concatenate([n2, n3])}
+    noted = pd.DataFrame({"owner": owner, "block": rows["block"].to_numpy(), "g": 0, "a": 0, "b": 0, "c": 0, "n": 0, "keys": lists})
+    return pd.concat([pd.DataFrame(grams | {"keys": [None] * k}), noted]) if k else noted
+
+
+def _sent(parts: pd.DataFrame, noted: pd.DataFrame) -> pd.DataFrame:
+    """What of the parts of the tree (kind, g, x, y, z, value) each block has."""
+    sides = {}
+    for kind, own in parts.groupby("kind"):
+        own = own.sort_values("g")
+        sides[kind] = [own[k].to_numpy() for k in ("g", "x", "y", "z", "value")]
+    out = []
+    for block, packed in zip(noted["block"], noted["keys"], strict=True):
+        two, three = (np.cumsum(x) for x in _unpack(packed, 2))
+        for kind, (g, x, y, z, value) in sides.items():
+            at = _among(three if kind == 4 else two, g)
+            at = at[at >= 0]
+            if len(at):
+                out.append((block, kind, _pack(x[at], y[at], z[at]), zstandard.compress(value[at].tobytes(), 1)))
+    return pd.DataFrame(out, columns=["block", "kind", "keys", "floats"])
+
+
+def _states(candidates: DataFrame, context: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """As _grow(): the retained contexts with scale, and their entries with lp. candidates: context, c, n, total, before, owner, g."""
+    expected = F.col("total") * F.col("before")
+    gain = F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
+    p = (F.col("n") - DISCOUNT) / F.col("total")
+    entries = stored(candidates.filter(gain >= TEST).select(*context, "c", "total", "before", p.alias("p"), "owner", "g"), f"{name}-entries")
+    sums = entries.groupBy(*context).agg(F.max("total").alias("total"), F.sum("p").alias("own"), F.sum("before").alias("suffix"), F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).alias("part"))
+    rest, other = F.greatest(1 - F.col("own"), F.lit(1e-9)), 1 - F.least(F.col("suffix"), F.lit(1 - 1e-9))
+    stays = sums.filter(F.col("total") * (F.col("part") + rest * F.log(rest / other)) >= DIVERGENCE)
+    states = stored(stays.select(*context, F.log10(rest / other).alias("scale")), f"{name}-states")
+    return states, entries.join(states, context, "left_semi").select(*context, "c", F.log10("p").alias("lp"), "owner", "g")
+
+
+def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States of one token (id, value), and owner, kind (2: entries after one token, 3: states of two, 4: their entries), g, x, y, z (ids), value."""
+    pairs, threes = grams.filter("n > 0 AND a = 0").drop("block", "keys", "a"), grams.filter("n > 0 AND a > 0").drop("block", "keys")
+    of_c = roots.select(F.col("id").alias("c"), "root")
+    one = pairs.join(roots.select(F.col("id").alias("b"), F.col("seen").alias("total")), "b").join(of_c, "c").withColumn("before", F.pow(F.lit(10.0), "root"))
+    s1, e1 = _states(one, ["b"], "one")
+    e1 = stored(e1, "one-kept")
+    contexts = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"), "owner", "g")
+    two = threes.join(contexts.drop("owner", "g"), ["a", "b"]).join(of_c, "c").join(s1, "b", "left").join(e1.drop("owner", "g"), ["b", "c"], "left")
+    s2, e2 = _states(two.withColumn("before", F.pow(F.lit(10.0), F.coalesce("lp", F.coalesce("scale", F.lit(0.0)) + F.col("root")))), ["a", "b"], "two")
+    zero = F.lit(0).cast("long")
+    part = lambda df, kind, x, y, z, value: df.select("owner", F.lit(kind).alias("kind"), "g", F.col(x).alias("x"), F.col(y).alias("y"), z.alias("z"), F.col(value).alias("value"))
+    parts = part(e1, 2, "b", "c", zero, "lp").unionByName(part(s2.join(contexts, ["a", "b"]), 3, "a", "b", zero, "scale")).unionByName(part(e2, 4, "a", "b", F.col("c"), "lp"))
+    return s1.select(F.col("b").alias("id"), F.col("scale").alias("value")), parts
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -191,19 +305,35 @@ def score(tree: Tree, symbols: np.ndarray, root: np.ndarray, end: int) -> np.nda
     return np.where(np.isnan(entry), scale + one, entry)
 
 
-def _scorer(tree: Tree, total: int, distinct: int, end: int):
+def _scorer(total: int, distinct: int):
     low = np.log10(total + 0.1 * (distinct + 1)) if total else 0.0
 
-    def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
-        words = words.sort_values("place")
-        count, symbol = words["c"].to_numpy(), words["symbol"].to_numpy()
+        kind = rows["kind"].to_numpy()
+        words = rows[kind == 0].sort_values("place")
+        count, ids = words["value"].to_numpy(), words["id"].to_numpy(np.int64)
+        by_id, m = np.argsort(ids), len(count)
+        place = lambda x: by_id[np.searchsorted(ids, x, sorter=by_id)]
+        tree = {"m": np.array(m)}
+        for k, (keys, values) in enumerate((("s1", "scale1"), ("e1", "p1"), ("s2", "scale2"), ("e2", "p2")), 1):
+            own = rows[kind == k]
+            if k == 1:
+                code, value = place(own["id"].to_numpy(np.int64)), own["value"].to_numpy(float)
+            else:
+                sides = [_unpack(x, 3) for x in own["keys"]]
+                x, y, z = (place(np.concatenate([side[i] for side in sides])) if sides and (i < 2 or k == 4) else np.zeros(0, np.int64) for i in range(3))
+                code = x * m + y
+                code = code * m + z if k == 4 else code
+                value = np.frombuffer(b"".join(unpack(x) for x in own["floats"]), float)
+            order = np.argsort(code)
+            tree |= {keys: code[order], values: value[order]}
         root = np.log10(count + 0.1) - low
         out = []
         for packed in docs["numbers"]:
-            seq = np.frombuffer(unpack(packed), np.uint32)
+            seq = np.frombuffer(unpack(packed), np.uint32).astype(np.int64)
             r = root[seq]
-            out.append((int((count[seq] > 0).sum()), float(r.sum()), float(score(tree, symbol[seq], r, end).sum())))
+            out.append((int((count[seq] > 0).sum()), float(r.sum()), float(score(tree, seq, r, seq[-1]).sum())))
         docs = docs.assign(**{k: [x[i] for x in out] for i, k in enumerate(("n_known", "base_score", "score"))})
         return docs[["doc_id", "no_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
 
@@ -219,25 +349,27 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     blocks = stored(rows.mapInArrow(_blocks, "block long, doc_id long, held_out boolean, n_tokens long, numbers binary, place int, word string, n long"), "blocks")
     words = blocks.filter("word IS NOT NULL").select("block", "place", "word", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    often = counts.filter((F.col("c") > 0) & ((F.col("c") >= LEAST_MASS * total) | (F.col("word") == END))).collect()  # at most 1 / LEAST_MASS + 1
-    often = sorted((r.word, r.c) for r in often)
-    symbols, seen = [w for w, _ in often], np.array([c for _, c in often], float)
-    end = symbols.index(END) if END in symbols else 0
-    codes, n = np.zeros(0, np.int64), np.zeros(0)
-    if symbols:
-        pairs = rows.filter(~F.col("held_out")).select("text").mapInArrow(_contexts(symbols), "code long, n long")
-        least = max(3.0, LEAST_PAIR * total)  # at most 1 / LEAST_PAIR of either length
-        found = pairs.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas().sort_values("code")
-        codes, n = found["code"].to_numpy(np.int64), found["n"].to_numpy(float)
-    root = np.log10(seen + 0.1) - (np.log10(total + 0.1 * (distinct + 1)) if total else 0.0)
-    tree = build_tree(codes, n, seen, root) if symbols else build_tree(codes, n, np.ones(1), np.zeros(1))
-    marks = docs.sparkSession.createDataFrame(pd.DataFrame({"word": symbols, "symbol": range(len(symbols))}), "word string, symbol int")
-    valued = words.join(counts.join(F.broadcast(marks), "word", "left"), "word").select("block", "place", "c", F.coalesce("symbol", F.lit(-1)).alias("symbol"))
+    summed = words.groupBy("word").agg(F.sum("n").alias("c")).sortWithinPartitions(F.desc("c"))
+    counts = stored(summed.withColumn("row", F.monotonically_increasing_id()), "counts")
+    part, rank = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
+    total, distinct, parts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(part), F.lit(0)) + 1).first()
+    counts = counts.select("word", "c", F.when(F.col("c") >= LEAST, rank * parts + part + 1).otherwise(0).alias("id"))  # frequent words have small ids
+    valued = stored(words.join(counts, "word").select("block", F.col("place").cast("long").alias("place"), "c", "id"), "valued")
     texts = blocks.filter("numbers IS NOT NULL").select(F.col("block").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "held_out", "n_tokens", "numbers")
-    scored = valued.groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
-        _scorer(tree, total, distinct, end), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    found = valued.select("block", "place", "id").groupBy("block").cogroup(texts.select("of", "held_out", "numbers").groupBy("of"))
+    triples = found.applyInPandas(_triples(total // OWNER_TOKENS + 1), "owner long, block long, keys binary")
+    grams = stored(triples.groupBy("owner").applyInPandas(_counted, GRAMS), "grams")
+    low = F.lit(float(np.log10(total + 0.1 * (distinct + 1))) if total else 0.0)
+    roots = counts.filter("id > 0").select("id", F.col("c").alias("seen"), (F.log10(F.col("c") + 0.1) - low).alias("root"))
+    s1, parts = _tree(grams, roots)
+    noted = grams.filter("n = 0").select(F.col("owner").alias("from"), "block", "keys")
+    sent = parts.groupBy("owner").cogroup(noted.groupBy("from")).applyInPandas(_sent, "block long, kind int, keys binary, floats binary")
+    none = F.lit(None).cast("binary")
+    rows = valued.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), none.alias("keys"), none.alias("floats"))
+    first = valued.filter("id > 0").join(s1, "id").select("block", F.lit(1).alias("kind"), "place", "id", "value", none.alias("keys"), none.alias("floats"))
+    met = sent.select("block", "kind", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("value"), "keys", "floats")
+    scored = rows.unionByName(first).unionByName(met).groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
+        _scorer(total, distinct), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
     return scored.select(doc_id, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

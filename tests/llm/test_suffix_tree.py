@@ -66,3 +66,30 @@ def test_odd_rows(spark):
     twice = st.lm_scores(docs.union(docs)).collect()
     assert len(twice) == 14 and len({(r.doc_id, r.score) for r in twice}) == 7
     assert st.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_rare_contexts_are_in_the_tree(spark):
+    """A context far below a ten-thousandth of the tokens is retained, and scores are those of the tree made on one machine."""
+    pick = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in pick.zipf(1.3, 300) % 5000)) for k in range(400)]
+    rows += [(k, f"{'f ' * 20}rare{k % 9} pair{k % 9} next{k % 9} last{k % 9}") for k in range(400, 480)]
+    train = [cut(x) for i, x in rows if crc32(str(i).encode()) % 10]
+    c = Counter(t for ts in train for t in ts)
+    total = sum(c.values())
+    assert all(c[f"rare{k}"] < 1e-4 * total for k in range(9))
+    words = sorted({t for _, x in rows for t in cut(x)})
+    of, m = {w: k for k, w in enumerate(words)}, len(words)
+    grams = Counter()
+    for ts in train:
+        y = [of[t] for t in ["\n", *ts]]
+        grams.update(a * m + b for a, b in zip(y, y[1:]))
+        grams.update((a * m + b + m) * m + d for a, b, d in zip(y, y[1:], y[2:]))
+    codes = np.array(sorted(k for k, n in grams.items() if n >= 3))
+    counts = np.array([c[w] for w in words], float)
+    root = np.log10(counts + 0.1) - log10(total + 0.1 * (len(c) + 1))
+    tree = st.build_tree(codes, np.array([grams[k] for k in codes], float), counts, root)
+    got = {r.doc_id: r for r in st.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i, x in rows:
+        y = np.array([of[t] for t in cut(x)])
+        assert got[i].score == pytest.approx(st.score(tree, y, root[y], of["\n"]).sum(), rel=1e-9)
+    assert all(got[i].score > got[i].base_score + 6 for i, _ in rows[400:])

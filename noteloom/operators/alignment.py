@@ -55,14 +55,14 @@ def _chain() -> F.Column:
     return F.aggregate("blocks", start, step)["taken"]
 
 
-def word_alignment(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def word_alignment(pairs: DataFrame) -> DataFrame:
     """(source_id, candidate, i, j, n): the matching blocks. pairs: with tokens st and ct."""
     runs = settled(diagonal_runs(token_match_join(pairs)), "runs")
     region = [*KEY, "alo", "ahi", "blo", "bhi"]
     zero = F.lit(0)
     regions = pairs.select(*KEY, zero.alias("alo"), F.size("st").alias("ahi"), zero.alias("blo"), F.size("ct").alias("bhi"))
     out = None
-    for _ in range(most_rounds):
+    while True:
         lo = F.greatest(zero, F.col("alo") - F.col("i0"), F.col("blo") - F.col("j0"))
         hi = F.least(F.col("n"), F.col("ahi") - F.col("i0"), F.col("bhi") - F.col("j0"))
         clipped = regions.join(runs, KEY).withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
@@ -78,8 +78,7 @@ def word_alignment(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
             (x["i"] + x["n"]).alias("alo"), y["i"].alias("ahi"), (x["j"] + x["n"]).alias("blo"), y["j"].alias("bhi")))
         regions = taken.select(*KEY, F.inline(gaps)).filter("ahi > alo AND bhi > blo")
         if taken.isEmpty():
-            break
-    return out
+            return out
 
 
 def alignment_metrics(pairs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -49,3 +49,14 @@ def test_quality_of_known_pairs(spark):
     assert [got[1, c]["rank"] for c in ("same", "short", "other")] == [1, 2, 3]
     assert got[2, "empty"].word_seq_ratio == 1 and got[2, "empty"].compression_pct == 100
     assert got[3, "nothing"].compression_pct == 100 and got[3, "nothing"].readability_score == 36
+
+
+def test_rounds_go_on_until_no_region_is_open(spark, monkeypatch):
+    """A loop over a given number of rounds, here cut to two, would miss the shorter runs."""
+    monkeypatch.setattr(al, "range", lambda n: range(min(n, 2)), raising=False)
+    runs = [[f"r{n}x{k}" for k in range(n)] for n in (5, 4, 3, 2, 1)]
+    a = " ".join(" ".join([*run, f"a{k}"]) for k, run in enumerate(runs))
+    b = " ".join(" ".join([*run, f"b{k}"]) for k, run in enumerate(runs))
+    pairs = al.settled(mt.token_pairs(spark.createDataFrame([(1, "c", 0, a, b)], SCHEMA)), "pairs")
+    got = sorted((r.i, r.j, r.n) for r in al.word_alignment(pairs).collect())
+    assert got == [tuple(x) for x in difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).get_matching_blocks()[:-1]]

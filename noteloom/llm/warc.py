@@ -11,7 +11,8 @@ files at once by pointer jumping: in round k the reached candidates mark those 2
 
 Defined results: null html is an empty payload; null page_id stays null; repeated rows are written one by
 one, and rows that share the largest page_id of a group of equal payloads are all responses; empty
-tables give empty results; further columns aren't looked at. Line breaks in a url become blanks.
+tables give empty results; further columns aren't looked at. Line breaks in a url become blanks; a url may
+have any length.
 """
 
 from __future__ import annotations
@@ -141,9 +142,14 @@ def _scanner(folder: str):
                 with fs.open_input_file(f"{base}/{name}") as f:
                     end = min(size, begin + RANGE_BYTES)
                     held = f.read_at(min(size, end + HEADER_BYTES) - begin, begin)
-                    at = held.find(MAGIC)
+                    at, stop = held.find(MAGIC), held.find(b"\r\n\r\n")
                     while 0 <= at < end - begin:
-                        stop = held.find(b"\r\n\r\n", at)
+                        if 0 <= stop < at:
+                            stop = held.find(b"\r\n\r\n", at)
+                        while stop < 0 and begin + len(held) < size:  # a header may be longer than what is held
+                            tail = max(at, len(held) - 3)
+                            held += f.read_at(min(size - begin - len(held), RANGE_BYTES), begin + len(held))
+                            stop = held.find(b"\r\n\r\n", tail)
                         fields = parse(held[at + len(MAGIC) : stop]) if stop >= 0 else None
                         if fields is not None:
                             first, n = begin + stop + 4, int(fields[b"content-length"])

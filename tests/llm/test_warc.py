@@ -40,3 +40,11 @@ def test_chain_skips_unreached_candidates(spark):
 
 def test_empty(spark):
     assert back(spark, []) == []
+
+
+def test_long_urls(spark):
+    """Headers that go on beyond what a range holds: none of their records, nor of those after them, is lost."""
+    rows = [(1, "a", "x" * (warc.RANGE_BYTES - 1000), None), (2, "u" * 200_000, "second", None), (3, "v" * 3_000_000, "third", None), (4, "b", "fourth", None)]
+    got = {r.page_id: r for r in back(spark, rows, file_bytes=1 << 30)}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert all(got[k].payload_digest == sha1(html.encode()).hexdigest() for k, _, html, _ in rows)

@@ -1,20 +1,23 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
 A document's set is its distinct 5-word shingles. Documents of equal sets form a class, and classes are
-compared by one of their members. A signature has COORDINATES values, each hashed from FOLD minima. A
-pair is a candidate if at least MATCHES coordinates agree; such a pair agrees in one of the first
-COORDINATES - MATCHES + 1 (the prefix), so only those are posted. At similarity 0.85 a pair agrees in
-fewer than 6 of 32 coordinates with probability 1e-7.
-
-Lists are never expanded into all pairs:
-1. In each list every class is checked against the list's smallest class and against its hub, the class whose
-   coordinates are the most frequent (copies of one text differ least from it); links join components.
-2. A list whose classes now lie in one component has nothing left to find. In the others, classes outside the
-   list's largest component are checked against the list, but only pairs that can still reach the similarity
-   by their sizes and by the shingles that no other open class has: such shingles are never shared.
-3. A list where that could be more than FEW_PAIRS comparisons is posted again under a further coordinate
-   (a pair must agree in MATCHES of them), which splits it; after MATCHES coordinates its pairs are checked.
-Checks are exact, on full sets, and need agreement in MATCHES coordinates first.
+compared by one of their members. A signature has COORDINATES values, each hashed from FOLD minima, and a class
+is posted under each coordinate-value pair that other classes have too. A pair is a candidate if at least MATCHES
+coordinates collide; at similarity 0.85 fewer than 6 of 32 do with probability 1e-7.
+
+1. Prefix: a class stays in its rarest lists only. It skips its MATCHES - 1 longest ones, for a pair that
+   collides in MATCHES lists meets in one of the others too; who has fewer than MATCHES lists is in none.
+2. Lists are merged by their leader, the class that is in the most and longest lists: collisions of the leader
+   and each member are counted over all lists, and those that collide LEADS times or more join a family.
+3. Within a family no pairs are made. Its centre is the set of shingles that more than half of it has, and a class is
+   known by its difference from the centre. Two classes whose differences are small are similar enough whatever
+   they are; any other pair must share so many elements of their differences that it meets under one of the rarest
+   of each, at a place that still leaves enough (prefix and position filter). Pairs that do are compared
+   exactly: the difference of two sets is that of their differences. Small families are done in one task
+   each; of large ones, classes, elements and pairs are rows.
+4. Classes that meet in a list but are of different families are counted one by one: those with MATCHES
+   collisions are compared on full sets. A list with more than FEW_PAIRS such pairs is posted again under
+   a further coordinate-value pair, which splits it.
 
 Defined results: null or blank text has the empty set, links with nothing and stays; equal texts and
 repeated rows are linked (all rows that share the smallest id stay); a row with null id joins its group
@@ -24,21 +27,26 @@ but never names it unless all ids are null; empty tables give empty results; fur
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stored, table
+from noteloom.llm.common import slices, stored, table
 
 WORDS = 5
 SIMILARITY = (85, 100)
 COORDINATES = 32
 FOLD = 3
 MATCHES = 6
-FEW_PAIRS = 1 << 22
+LEADS = 2
+FEW_PAIRS = 1 << 20
+FAMILY = 256  # classes of a family that one task may hold
+FAMILY_SHINGLES = 2_000_000  # and their shingles
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -88,68 +96,220 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         x += b[k]
         x >>= np.uint64(16)
         c = k // FOLD
-        out[:, c] = _mix(out[:, c] * _Q + np.minimum.reduceat(x, starts))
+        out[:, c] = _mix(out[:, c] * _Q + np.minimum.reduceat(x, starts) + np.uint64(c))
     return out.view(np.int64)
 
 
-def _slices(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    begin, size = 0, 0
-    for k, t in enumerate(texts, 1):
-        size += len(t or "")
-        if size > SLICE_BYTES or k == len(texts):
-            yield ids[begin:k], texts[begin:k]
-            begin, size = k, 0
-
-
 def _named(docs: DataFrame) -> DataFrame:
     """doc_id and text; rows without an id get one above NO_ID that depends on the text."""
     stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), "text")
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits of each whole set, as two columns."""
+    both = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, texts in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sets = shingle_sets(texts)
+        for part in slices(batch, 1, SLICE_BYTES):
+            sets = shingle_sets(part.column(1).to_pylist())
             full = [k for k, s in enumerate(sets) if len(s)]
-            sigs: list = [None] * len(sets)
+            keys = np.zeros((len(sets), COORDINATES), np.int64)
             if full:
-                for k, row in zip(full, signatures([sets[k] for k in full]).tolist(), strict=True):
-                    sigs[k] = row
-            with np.errstate(over="ignore"):
-                h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                h2 = np.array([np.bitwise_xor.reduce(_mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                keys[full] = signatures([sets[k] for k in full])
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [pa.array(ids, pa.int64()), sizes, pa.array(h1), pa.array(h2), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, COORDINATES), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, *_digests(sets), rows], ["doc_id", "n_shingles", "h1", "h2", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sets of the rows (cls, text, h1, h2, ...) that have the digest of their class."""
     for batch in batches:
-        for ids, texts in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            packed = [s.tobytes() for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["cls", "members"])
-
-
-def _confirm(similarity: tuple[int, int]):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, whole = similarity
+        for part in slices(batch, 1, SLICE_BYTES):
+            sets = shingle_sets(part.column(1).to_pylist())
+            h1, h2 = _digests(sets)
+            same = pc.and_(pc.equal(h1, part.column(2)), pc.equal(h2, part.column(3)))
+            rest = [part.column(k) for k in range(4, part.num_columns)]
+            whole = pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *rest], ["cls", "members", *part.schema.names[4:]])
+            yield whole.filter(same)
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted (cls, h1, h2, ...) with members. Texts don't move where Spark sees from its files that wanted is small."""
+    rest = [c for c in wanted.columns if c not in ("cls", "h1", "h2")]
+    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls").select("cls", "text", "h1", "h2", *rest)
+    kinds = "".join(f", {c} {wanted.schema[c].dataType.simpleString()}" for c in rest)
+    return texts.mapInArrow(_sets, f"cls long, members binary{kinds}")
+
+
+def _excess(d, n, similarity: tuple[int, int]):
+    """Sets of n shingles that differ from the centre in d: x and y are linked if their excesses sum to at most share(similarity) times
+    the elements that both differences have."""
+    part, whole = similarity
+    return d * (whole + part) - n * (whole - part)
+
+
+def _share(similarity: tuple[int, int]) -> int:
+    return 2 * sum(similarity)
+
+
+def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that connect what is similar enough among a few sets, by their differences from the centre."""
+    n, sizes, share = len(sets), np.array([len(s) for s in sets]), _share(similarity)
+    values, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    common = df * 2 > n
+    place = np.cumsum(common) - 1
+    has = np.zeros((n, int(common.sum())), bool)
+    inside = common[element]
+    has[owner[inside], place[element[inside]]] = True
+    lacks, which = np.nonzero(~has)
+    owner = np.concatenate([owner[~inside], lacks])
+    often = np.concatenate([df[element[~inside]], n - df[common][which]])
+    element = np.concatenate([element[~inside], np.flatnonzero(common)[which]])
+    order = np.lexsort((element, often, owner))
+    owner, often, element = owner[order], often[order], element[order]
+    d = np.bincount(owner, minlength=n)
+    begin = np.cumsum(d) - d
+    excess = _excess(d, sizes, similarity)
+    least = int(excess.argmin())
+    core = excess + excess[least] <= 0
+    links = [(ids[least], ids[k]) for k in np.flatnonzero(core).tolist() if k != least]
+    if core.all():
+        return links
+    other = np.where(core, excess[~core].min(), excess[least])
+    need = np.maximum(1, -(-(excess + other) // share))
+    at = np.arange(len(owner)) - begin[owner]
+    posted = np.flatnonzero((at <= d[owner] - need[owner]) & (often > 1))
+    posted = posted[np.argsort(element[posted], kind="stable")]
+    left = d[owner] - at
+    pairs = set()
+    for group in np.split(posted, np.flatnonzero(np.diff(element[posted])) + 1):
+        for k in range(1, len(group)):
+            x, y = owner[group[k]], owner[group[:k]]
+            can = np.minimum(left[group[k]], left[group[:k]]) * share >= excess[x] + excess[y]
+            pairs.update((int(x), int(z)) for z in y[can & ~(core[x] & core[y])])
+    for x, y in pairs:
+        both = np.intersect1d(element[begin[x] : begin[x] + d[x]], element[begin[y] : begin[y] + d[y]], assume_unique=True)
+        if excess[x] + excess[y] <= share * len(both):
+            links.append((ids[x], ids[y]))
+    return links
+
+
+def _families(similarity: tuple[int, int]):
+    names = ["a", "b", "fam", "cls", "n", "nf", "tag", "members"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of whole families, which follow one another; the sets of large families go on as they are."""
+        links: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            k = len(links)
+            sides = [pa.array([x[j] for x in links], pa.int64()) for j in range(2)]
+            links.clear()
+            return pa.RecordBatch.from_arrays([*sides, *(pa.nulls(k, pa.int64()) for _ in range(5)), pa.nulls(k, pa.binary())], names)
+
+        held, of, last = {}, None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(whole * same >= part * (len(both) - same))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return confirm
+            big = []
+            for k, (fam, cls, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                members = batch.column(6)[k].as_py()
+                if fam != of:
+                    if len(held) > 1:
+                        links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
+                    held, of, last = {}, fam, None
+                if whole:
+                    held[cls, members] = None  # repeated rows are there once
+                elif (cls, members) != last:
+                    big.append(k)
+                    last = (cls, members)
+            if len(links) > 10_000:
+                yield flush()
+            if big:
+                some = batch.take(pa.array(big))
+                none = pa.nulls(len(big), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(some.column(k) for k in (0, 1, 2, 3, 4, 6))], names)
+        if len(held) > 1:
+            links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
+        yield flush()
+
+    return run
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's sets have each shingle, by family."""
+    for batch in batches:
+        for part in slices(batch, 1, SLICE_BYTES):
+            fam, members = part.column(0).to_numpy(), part.column(1).to_pylist()
+            for f in np.unique(fam):
+                values, n = np.unique(np.concatenate([np.frombuffer(m, np.int64) for m, g in zip(members, fam, strict=True) if g == f]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f)), pa.array(values), pa.array(n)], ["fam", "element", "df"])
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, comp): comp is the smallest cls that links reach. Each round takes the least label of the
-    neighbours, then the label of the label; only the number of changed rows comes to the driver."""
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each set's difference from its family's centre, and whether the set has them; null if there is none."""
+    names = ["fam", "cls", "n", "nf", "tag", "element", "has"]
+    for batch in batches:
+        for part in slices(batch, 5, SLICE_BYTES // 4):
+            heads = [part.column(k).to_numpy() for k in range(5)]
+            here, found, has = [], [], []
+            for k in range(part.num_rows):
+                own, centre = np.frombuffer(part.column(5)[k].as_py(), np.int64), np.array(part.column(6)[k].as_py() or [], np.int64)
+                more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+                here.append(len(more) + len(less))
+                found += [more, less]
+                has += [np.ones(len(more), bool), np.zeros(len(less), bool)]
+            here = np.array(here)
+            at, none = np.repeat(np.arange(len(here)), here), np.flatnonzero(here == 0)
+            element = pa.concat_arrays([pa.array(np.concatenate(found)), pa.nulls(len(none), pa.int64())])
+            at = np.concatenate([at, none])
+            there = pa.array(np.concatenate([*has, np.ones(len(none), bool)]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in heads), element, there], names)
+
+
+def large_family_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """family_links() of families of any size: sets (fam, cls, n, nf, tag, members), with nf the number of the family's classes."""
+    share = _share(similarity)
+    counts = sets.select("fam", "members").mapInArrow(_shingle_counts, "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
+    nf = sets.groupBy("fam").agg(F.max("nf").alias("of"))
+    counts = stored(counts.filter("df > 1").join(nf, "fam"), "shingles")
+    centres = counts.filter(F.col("df") * 2 > F.col("of")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
+    rows = sets.select("fam", "cls", "n", "nf", "tag", "members").join(stored(centres, "centres"), "fam", "left").mapInArrow(_differences, "fam long, cls long, n long, nf long, tag long, element long, has boolean")
+    often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))
+    rows = rows.join(counts.drop("of"), ["fam", "element"], "left").withColumn("often", often)
+    diffs = rows.groupBy("fam", "cls", "n", "tag").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
+    diffs = stored(diffs.withColumn("excess", _excess(F.size("diff").cast("long"), F.col("n"), similarity)), "differences")
+    least = diffs.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least")).select("fam", F.col("least.excess").alias("low"), F.col("least.cls").alias("first"))
+    first = diffs.join(least, "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
+    edge = first.groupBy("fam").agg(F.min(F.when(~F.col("core"), F.col("excess"))).alias("edge")).filter("edge IS NOT NULL")
+    known = first.join(stored(edge, "edges"), "fam", "left")
+    core_links = known.filter(F.col("core") & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    other = F.when(F.col("core"), F.col("edge")).otherwise(F.col("low"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / share))
+    band = lambda x: F.floor(F.log2((x - F.col("low") + 1).cast("double"))).cast("int")
+    open_ = known.filter("edge IS NOT NULL").select("fam", "cls", "core", "low", "excess", F.size("diff").alias("d"), need.alias("need"), "diff")
+    posts = open_.select("fam", "cls", "core", "low", "excess", "d", "need", F.posexplode("diff").alias("at", "x")).filter((F.col("at") <= F.col("d") - F.col("need")) & (F.col("x.often") > 1))
+    left = F.col("d") - F.col("at")
+    posts = stored(posts.select("fam", "cls", "core", "low", "excess", F.col("x.element").alias("element"), left.alias("left"), band(F.col("excess")).alias("band"), (left * share - F.col("excess")).alias("reach")), "posts")
+    # a class looks for partners that are as near to the centre as itself or nearer, and no further out than what is left reaches
+    asks = posts.filter(F.col("reach") >= F.col("low")).withColumn("own", F.col("band")).withColumn("band", F.explode(F.sequence(F.lit(0), F.least("own", band(F.col("reach"))))))
+    asks = asks.select("fam", "element", "band", F.col("cls").alias("b"), F.col("core").alias("core_b"), F.col("excess").alias("excess_b"), F.col("left").alias("left_b"), "own")
+    can = F.least("left", "left_b") * share >= F.col("excess") + F.col("excess_b")
+    once = (F.col("own") > F.col("band")) | (F.col("b") > F.col("cls"))
+    pairs = posts.select("fam", "element", "band", "cls", "core", "excess", "left").withColumnsRenamed({"fam": "fam_a", "element": "element_a", "band": "band_a"})
+    on = (F.col("fam") == F.col("fam_a")) & (F.col("element") == F.col("element_a")) & (F.col("band") == F.col("band_a"))
+    pairs = stored(pairs.join(asks, on & can & once & ~(F.col("core") & F.col("core_b"))).select(F.col("cls").alias("a"), "b").distinct(), "pairs")
+    side = lambda c: diffs.select(F.col("cls").alias(c), F.col("excess").alias(f"excess_{c}"), F.transform("diff", lambda x: x["element"]).alias(f"diff_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * share)
+    return core_links.unionByName(both.select("a", "b"))
+
+
+def labelled(links: DataFrame) -> DataFrame:
+    """(cls, comp) of what is linked: comp is the smallest cls that links reach. Each round takes the least label of the
+    neighbours, then the label of the label; only whether labels moved comes to the driver."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     linked = stored(both.select(F.col("a").alias("cls")).distinct().withColumn("comp", F.col("cls")), "labels")
     while True:
@@ -159,121 +319,111 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         after = stored(low.join(jump, "low").select("cls", F.least("low", "further").alias("comp"), (F.least("low", "further") != F.col("comp")).alias("moved")), "labels")
         linked = after.select("cls", "comp")
         if after.filter("moved").isEmpty():
-            break
-    return nodes.select("cls").join(linked, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+            return linked
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda v: v))
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, comp) of all nodes; those without links are their own component."""
+    return nodes.select("cls").join(labelled(links), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, matches: int = MATCHES) -> DataFrame:
-    """The links among pairs (a, b): those that agree in enough coordinates and whose full sets are similar enough."""
-    part, whole = similarity
-    sig = classes.select("cls", "sig", "n")
-    likely = (
-        pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
-        .join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-        .filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)  # sets of such sizes can be similar enough
-        .filter(_agreeing(F.col("sa"), F.col("sb")) >= matches)
-        .select("a", "b")
-    )
-    likely = stored(likely, "candidates")
-    wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls", "left_semi")
-    sets = texts.mapInArrow(_sets, "cls long, members binary")
-    sets = stored(sets.join(classes.select("cls", "n"), "cls").filter(F.length("members") == F.col("n") * 8).dropDuplicates(["cls"]).select("cls", "members"), "sets")
-    both = likely.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b"
-    )
-    return stored(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(similarity), "a long, b long"), "links")
-
-
-def _rows_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, texts in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sets = shingle_sets(texts)
-            which = np.repeat(np.array(ids, np.int64), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "shingle"])
+def _confirm(similarity: tuple[int, int]):
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, whole = similarity
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(whole * same >= part * (len(x) + len(y) - same))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
+    return confirm
 
-def own_shingles(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, own): how many of its shingles no other wanted class has. Rows that share an id count as one class, so own is never too large."""
-    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls", "left_semi")
-    rows = texts.mapInArrow(_rows_of_sets, "cls long, shingle long")
-    single = rows.groupBy("shingle").agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
 
+def _collisions(x: str, y: str) -> F.Column:
+    return F.size(F.array_intersect(x, y))
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
+def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of classes of different families that collide in enough lists.
 
-def across(lists: DataFrame, docs: DataFrame, similarity: tuple[int, int], few_pairs: int, matches: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components to be checked in lists (key, cls, n, comp, sig, at, depth)."""
+    lists: key, cls, n, fam, keys (the class's lists, rarest first), at (place of the list in keys), depth. A pair counts where
+    its first common lists are, not in each list that has both.
+    """
     part, whole = similarity
-    found, own = None, None
+    found = None
     while True:
-        shares = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        sums = shares.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-        few_ = (F.col("m") - F.col("top.m")) * F.col("m") <= few_pairs
-        open_ = stored(sums.filter("comps > 1").select("key", F.col("top.comp").alias("top"), few_.alias("few")), "open")
+        shares = lists.groupBy("key", "fam").agg(F.count(F.lit(1)).alias("m"))
+        sums = shares.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count(F.lit(1)).alias("fams"))
+        few_ = (F.col("m") - F.col("top")) * F.col("m") <= few_pairs
+        open_ = stored(sums.filter("fams > 1").select("key", few_.alias("few")), "open")
         held = stored(lists.join(open_, "key"), "held")
-        if own is None:
-            own = stored(own_shingles(held.select("cls").distinct(), docs), "own")
         last = F.col("depth") >= matches
-        few = held.filter(F.col("few") | last).join(own, "cls", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-        outside = few.filter("comp <> top").select("key", F.col("cls").alias("b"), F.col("comp").alias("of"), F.col("n").alias("nb"), F.col("shared").alias("shared_b"), F.col("sig").alias("sig_b"))
-        most = F.least("shared", "shared_b")
-        can = (F.col("comp") != F.col("of")) & (most * whole >= (F.col("n") + F.col("nb") - most) * part)
-        # a pair counts in the list of the first coordinates in which it agrees, not in each list that has both
-        before = _agreeing(F.slice("sig", F.lit(1), F.col("at") + 1), F.slice("sig_b", F.lit(1), F.col("at") + 1))
-        can = can & (before == F.col("depth")) & (_agreeing(F.col("sig"), F.col("sig_b")) >= matches)
-        pairs = few.select("key", F.col("cls").alias("a"), "comp", "n", "shared", "sig", "at", "depth").join(outside.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & can)
-        pairs = stored(_ordered(pairs.select("a", "b")), "across")
+        few = held.filter(F.col("few") | last).withColumn("before", F.slice("keys", F.lit(1), F.col("at") + 1))
+        other = few.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"), F.col("before").alias("before_b"))
+        can = (F.col("cls") < F.col("b")) & (F.col("fam") != F.col("fam_b")) & (F.least("n", "n_b") * whole >= F.greatest("n", "n_b") * part)
+        can = can & (_collisions("before", "before_b") == F.col("depth")) & (_collisions("keys", "keys_b") >= matches)
+        pairs = stored(few.join(other, (F.col("key") == F.col("k")) & can).select(F.col("cls").alias("a"), "b").distinct(), "across")
         found = pairs if found is None else found.union(pairs)
         many = held.filter(~F.col("few") & ~last)
         if many.isEmpty():
             return found.distinct()
-        room = COORDINATES - matches + 1 + F.col("depth")  # a later place leaves too few coordinates to agree in
-        again = many.select("key", "cls", "n", "comp", "sig", "depth", F.explode(F.sequence(F.col("at") + 1, F.col("at") + COORDINATES)).alias("next"), room.alias("room"))
-        again = again.filter(F.col("next") < F.least("room", F.lit(COORDINATES)))
-        lists = stored(
-            again.select(F.xxhash64("key", "next", F.col("sig")[F.col("next")]).alias("key"), "cls", "n", "comp", "sig", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")),
-            "lists",
-        )
+        stop = F.size("keys") - (matches - 1 - F.col("depth")) - 1  # a later place leaves too few lists to collide in
+        again = many.filter(stop > F.col("at")).withColumn("next", F.explode(F.sequence(F.col("at") + 1, stop)))
+        key = F.xxhash64("key", F.get("keys", F.col("next"))).alias("key")
+        lists = stored(again.select(key, "cls", "n", "fam", "keys", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")), "lists")
 
 
-def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES, family: int = FAMILY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
-    sketched = stored(_named(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "sketches")
-    classes = (
-        sketched.filter("n_shingles > 0")
-        .groupBy("h1", "h2", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
-    )
-    classes = stored(classes, "classes")
-    prefix = F.slice("sig", 1, COORDINATES - matches + 1)
-    posted = classes.select("cls", F.posexplode(prefix).alias("at", "value")).select("cls", "at", F.xxhash64("at", "value").alias("key"))
+    sketched = stored(_named(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketches")
+    firsts = [F.first(F.col("keys")[k]).alias(f"k{k}") for k in range(COORDINATES)]
+    classes = sketched.filter("n_shingles > 0").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("cls"), *firsts)
+    classes = stored(classes.select("h1", "h2", "n", "cls", F.array(*(f"k{k}" for k in range(COORDINATES))).alias("keys")), "classes")
+    posted = classes.select("cls", F.explode("keys").alias("key"))
     sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = stored(posted.join(sizes, "key"), "lists")
-    liked = lists.groupBy("cls").agg(F.sum("size").alias("liked"))
-    heads = lists.join(liked, "cls").groupBy("key").agg(F.min("cls").alias("head"), F.max_by("cls", F.struct("liked", "cls")).alias("hub"))
-    stars = lists.join(heads, "key").select(F.explode(F.array_distinct(F.array("head", "hub"))).alias("a"), F.col("cls").alias("b"))
-    first = verified(_ordered(stars), classes, docs, similarity, matches)
-    comps = stored(components(classes, first), "components")
-    full = lists.select("key", "cls", "at").join(comps, "cls").join(classes.select("cls", "n", "sig"), "cls").withColumn("depth", F.lit(1))
-    rest = verified(across(full, docs, similarity, few_pairs, matches), classes, docs, similarity, matches)
-    comps = stored(components(classes, first.union(rest)), "components")
-    named = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "cls").join(comps, "cls").drop("cls")
-    out = sketched.drop("sig").join(named, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
+    met = posted.join(sizes, "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("met"))  # at most COORDINATES
+    met = stored(met.filter(F.size("met") >= matches), "met")
+    liked = F.aggregate("met", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    lists = met.select("cls", liked.alias("liked"), F.posexplode(F.slice("met", F.lit(1), F.size("met") - matches + 1)).alias("at", "x"))
+    lists = stored(lists.select(F.col("x.key").alias("key"), "cls", "liked", "at"), "lists")
+    leaders = lists.groupBy("key").agg(F.max(F.struct("liked", "cls")).alias("top"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("top.cls").alias("leader"))
+    led = lists.join(leaders, "key").filter("leader <> cls").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
+    families = labelled(led.filter(F.col("collisions") >= LEADS))
+
+    known = classes.select("h1", "h2", "n", "cls")
+    own = stored(families.withColumnRenamed("comp", "fam").join(known, "cls"), "families")
+    totals = own.groupBy("fam").agg(F.count(F.lit(1)).alias("nf"), F.sum("n").alias("shingles"))
+    whole = (F.col("nf") <= family) & (F.col("shingles") <= FAMILY_SHINGLES)
+    salt = F.when(F.col("whole"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)))
+    wanted = stored(own.join(totals.select("fam", "nf", whole.alias("whole")), "fam").withColumn("salt", salt).select("cls", "h1", "h2", "fam", "n", "nf", F.col("h1").alias("tag"), "whole", "salt"), "wanted")
+    dealt = _sets_of(wanted, docs).repartition("fam", "salt").sortWithinPartitions("fam", "cls", "tag").select("fam", "cls", "n", "nf", "tag", "whole", "members")
+    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, n long, nf long, tag long, members binary"), "family-links")
+    links = done.filter("a IS NOT NULL").select("a", "b")
+    large = done.filter("members IS NOT NULL").select("fam", "cls", "n", "nf", "tag", "members")
+    if not large.isEmpty():
+        links = links.unionByName(large_family_links(large, similarity))
+
+    in_lists = lists.join(families, "cls", "left").select("key", "cls", "at", F.coalesce("comp", "cls").alias("fam"))
+    in_lists = in_lists.join(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), "cls").join(known.select("cls", "n"), "cls").withColumn("depth", F.lit(1))
+    pairs = cross_pairs(in_lists, few_pairs, matches, similarity)
+    if not pairs.isEmpty():
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        sets = stored(_sets_of(stored(known.drop("n").join(ends, "cls"), "ends"), docs).dropDuplicates(["cls"]), "sets")
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
+        links = links.unionByName(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(similarity), "a long, b long"))
+
+    named = known.join(labelled(links), "cls", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
+    out = sketched.drop("keys").join(named, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, matches: int = MATCHES) -> DataFrame:
     """The rows of docs that stay, one of each group, with their columns as they were."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dedup(docs, similarity, matches=matches).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,12 +42,12 @@ def result(df, **kw):
 
 
 def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 5000")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert result(docs) == plain([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("few_pairs", [2, 1 << 22])
-def test_families_with_chains_and_a_common_passage(spark, few_pairs):
+@pytest.mark.parametrize("few_pairs,family", [(2, 256), (1 << 20, 256), (1 << 20, 1)])
+def test_families_with_chains_and_a_common_passage(spark, few_pairs, family):
     pick = random.Random(2)
     words = [f"w{k}" for k in range(400)]
     passage = pick.choices(words, k=60)
@@ -64,7 +65,44 @@ def test_families_with_chains_and_a_common_passage(spark, few_pairs):
         rows.append((n, " ".join(pick.choices(words, k=pick.randrange(5, 60)) + passage)))
         n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(df, few_pairs=few_pairs) == plain(rows)
+    assert result(df, few_pairs=few_pairs, family=family) == plain(rows)
+
+
+def direct(sets):
+    """The components of sets of numbers, comparing all pairs."""
+    up = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(set(x.tolist()) & set(sets[j].tolist()))
+            if 100 * both >= 85 * (len(x) + len(sets[j]) - both):
+                old, new = up[i], up[j]
+                up = [new if u == old else u for u in up]
+    return {frozenset(k for k, u in enumerate(up) if u == v) for v in up}
+
+
+def linked(n, links):
+    up = list(range(n))
+    for a, b in links:
+        old, new = up[a], up[b]
+        up = [new if u == old else u for u in up]
+    return {frozenset(k for k, u in enumerate(up) if u == v) for v in up}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_links_within_a_family(spark, seed):
+    """In a task and as rows: edits that many share, truncations, unrelated sets, all around the similarity."""
+    rng = np.random.default_rng(seed)
+    base, shared = rng.integers(1, 1 << 60, 80, np.uint64), rng.integers(1, 1 << 60, 12, np.uint64)
+    sets = []
+    for k in range(40):
+        kept = base[: 80 - int(rng.integers(0, 15))] if rng.random() < 0.3 else rng.choice(base, 80 - int(rng.integers(0, 10)), False)
+        more = np.concatenate([rng.choice(shared, int(rng.integers(0, 6)), False), rng.integers(1, 1 << 60, int(rng.integers(0, 6)), np.uint64)])
+        sets.append(np.unique(rng.integers(1, 1 << 60, 50, np.uint64) if k % 13 == 12 else np.concatenate([kept, more])))
+    assert linked(40, nd.family_links(list(range(40)), sets, (85, 100))) == direct(sets)
+    if seed < 3:
+        rows = [(0, k, len(s), 40, k, s.tobytes()) for k, s in enumerate(sets)]
+        df = spark.createDataFrame(rows, "fam long, cls long, n long, nf long, tag long, members binary").repartition(3)
+        assert linked(40, [(r.a, r.b) for r in nd.large_family_links(df, (85, 100)).collect()]) == direct(sets)
 
 
 def test_odd_rows(spark):

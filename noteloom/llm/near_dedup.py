@@ -47,6 +47,7 @@ LEADS = 2
 FEW_PAIRS = 1 << 20
 FAMILY = 256  # classes of a family that one task may hold
 FAMILY_SHINGLES = 2_000_000  # and their shingles
+MOST_SENT = 1 << 21
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -126,23 +127,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed sets of the rows (cls, text, h1, h2, ...) that have the digest of their class."""
+    """Packed sets of the rows (cls, text, ...)."""
     for batch in batches:
         for part in slices(batch, 1, SLICE_BYTES):
-            sets = shingle_sets(part.column(1).to_pylist())
-            h1, h2 = _digests(sets)
-            same = pc.and_(pc.equal(h1, part.column(2)), pc.equal(h2, part.column(3)))
-            rest = [part.column(k) for k in range(4, part.num_columns)]
-            whole = pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *rest], ["cls", "members", *part.schema.names[4:]])
-            yield whole.filter(same)
+            members = pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())
+            rest = [part.column(k) for k in range(2, part.num_columns)]
+            yield pa.RecordBatch.from_arrays([part.column(0), members, *rest], ["cls", "members", *part.schema.names[2:]])
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (cls, h1, h2, ...) with members. Texts don't move where Spark sees from its files that wanted is small."""
-    rest = [c for c in wanted.columns if c not in ("cls", "h1", "h2")]
-    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls").select("cls", "text", "h1", "h2", *rest)
-    kinds = "".join(f", {c} {wanted.schema[c].dataType.simpleString()}" for c in rest)
-    return texts.mapInArrow(_sets, f"cls long, members binary{kinds}")
+    """wanted (cls, and columns of whole numbers) with members, a row for each row of docs that has the id cls. Up to MOST_SENT
+    rows of wanted are sent to where the texts are; beyond that both move."""
+    sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    rest = [c for c in wanted.columns if c != "cls"]
+    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(sent, "cls").select("cls", "text", *rest)
+    return texts.mapInArrow(_sets, "cls long, members binary" + "".join(f", {c} long" for c in rest))
 
 
 def _excess(d, n, similarity: tuple[int, int]):
@@ -200,7 +199,7 @@ def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int,
 
 
 def _families(similarity: tuple[int, int]):
-    names = ["a", "b", "fam", "cls", "n", "nf", "tag", "members"]
+    names = ["a", "b", "fam", "cls", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of whole families, which follow one another; the sets of large families go on as they are."""
@@ -210,18 +209,18 @@ def _families(similarity: tuple[int, int]):
             k = len(links)
             sides = [pa.array([x[j] for x in links], pa.int64()) for j in range(2)]
             links.clear()
-            return pa.RecordBatch.from_arrays([*sides, *(pa.nulls(k, pa.int64()) for _ in range(5)), pa.nulls(k, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([*sides, *(pa.nulls(k, pa.int64()) for _ in range(2)), pa.nulls(k, pa.binary())], names)
 
         held, of, last = {}, None, None
         for batch in batches:
             big = []
-            for k, (fam, cls, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                members = batch.column(6)[k].as_py()
+            for k, (fam, cls, salt) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
+                members = batch.column(3)[k].as_py()
                 if fam != of:
                     if len(held) > 1:
                         links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
                     held, of, last = {}, fam, None
-                if whole:
+                if salt == 0:
                     held[cls, members] = None  # repeated rows are there once
                 elif (cls, members) != last:
                     big.append(k)
@@ -231,7 +230,7 @@ def _families(similarity: tuple[int, int]):
             if big:
                 some = batch.take(pa.array(big))
                 none = pa.nulls(len(big), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(some.column(k) for k in (0, 1, 2, 3, 4, 6))], names)
+                yield pa.RecordBatch.from_arrays([none, none, *(some.column(k) for k in (0, 1, 3))], names)
         if len(held) > 1:
             links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
         yield flush()
@@ -251,13 +250,14 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The elements of each set's difference from its family's centre, and whether the set has them; null if there is none."""
-    names = ["fam", "cls", "n", "nf", "tag", "element", "has"]
+    names = ["fam", "cls", "row", "n", "element", "has"]
     for batch in batches:
-        for part in slices(batch, 5, SLICE_BYTES // 4):
-            heads = [part.column(k).to_numpy() for k in range(5)]
+        for part in slices(batch, 3, SLICE_BYTES // 4):
+            heads = [part.column(k).to_numpy() for k in range(3)]
+            heads.append(pc.divide(pc.binary_length(part.column(3)), 8).to_numpy().astype(np.int64))
             here, found, has = [], [], []
             for k in range(part.num_rows):
-                own, centre = np.frombuffer(part.column(5)[k].as_py(), np.int64), np.array(part.column(6)[k].as_py() or [], np.int64)
+                own, centre = np.frombuffer(part.column(3)[k].as_py(), np.int64), np.array(part.column(4)[k].as_py() or [], np.int64)
                 more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
                 here.append(len(more) + len(less))
                 found += [more, less]
@@ -271,16 +271,17 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def large_family_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """family_links() of families of any size: sets (fam, cls, n, nf, tag, members), with nf the number of the family's classes."""
+    """family_links() of families of any size: sets (fam, cls, members)."""
     share = _share(similarity)
     counts = sets.select("fam", "members").mapInArrow(_shingle_counts, "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
-    nf = sets.groupBy("fam").agg(F.max("nf").alias("of"))
+    nf = stored(sets.groupBy("fam").agg(F.count(F.lit(1)).alias("nf")), "sizes")
     counts = stored(counts.filter("df > 1").join(nf, "fam"), "shingles")
-    centres = counts.filter(F.col("df") * 2 > F.col("of")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
-    rows = sets.select("fam", "cls", "n", "nf", "tag", "members").join(stored(centres, "centres"), "fam", "left").mapInArrow(_differences, "fam long, cls long, n long, nf long, tag long, element long, has boolean")
-    often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))
-    rows = rows.join(counts.drop("of"), ["fam", "element"], "left").withColumn("often", often)
-    diffs = rows.groupBy("fam", "cls", "n", "tag").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
+    centres = counts.filter(F.col("df") * 2 > F.col("nf")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
+    numbered = sets.select("fam", "cls", F.monotonically_increasing_id().alias("row"), "members")  # rows of one id may have different texts
+    rows = numbered.join(stored(centres, "centres"), "fam", "left").mapInArrow(_differences, "fam long, cls long, row long, n long, element long, has boolean")
+    often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))  # who lacks it has a row of counts
+    rows = rows.join(counts, ["fam", "element"], "left").withColumn("often", often)
+    diffs = rows.groupBy("fam", "cls", "row", "n").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
     diffs = stored(diffs.withColumn("excess", _excess(F.size("diff").cast("long"), F.col("n"), similarity)), "differences")
     least = diffs.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least")).select("fam", F.col("least.excess").alias("low"), F.col("least.cls").alias("first"))
     first = diffs.join(least, "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
@@ -394,15 +395,15 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
     families = labelled(led.filter(F.col("collisions") >= LEADS))
 
     known = classes.select("h1", "h2", "n", "cls")
-    own = stored(families.withColumnRenamed("comp", "fam").join(known, "cls"), "families")
+    own = families.withColumnRenamed("comp", "fam").join(known.select("cls", "n"), "cls")
     totals = own.groupBy("fam").agg(F.count(F.lit(1)).alias("nf"), F.sum("n").alias("shingles"))
-    whole = (F.col("nf") <= family) & (F.col("shingles") <= FAMILY_SHINGLES)
-    salt = F.when(F.col("whole"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)))
-    wanted = stored(own.join(totals.select("fam", "nf", whole.alias("whole")), "fam").withColumn("salt", salt).select("cls", "h1", "h2", "fam", "n", "nf", F.col("h1").alias("tag"), "whole", "salt"), "wanted")
-    dealt = _sets_of(wanted, docs).repartition("fam", "salt").sortWithinPartitions("fam", "cls", "tag").select("fam", "cls", "n", "nf", "tag", "whole", "members")
-    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, n long, nf long, tag long, members binary"), "family-links")
+    small = stored(totals.select("fam", ((F.col("nf") <= family) & (F.col("shingles") <= FAMILY_SHINGLES)).alias("small")), "totals")
+    salt = F.when(F.col("small"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) + 1).cast("long")
+    wanted = stored(own.join(small, "fam").select("cls", "fam", salt.alias("salt")), "wanted")
+    dealt = _sets_of(wanted, docs).repartition("fam", "salt").sortWithinPartitions("fam", "cls", "members").select("fam", "cls", "salt", "members")
+    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, members binary"), "family-links")
     links = done.filter("a IS NOT NULL").select("a", "b")
-    large = done.filter("members IS NOT NULL").select("fam", "cls", "n", "nf", "tag", "members")
+    large = done.filter("members IS NOT NULL").select("fam", "cls", "members")
     if not large.isEmpty():
         links = links.unionByName(large_family_links(large, similarity))
 
@@ -411,7 +412,7 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
     pairs = cross_pairs(in_lists, few_pairs, matches, similarity)
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        sets = stored(_sets_of(stored(known.drop("n").join(ends, "cls"), "ends"), docs).dropDuplicates(["cls"]), "sets")
+        sets = stored(_sets_of(stored(ends, "ends"), docs).distinct(), "sets")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
         links = links.unionByName(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(similarity), "a long, b long"))
 

@@ -3,7 +3,12 @@
 Texts are equal when identical after lower-casing A-Z. The key of a text is its 64-bit hash. Directory
 entries are the leading bits of the key; a bucket that holds more than `capacity` distinct texts is
 split by its next bit, which doubles the directory when the bucket was as deep as the directory.
-Tasks own ranges of buckets, chain the entries whose keys collide, and write the index as a table.
+
+Building: copies are folded by their bytes on the way to the owners, so a hot text sends one row per
+task. Tasks own ranges of buckets; an owner chains the texts of a bucket that have one key.
+Probing: a row goes from its key to its slot, from the slot to the bucket, and in the bucket to the chain of
+its key. A chain of one text is the row's own text, because the owner has compared the bytes of all texts with that
+key. In a longer chain, where keys collide, the row's bytes are compared with each text of it.
 
 Defined results: null text counts as empty; empty texts are equal to each other; repeated rows (the
 same id twice) are members of their group like any other row; a null id is the smallest id; an empty
@@ -76,29 +81,44 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, in
     return buckets.select(F.explode(F.sequence(first, last)).alias("slot"), first.alias("bucket"), "depth"), depth
 
 
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index table: bucket, key, digest, chain (place among entries of equal key), keep_id, group_size."""
+def build_index(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index table (bucket, key, chain: place among the texts of equal key, length: how many these are, digest, keep_id,
+    group_size), its directory (slot, bucket, depth) and the directory's depth."""
     distinct = stored(entries(rows), "entries")
     slots, depth = directory(distinct, capacity)
+    slots = stored(slots, "directory")
+    chain = Window.partitionBy("bucket", "key")
     owned = (
         distinct.withColumn("slot", _prefix(depth))
         .join(slots, "slot")
         .repartitionByRange("bucket")
-        .withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest")))
+        .withColumns({"chain": F.row_number().over(chain.orderBy("digest")), "length": F.count(F.lit(1)).over(chain)})
     )
-    return stored(owned.select("bucket", "depth", "key", "chain", "digest", "keep_id", "group_size"), "index")
+    return stored(owned.select("bucket", "key", "chain", "length", "digest", "keep_id", "group_size"), "index"), slots, depth
+
+
+def probe(rows: DataFrame, index: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The entry of each row (doc_id, text, key): doc_id, digest, keep_id, group_size."""
+    routed = rows.withColumn("slot", _prefix(depth)).join(slots.select("slot", "bucket"), "slot")
+    entry = ["digest", "keep_id", "group_size"]
+    out = routed.select("bucket", "key", "doc_id").join(index.filter("length = 1"), ["bucket", "key"]).select("doc_id", *entry)
+    chains = index.filter("length > 1")
+    if chains.isEmpty():
+        return out
+    met = routed.join(chains.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select("bucket", "key", "doc_id", "text")
+    texts = met.select("bucket", "key", "text").distinct().withColumn("digest", F.unhex(F.sha2("text", 256)))
+    chained = chains.join(texts.withColumnRenamed("text", "bytes"), ["bucket", "key", "digest"])
+    return out.unionByName(met.join(chained, ["bucket", "key"]).filter(F.col("text") == F.col("bytes")).select("doc_id", *entry))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The row with the largest id of each group of equal texts stays (the first of them, if that id repeats).
-    The probe joins on key and digest, not on text; Spark splits a hot key's side of that join.
+    The row with the largest id of each group of equal texts stays (all of them, if that id repeats). A hot
+    key's rows are probes only, without their text, and Spark splits that side of the join.
     """
     rows = keyed(docs, id_col, text_col)
-    index = build_index(rows, capacity)
-    probe = rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("digest"))
-    return probe.join(index, ["key", "digest"]).select(
+    return probe(rows, *build_index(rows, capacity)).select(
         "doc_id",
         "keep_id",
         "group_size",

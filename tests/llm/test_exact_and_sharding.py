@@ -32,19 +32,31 @@ def test_groups(odd, capacity):
 
 def test_no_bucket_is_overfull_and_slots_cover_the_directory(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
-    index = ed.build_index(ed.keyed(docs), capacity=64)
+    index, slots, depth = ed.build_index(ed.keyed(docs), capacity=64)
     assert index.count() == 3000
     assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 64
-    slots, depth = ed.directory(index, 64)
-    held = [r.slot for r in slots.collect()]
-    assert len(held) == len(set(held)) <= 2**depth
-
-
-def test_colliding_keys_are_chained(spark):
-    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "a", 5)], "doc_id long, text string, key long")
-    assert sorted((r.chain, r.keep_id, r.group_size) for r in ed.build_index(rows).collect()) == [(1, 2, 1), (2, 3, 2)] or sorted(
-        (r.keep_id, r.group_size) for r in ed.build_index(rows).collect()
-    ) == [(2, 1), (3, 2)]
+    held = sorted(r.slot for r in slots.collect())
+    assert held == list(range(2**depth)) or len(set(held)) == len(held) <= 2**depth
+
+
+def test_colliding_keys_are_chained_and_told_apart_by_their_bytes(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "a", 5), (4, "c", 6), (5, "b", 5)], "doc_id long, text string, key long")
+    index, slots, depth = ed.build_index(rows)
+    assert sorted((r.key, r.chain, r.length) for r in index.collect()) == [(5, 1, 2), (5, 2, 2), (6, 1, 1)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in ed.probe(rows, index, slots, depth).collect()}
+    assert got == {1: (3, 2), 2: (5, 2), 3: (3, 2), 4: (4, 1), 5: (5, 2)}
+
+
+def test_rows_are_found_through_the_directory_only(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
+    rows = ed.keyed(docs)
+    index, slots, depth = ed.build_index(rows, capacity=16)
+    assert depth > 0 and ed.probe(rows, index, slots, depth).count() == 500
+    some = slots.filter("slot % 2 = 0")
+    kept = rows.withColumn("slot", ed._prefix(depth)).join(some, "slot").count()
+    assert 0 < kept < 500 and ed.probe(rows, index, some, depth).count() == kept
+    turned = slots.withColumn("bucket", F.col("bucket") + 1)
+    assert ed.probe(rows, index, turned, depth).count() < 500
 
 
 def test_empty_tables(spark, odd):

@@ -6,8 +6,10 @@ archives count, so a task that is run again leaves no wrong records. Equal paylo
 
 Reading: archives are cut into ranges. Each task looks for the magic in its range and emits every
 candidate record with the offset its Content-Length leads to. Only candidates that the chain from the
-file's start reaches are records, so magic inside payloads is rejected. The chain is followed for all
-files at once by pointer jumping: in round k the reached candidates mark those 2^k records further on.
+file's start reaches are records, so magic inside payloads is rejected. Chains are resolved within a range by its
+task: a candidate knows where its chain leaves the range, and its place in the range's forest of chains. From range to
+range the chain is followed for all files at once by pointer jumping: in round k the reached candidates
+mark those 2^k ranges further on. A chain that does not end where its file ends is an error, never a loss of records.
 
 Defined results: null html is an empty payload; null page_id stays null; repeated rows are written one by
 one, and rows that share the largest page_id of a group of equal payloads are all responses; empty
@@ -32,14 +34,14 @@ from noteloom.llm.common import new_path, stored, table
 REVISIT_BYTES = 1000
 FILE_BYTES = 4 << 20
 RANGE_BYTES = 1 << 20
-HEADER_BYTES = 64 << 10
+HEADER_BYTES = 64 << 10  # how much is read at first beyond a range; longer headers are read on
 # Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 FOUND = (
     "file string, offset long, next long, type string, page_id long, refers_to long, payload_bytes long, "
-    "payload_digest string, said_digest string"
+    "payload_digest string, said_digest string, begin long, exit long, first long, last long"
 )
 
 
@@ -133,12 +135,35 @@ def _number(value: bytes | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def forest(offsets: list[int], following: list[int]) -> list[tuple[int, int, int]]:
+    """Of a range's candidates in order: where their chain leaves the range, and numbers such that the chain of x passes y
+    exactly if first(y) <= first(x) <= last(y)."""
+    place = {x: k for k, x in enumerate(offsets)}
+    up = [place.get(x, -1) for x in following]
+    below = [1] * len(up)
+    for k, p in enumerate(up):  # a chain only leads onward, so what leads to a candidate comes before it
+        if p >= 0:
+            below[p] += below[k]
+    leave, first, free, roots = list(following), [0] * len(up), [0] * len(up), 0
+    for k in range(len(up) - 1, -1, -1):
+        p = up[k]
+        if p >= 0:
+            leave[k], first[k] = leave[p], free[p]
+            free[p] += below[k]
+        else:
+            first[k] = roots
+            roots += below[k]
+        free[k] = first[k] + 1
+    return [(x, a, a + n - 1) for x, a, n in zip(leave, first, below, strict=True)]
+
+
 def _scanner(folder: str):
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
         for batch in batches:
             rows = []
             for name, size, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head = len(rows)
                 with fs.open_input_file(f"{base}/{name}") as f:
                     end = min(size, begin + RANGE_BYTES)
                     held = f.read_at(min(size, end + HEADER_BYTES) - begin, begin)
@@ -161,6 +186,8 @@ def _scanner(folder: str):
                                 fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1"),
                             ))
                         at = held.find(MAGIC, at + 1)
+                own = rows[head:]
+                rows[head:] = [(*r, begin, *x) for r, x in zip(own, forest([r[1] for r in own], [r[2] for r in own]), strict=True)]
             names = [x.split()[0] for x in FOUND.split(", ")]
             kinds = [pa.string() if x.split()[1] == "string" else pa.int64() for x in FOUND.split(", ")]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
@@ -190,7 +217,17 @@ def read_warc(archives: DataFrame, folder: str) -> DataFrame:
     """The records of the archives: file, offset, next, type, page_id, refers_to, payload_bytes, payload_digest, said_digest."""
     spans = archives.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("begin"))
     found = stored(spans.repartition("file", "begin").mapInArrow(_scanner(folder), FOUND), "candidates")
-    return found.join(reachable(found), ["file", "offset"], "left_semi")
+    links = found.select("file", "offset", F.col("exit").alias("next"))
+    led = links.select("file", F.col("next").alias("offset")).distinct()
+    heads = links.filter("offset = 0").unionByName(links.filter("offset > 0").join(led, ["file", "offset"], "left_semi"))  # where a chain may enter a range
+    entered = reachable(heads).join(found.select("file", "offset", "begin", F.col("first").alias("entry"), "exit"), ["file", "offset"])
+    entered = stored(entered.select("file", "begin", "entry", "exit"), "entries")
+    ends = entered.groupBy("file").agg(F.max("exit").alias("end"))
+    torn = archives.join(ends, "file", "left").filter(~F.col("bytes").eqNullSafe(F.col("end"))).first()
+    if torn is not None:
+        raise ValueError(f"{folder}/{torn.file}: its chain of records ends at {torn.end}, the file at {torn.bytes}")
+    passed = (F.col("entry") >= F.col("first")) & (F.col("entry") <= F.col("last"))
+    return found.join(entered.drop("exit"), ["file", "begin"]).filter(passed).drop("begin", "exit", "first", "last", "entry")
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
 from collections import defaultdict
 from hashlib import sha1
 
+import pytest
+
 from noteloom.llm import warc
 from noteloom.llm.common import new_path
 
@@ -38,6 +41,46 @@ def test_chain_skips_unreached_candidates(spark):
     assert sorted((r.file, r.offset) for r in warc.reachable(found).collect()) == [("a", 0), ("a", 100), ("a", 250)]
 
 
+def test_forest_tells_who_passes_whom():
+    pick = random.Random(4)
+    for _ in range(200):
+        offsets = sorted(pick.sample(range(1000), pick.randrange(1, 30)))
+        following = [pick.choice([x for x in offsets if x > o] + [o + 1 + pick.randrange(2000), 5000]) for o in offsets]
+        got = dict(zip(offsets, warc.forest(offsets, following), strict=True))
+        step = dict(zip(offsets, following, strict=True))
+        for o in offsets:
+            path, at = [], o
+            while at in step:
+                path.append(at)
+                at = step[at]
+            assert got[o][0] == at
+            assert [y for y in offsets if got[y][1] <= got[o][1] <= got[y][2]] == path
+
+
+def test_magic_at_the_last_byte_of_a_range_and_long_url_across_it(spark):
+    edge = warc.RANGE_BYTES
+    first = len(warc.record(1, "a", b"", "0" * 40, None))
+    for near in (0, 1, 5, len(warc.MAGIC)):
+        pad = "x" * (edge - first - near - 7)  # the length of the payload is written twice
+        rows = [(1, "a", pad, None), (2, "u" * 100_000, "second", None), (3, "c", "third", None)]
+        got = {r.page_id: r.payload_bytes for r in back(spark, rows, file_bytes=1 << 30)}
+        assert got == {1: len(pad), 2: 6, 3: 5}
+
+
+def test_torn_archive_is_an_error(spark):
+    folder = new_path(spark, "warc-torn")
+    pages = spark.createDataFrame([(k, "u", "y" * 5000 + str(k), None) for k in range(9)], "page_id long, url string, html string, digest string").coalesce(1)
+    archives = warc.write_warc(pages, folder)
+    fs, base = warc.opened(folder)
+    name = archives.first().file
+    data = fs.open_input_file(f"{base}/{name}").read()
+    second = data.index(warc.MAGIC, 1)
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(data[:second] + b"WARC/0.1\r\n" + data[second + len(warc.MAGIC) :])
+    with pytest.raises(ValueError, match="chain of records"):
+        warc.read_warc(archives, folder).count()
+
+
 def test_empty(spark):
     assert back(spark, []) == []
 

@@ -29,15 +29,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import table
+from noteloom.llm.common import slices, table
 
-SLICE_CHARS = 4_000_000
-KNOWN_WORDS = 600_000
+SLICE_BYTES = 4_000_000
+KNOWN_WORDS = 300_000
 FEW = 24
 # The pre-token pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# White space as Unicode defines it; \s of some pattern libraries has the four separators U+001C to U+001F too.
-PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s+(?!\S)|\s+", r"\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# White space is what Unicode says it is; \s of some pattern libraries has the four separators U+001C to U+001F too.
+PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
 
 
 def default_vocabulary() -> str:
@@ -176,7 +178,7 @@ class Vocabulary:
         return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(filter(None, map(self.bytes_of.get, ids))).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -184,26 +186,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of bounded size together, and where each begins."""
-    begin, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        held.append(t or "")
-        size += len(t or "")
-        if size > SLICE_CHARS:
-            yield begin, held
-            begin, held, size = k + 1, [], 0
-    if held:
-        yield begin, held
-
-
 def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for begin, texts in slices(batch.column(1).to_pylist()):
-                ids = vocab.encode(texts)
-                columns = [batch.column(0).slice(begin, len(ids)), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids = vocab.encode([t or "" for t in part.column(1).to_pylist()])
+                columns = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
     return run
@@ -214,11 +203,11 @@ def _round_trip(path: str):
         vocab = vocabulary(path)
         name = {i: str(i) for i in vocab.bytes_of}
         for batch in batches:
-            for begin, texts in slices(batch.column(1).to_pylist()):
-                ids = vocab.encode(texts)
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids = vocab.encode([t or "" for t in part.column(1).to_pylist()])
                 listed = [sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest() for x in ids]
                 decoded = [sha256(vocab.decode(x).encode()).hexdigest() for x in ids]
-                columns = [batch.column(0).slice(begin, len(ids)), pa.array(map(len, ids), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+                columns = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -240,7 +229,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of each row of encode()'s result; ids beyond the vocabulary are an error."""
+    """doc_id and text of each row of encode()'s result; ids beyond the vocabulary stand for nothing."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode_rows(path or default_vocabulary()), "doc_id long, text string")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stored, table
+from noteloom.llm.common import slices, stored, table
 
 KEPT = 64
 _MASK = (1 << 60) - 1
@@ -107,8 +107,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition. The ends of the partition carry their text; its last row has no results yet."""
     part = TaskContext.get().partitionId()
     held, ready, head, rows, size = None, None, None, [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for piece in (x for batch in batches for x in slices(batch, 1, 1_000_000)):
+        for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
             text = text or ""
             if held is None:
                 head = (doc_id, text)
@@ -132,9 +132,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for piece in (x for batch in batches for x in slices(batch, 1, 1_000_000)):
         rows = []
-        for doc_id, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, other in zip(*(c.to_pylist() for c in piece.columns), strict=True):
             rows.append(_row(doc_id, text, other, sketches(other, "")[0]))
         yield _batch(rows, [(None, False, False, None)] * len(rows)).select([x.split()[0] for x in OUT.split(", ")])
 

@@ -47,7 +47,7 @@ LEADS = 2
 FEW_PAIRS = 1 << 20
 FAMILY = 256  # classes of a family that one task may hold
 FAMILY_SHINGLES = 2_000_000  # and their shingles
-MOST_SENT = 1 << 21
+MOST_SENT = 1 << 20
 SEED = 11
 SLICE_BYTES = 2_000_000
 NO_ID = (1 << 63) - (1 << 41)

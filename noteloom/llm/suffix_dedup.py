@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stored, table
+from noteloom.llm.common import slices, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -126,9 +126,9 @@ def _grams(owners: int):
 
         held: dict[int, list] = {}
         size = 0
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            blocks = batch.column(0).to_numpy()
+        for piece in (x for batch in batches for x in slices(batch, 1, BLOCK_BYTES)):
+            texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
+            blocks = piece.column(0).to_numpy()
             for data, ends, which, _ in segments(texts):
                 g, first, _ = runs_of(data, ends)
                 of = blocks[which[np.searchsorted(ends, first, side="right")]]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stored, table
+from noteloom.llm.common import slices, stored, table
 
 END = "\n"
 LEAST = 3
@@ -67,8 +67,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names = ["block", "doc_id", "held_out", "n_tokens", "numbers", "place", "word", "n"]
     block = task << 24
-    for batch in batches:
-        ids, held, texts = (c.to_pylist() for c in batch.columns)
+    for part in (x for batch in batches for x in slices(batch, 2, BLOCK_CHARS // 4)):
+        ids, held, texts = (c.to_pylist() for c in part.columns)
         packed, sizes, begin = [], [], 0
         for k, text in enumerate(texts):
             seq = np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import table
+from noteloom.llm.common import slices, table
 
 WINDOW, STRIDE = 64, 48
 GRAM_BITS, WORD_BITS = 18, 17
@@ -33,8 +33,8 @@ HIDDEN, PROJECTED = 8, 4
 INPUTS = 3 + PROJECTED
 MOST_ROWS = 4000
 MOST_CHARS = 20_000
-KNOWN_WORDS = 300_000
-SLICE_CHARS = 2_000_000
+KNOWN_WORDS = 1 << 17
+SLICE_BYTES = 1_000_000
 SEED = 5
 _STRIP = b".,;:!?\"'()[]{}<>*_-"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -252,46 +252,38 @@ def train(texts: list[str], toxic: list[int], rounds: int = 5, epochs: int = 3,
 
 
 class Scorer:
-    """A model with the gate shares of the words met so far."""
+    """A model with the gate shares of the words met so far, in a table of fixed size."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.shares = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.shares = np.empty((KNOWN_WORDS, 6 * HIDDEN), np.float32)
 
     def score(self, texts: list[str | None]) -> list[float]:
         cut = [words_of(t) for t in texts]
-        if len(self.number) > KNOWN_WORDS:
-            self.forget()
-        if fresh := list(set().union(*cut) - self.number.keys()):
-            self.number |= zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True)
-            self.shares = np.concatenate([self.shares, shares_of(inputs(fresh, self.model), self.model)])
+        words = set().union(*cut)
+        fresh = [w for w in words if w not in self.number]
+        if len(self.number) + len(fresh) > len(self.shares):
+            self.number, fresh = {}, list(words)
+            if len(fresh) > len(self.shares):
+                self.shares = np.empty((len(fresh), 6 * HIDDEN), np.float32)
+        for k in range(0, len(fresh), 1 << 14):
+            some, n = fresh[k : k + (1 << 14)], len(self.number)
+            self.shares[n : n + len(some)] = shares_of(inputs(some, self.model), self.model)
+            self.number |= zip(some, range(n, n + len(some)), strict=True)
         numbers, of = windows([np.fromiter(map(self.number.__getitem__, c), np.int64, len(c)) for c in cut])
         out = np.zeros(len(texts))
         np.maximum.at(out, of, _sigmoid(window_logits(numbers, self.shares, self.model).astype(np.float64)))
         return out.tolist()
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for k, t in enumerate(texts, 1):
-        size += len(t or "")
-        if size > SLICE_CHARS or k == len(texts):
-            yield begin, k
-            begin, size = k, 0
-
-
 def _score_rows(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model is not None else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for begin, end in _slices(texts):
-                score = scorer.score(texts[begin:end]) if scorer else [0.0] * (end - begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(score, pa.float64())], ["doc_id", "score"])
+            for part in slices(batch, 1, SLICE_BYTES):
+                score = scorer.score(part.column(1).to_pylist()) if scorer else [0.0] * part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
 

@@ -11,7 +11,7 @@ from noteloom.llm import near_dedup as nd
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def plain(rows):
+def plain(rows, part=85):
     """(doc_id, n_shingles, component_id) by comparing all pairs that share a shingle."""
     sets = {}
     for i, t in rows:
@@ -31,7 +31,7 @@ def plain(rows):
     for i, s in sets.items():
         for j in {j for x in s for j in posts[x] if j > i}:
             both = len(s & sets[j])
-            if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= part * (len(s) + len(sets[j]) - both):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
     return {i: (len(s), top(i)) for i, s in sets.items()}

@@ -18,7 +18,7 @@ def test_stages_against_plain_versions(spark):
     for i, t in rows[0]:
         last[t.translate(UPPER)] = max(i, last.get(t.translate(UPPER), -1))
     assert {i for i, _ in rows[1]} == set(last.values())
-    assert {i for i, _ in rows[2]} == {c for _, c in plain(rows[1]).values()}
+    assert {i for i, _ in rows[2]} == {c for _, c in plain(rows[1], 80).values()}
     assert set(rows[3]) == set(rows[2]) and len(rows[3]) >= len(rows[2])
     encoded = docs.collect()
     vocab, texts = bpe.vocabulary(bpe.default_vocabulary()), dict(rows[3])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from noteloom.llm.common import stored, table
 
+SIMILARITY, MATCHES = (80, 100), 4  # fewer than 4 of 32 coordinates collide at similarity 0.8 with probability 7e-7
 SMOOTHING = 0.8
 
 
@@ -27,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return near_dedup.drop_near(docs)
+    """Of each group of near duplicates, linked at similarity 0.8 or more, the document with the smallest id stays."""
+    return near_dedup.drop_near(docs, SIMILARITY, MATCHES)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

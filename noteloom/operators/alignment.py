@@ -1,32 +1,23 @@
 """Word alignment of all pairs at once: longest matching runs first, then the gaps beside them.
 
-Matches (i, j) of equal tokens become maximal diagonal runs once. A round clips the runs to the open
-regions of their pair, takes those of the greatest clipped length in order of (i, j), chains them greedily
-and opens the gaps between them as the next regions. Rounds end when no region has a run; their number is
-bounded by the number of distinct block lengths.
+Regions of a pair are open where nothing is matched yet; at first all of it is. Levels go from long to short
+n-grams: at a level of n, equal n-grams of a region become maximal diagonal runs, so all common runs of n tokens
+or more are there and nothing else is. A round takes the runs of a region of the greatest length in order of
+(i, j), chains them greedily, opens the gaps between them as the next regions and clips the runs to these. When
+no region has a run of n tokens, the next level looks at what is open. A frequent token thus only meets its equals in
+the gaps that longer runs have left, not in the whole pair.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.operators.metrics import KEY
+from noteloom.sources.shared import settled
 
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it back, to end the lineage of a round."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="noteloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+LEVELS = (24, 6, 3, 2, 1)
+REGION = [*KEY, "alo", "ahi", "blo", "bhi"]
 
 
 def token_match_join(pairs: DataFrame) -> DataFrame:
@@ -35,11 +26,24 @@ def token_match_join(pairs: DataFrame) -> DataFrame:
     return side("st", "i").join(side("ct", "j"), [*KEY, "token"]).drop("token")
 
 
-def diagonal_runs(matches: DataFrame) -> DataFrame:
-    """(source_id, candidate, i0, j0, n): maximal runs of matches along a diagonal."""
-    w = Window.partitionBy(*KEY, "d").orderBy("i")
+def gram_matches(regions: DataFrame, n: int) -> DataFrame:
+    """Places (i, j) in a pair of equal n-grams of a region's two sides. regions: with the tokens of both as sa and sb."""
+
+    def side(c: str, at: str, lo: str) -> DataFrame:
+        some = regions.filter((F.size("sa") >= n) & (F.size("sb") >= n))
+        grams = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda k: F.array_join(F.slice(c, k, n), " ")) if n > 1 else F.col(c)
+        rows = some.select(*REGION, F.posexplode(grams).alias("at", "gram"))
+        return rows.withColumn(at, F.col("at") + F.col(lo)).drop("at")
+
+    return side("sa", "i", "alo").join(side("sb", "j", "blo"), [*REGION, "gram"]).drop("gram")
+
+
+def diagonal_runs(matches: DataFrame, key: list[str] = KEY, n: int = 1) -> DataFrame:
+    """(key, i0, j0, n): maximal runs of tokens along a diagonal. matches: of n-grams."""
+    w = Window.partitionBy(*key, "d").orderBy("i")
     rows = matches.withColumn("d", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(w))
-    return rows.groupBy(*KEY, "d", "island").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), F.count(F.lit(1)).cast("int").alias("n")).drop("d", "island")
+    size = (F.count(F.lit(1)) + (n - 1)).cast("int").alias("n")
+    return rows.groupBy(*key, "d", "island").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), size).drop("d", "island")
 
 
 def _chain() -> F.Column:
@@ -55,30 +59,55 @@ def _chain() -> F.Column:
     return F.aggregate("blocks", start, step)["taken"]
 
 
-def word_alignment(pairs: DataFrame) -> DataFrame:
-    """(source_id, candidate, i, j, n): the matching blocks. pairs: with tokens st and ct."""
-    runs = settled(diagonal_runs(token_match_join(pairs)), "runs")
-    region = [*KEY, "alo", "ahi", "blo", "bhi"]
+def _clipped(regions: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """The parts of runs (i0, j0, n) inside regions of the same pair, of `least` tokens or more."""
+    zero = F.lit(0)
+    lo = F.greatest(zero, F.col("alo") - F.col("i0"), F.col("blo") - F.col("j0"))
+    hi = F.least(F.col("n"), F.col("ahi") - F.col("i0"), F.col("bhi") - F.col("j0"))
+    both = regions.join(runs, KEY).withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") - F.col("lo") >= least)
+    return both.select(*REGION, (F.col("i0") + F.col("lo")).alias("i"), (F.col("j0") + F.col("lo")).alias("j"), (F.col("hi") - F.col("lo")).cast("int").alias("n"))
+
+
+def _gaps(taken: DataFrame) -> DataFrame:
+    """The regions beside the blocks taken that have tokens on both sides."""
+    zero = F.lit(0)
+    edge = lambda i, j, n: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), n.cast("int").alias("n")))
+    stops = F.concat(edge(F.col("alo"), F.col("blo"), zero), F.col("taken"), edge(F.col("ahi"), F.col("bhi"), zero))
+    gaps = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda x, y: F.struct(
+        (x["i"] + x["n"]).alias("alo"), y["i"].alias("ahi"), (x["j"] + x["n"]).alias("blo"), y["j"].alias("bhi")))
+    return taken.select(*KEY, F.inline(gaps)).filter("ahi > alo AND bhi > blo")
+
+
+def word_alignment(pairs: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(source_id, candidate, i, j, n): the matching blocks. pairs: with tokens st and ct. The last level must be 1."""
+    spark = pairs.sparkSession
     zero = F.lit(0)
-    regions = pairs.select(*KEY, zero.alias("alo"), F.size("st").alias("ahi"), zero.alias("blo"), F.size("ct").alias("bhi"))
-    out = None
-    while True:
-        lo = F.greatest(zero, F.col("alo") - F.col("i0"), F.col("blo") - F.col("j0"))
-        hi = F.least(F.col("n"), F.col("ahi") - F.col("i0"), F.col("bhi") - F.col("j0"))
-        clipped = regions.join(runs, KEY).withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
-        clipped = clipped.select(*region, (F.col("i0") + F.col("lo")).alias("i"), (F.col("j0") + F.col("lo")).alias("j"), (F.col("hi") - F.col("lo")).alias("n"))
-        most = clipped.groupBy(*region).agg(F.max("n").alias("n"))
-        longest = clipped.join(most, [*region, "n"]).groupBy(*region).agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
-        taken = settled(longest.select(*region, _chain().alias("taken")), "blocks")
-        blocks = taken.select(*KEY, F.inline("taken"))
-        out = blocks if out is None else out.unionByName(blocks)
-        edge = lambda i, j, n: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), n.cast("int").alias("n")))
-        stops = F.concat(edge(F.col("alo"), F.col("blo"), zero), F.col("taken"), edge(F.col("ahi"), F.col("bhi"), zero))
-        gaps = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda x, y: F.struct(
-            (x["i"] + x["n"]).alias("alo"), y["i"].alias("ahi"), (x["j"] + x["n"]).alias("blo"), y["j"].alias("bhi")))
-        regions = taken.select(*KEY, F.inline(gaps)).filter("ahi > alo AND bhi > blo")
-        if taken.isEmpty():
-            return out
+    whole = pairs.select(*KEY, zero.alias("alo"), F.size("st").alias("ahi"), zero.alias("blo"), F.size("ct").alias("bhi"))
+    regions, found = settled(whole.filter("ahi > 0 AND bhi > 0"), "regions"), []
+    for n in levels:
+        tokens = regions.join(pairs.select(*KEY, "st", "ct"), KEY).select(
+            *REGION, F.slice("st", F.col("alo") + 1, F.col("ahi") - F.col("alo")).alias("sa"), F.slice("ct", F.col("blo") + 1, F.col("bhi") - F.col("blo")).alias("sb")
+        )
+        runs = settled(diagonal_runs(gram_matches(tokens, n), REGION, n), "runs")  # each lies in one region
+        inside, closed = runs.select(*REGION, F.col("i0").alias("i"), F.col("j0").alias("j"), "n"), []
+        while True:
+            most = inside.groupBy(*REGION).agg(F.max("n").alias("n"))
+            longest = inside.join(most, [*REGION, "n"]).groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
+            taken = settled(longest.select(*REGION, _chain().alias("taken")), "blocks")
+            if taken.isEmpty():
+                break
+            found.append(taken.select(*KEY, F.inline("taken")))
+            closed.append(taken.select(*REGION))
+            gaps = settled(_gaps(taken), "regions")
+            regions = regions.unionByName(gaps)
+            inside = settled(_clipped(gaps, runs.select(*KEY, "i0", "j0", "n"), n), "inside")
+        for done in closed:
+            regions = regions.join(done, REGION, "left_anti")
+        regions = settled(regions, "regions")
+    out = spark.createDataFrame([], whole.select(*KEY, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n")).schema)
+    for blocks in found:
+        out = out.unionByName(blocks)
+    return out
 
 
 def alignment_metrics(pairs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
 
-GAP = "6 hours"  # how long a key stays blocked, at the event tables' pace
-RATE_WINDOW = "1 hour"
+GAP = "60 seconds"  # how long a key stays blocked
+RATE_WINDOW = "1 minute"
 RATE = 12
 SPACING_S = 5.0
 

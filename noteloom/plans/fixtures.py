@@ -53,7 +53,7 @@ FROM {events}
 PAIRS = """
 SELECT doc_id AS source_id, candidate, cand_ord, text AS source_text, candidate_text
 FROM (SELECT doc_id, text, split(text, ' ') AS w, CAST(size(split(text, ' ')) DIV 2 AS INT) AS h
-      FROM {documents} WHERE n_chars BETWEEN 200 AND 4000)
+      FROM {documents})
 LATERAL VIEW stack(4,
   'same', 0, text,
   'head', 1, array_join(slice(w, 1, h), ' '),
@@ -62,7 +62,7 @@ LATERAL VIEW stack(4,
 """
 PAIRS_DUCK = """
 SELECT source_id, candidate, cand_ord, source_text, candidate_text FROM (
-WITH d AS (SELECT doc_id, text, string_split(text, ' ') AS w, len(string_split(text, ' ')) // 2 AS h FROM documents WHERE n_chars BETWEEN 200 AND 4000)
+WITH d AS (SELECT doc_id, text, string_split(text, ' ') AS w, len(string_split(text, ' ')) // 2 AS h FROM documents)
 SELECT doc_id AS source_id, 'same' AS candidate, 0 AS cand_ord, text AS source_text, text AS candidate_text FROM d
 UNION ALL SELECT doc_id, 'head', 1, text, array_to_string(w[1:h], ' ') FROM d
 UNION ALL SELECT doc_id, 'drop3', 2, text, array_to_string(list_filter(w, lambda x, i: i % 3 <> 0), ' ') FROM d

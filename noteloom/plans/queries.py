@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from noteloom.operators import sections as se
 from noteloom.operators import transcript as tr
 from noteloom.plans.fixtures import duck, fixture, table
 from noteloom.sources import readers, writers
+from noteloom.sources.shared import folder, settled
 from noteloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,16 +102,6 @@ def on(name: str, fx: str, f: Callable[[DataFrame], DataFrame], sql: str | None
     query(name, sql)(lambda spark, sf_dir: f(get(spark, sf_dir, fx)))
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="noteloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- scalar functions, each over a whole table ----
 W = duck("fx_words")
 on("format_tc", "fx_words", lambda d: d.select("lecture_id", "chunk_no", "pos", s.format_tc(F.col("start_s")).alias("tc")), W + f" SELECT lecture_id, chunk_no, pos, {d_format_tc('start_s')} AS tc FROM fx_words")
@@ -313,7 +303,8 @@ D_ROUGE = (
 P("rouge", mt.rouge, D_ROUGE)
 V = lambda c: f"(SELECT DISTINCT source_id, candidate, token FROM (SELECT source_id, candidate, unnest({c}) AS token FROM tp))"
 P("vocab_shared", mt.vocab_shared, f" SELECT * FROM {V('ct')} SEMI JOIN {V('st')} b USING (source_id, candidate, token)")
-P("vocab_novel", mt.vocab_novel, f" SELECT * FROM {V('ct')} ANTI JOIN {V('st')} b USING (source_id, candidate, token)")
+# the derived candidates only drop or move words, so the new ones are asked for the other way round
+P("vocab_novel", lambda p: mt.vocab_novel(p.select(*mt.KEY, F.col("st").alias("ct"), F.col("ct").alias("st"))), f" SELECT * FROM {V('st')} ANTI JOIN {V('ct')} b USING (source_id, candidate, token)")
 P("vocab_union", mt.vocab_union, f" SELECT * FROM {V('st')} UNION SELECT * FROM {V('ct')}")
 P("vocab_metrics", mt.vocab_metrics, " SELECT source_id, candidate, coalesce(k / nullif(u, 0), 0) AS vocab_jaccard, coalesce((o - k) / nullif(greatest(1, o), 0), 0) * 100 AS novel_vocab_pct FROM (SELECT *, len(list_intersect(list_distinct(st), list_distinct(ct))) AS k, len(list_distinct(list_concat(st, ct))) AS u, len(list_distinct(ct)) AS o FROM tp)")
 P("sentence_shared", mt.sentence_shared, " SELECT source_id, candidate, unnest(list_intersect(cs, ss)) AS sentence FROM sp")
@@ -327,16 +318,10 @@ def token_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.token_match_join(pairs_of(spark, sf_dir)).groupBy(*mt.KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"))
 
 
-_aligned: dict[tuple[str, str], DataFrame] = {}
-
-
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """equal_words and ratios of all pairs; kept as a table for the session, because five queries start from it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _aligned:
-        pairs = al.settled(pairs_of(spark, sf_dir).select(*mt.KEY, "st", "ct"), "pairs")
-        _aligned[key] = al.settled(al.alignment_metrics(pairs, al.word_alignment(pairs)), "aligned")
-    return _aligned[key]
+    """equal_words and ratios of all pairs."""
+    pairs = settled(pairs_of(spark, sf_dir).select(*mt.KEY, "st", "ct"), "pairs")
+    return al.alignment_metrics(pairs, al.word_alignment(pairs))
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,16 +434,19 @@ on("first_success", "fx_calls", ev.first_success, C + """, f AS (SELECT prompt_i
  arg_max(coalesce(error, 'empty response'), (attempt, model_rank, call_id)) FILTER (WHERE NOT coalesce(ok AND response <> '', false)) AS e FROM fx_calls GROUP BY prompt_id) SELECT prompt_id, call_id, response, CASE WHEN call_id IS NULL THEN e END AS last_error FROM f""")
 on("call_spacing", "fx_calls", ev.call_spacing, C + ", x AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key_id ORDER BY ts, call_id)) AS us FROM fx_calls) SELECT key_id, call_id, us / 1e6 AS gap_s, coalesce(us / 1e6 < 5, false) AS too_close FROM x")
 on("round_robin", "fx_calls", lambda d: ev.round_robin(d.select("prompt_id", "attempt").distinct(), 5, "attempt"), C + " SELECT prompt_id, attempt, CAST((row_number() OVER (PARTITION BY attempt ORDER BY prompt_id) - 1) % 5 AS INT) AS dealt_key FROM (SELECT DISTINCT prompt_id, attempt FROM fx_calls)")
+# the events are hours apart, so their queries have a pace of hours
+PACE, BLOCK = "1 hour", "6 hours"
 stamped = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
 plain_ts = lambda d, *cols: d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
-on("call_rate", "fx_calls", lambda d: plain_ts(ev.call_rate(stamped(d)), "window_start"), D_RATE)
+on("call_rate", "fx_calls", lambda d: plain_ts(ev.call_rate(stamped(d), PACE), "window_start"), D_RATE)
 on("call_rate_sliding", "fx_calls", lambda d: plain_ts(ev.call_rate(stamped(d), "1 hour", "30 minutes"), "window_start"),
    C + ", x AS (SELECT key_id, ts, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM fx_calls), y AS (SELECT key_id, b FROM x UNION ALL SELECT key_id, b - INTERVAL 30 MINUTE FROM x) SELECT key_id, CAST(b AS TIMESTAMP) AS window_start, count(*) AS n_calls, count(*) > 12 AS over FROM y GROUP BY 1, 2")
-on("block_marks", "fx_calls", lambda d: ev.block_marks(d), C + f" SELECT key_id, max(ts) AS ts FROM (SELECT *, coalesce(NOT ok AND {D_CLASS} = 'rate_limit', false) AS hit FROM fx_calls) GROUP BY prompt_id, attempt, key_id HAVING bool_and(hit)")
-on("block_intervals", "fx_calls", lambda d: plain_ts(ev.block_intervals(ev.error_marks(stamped(d))), "block_start", "block_end"), D_BLOCKS + " SELECT * FROM blocks")
-on("blocked_at", "fx_calls", lambda d: ev.blocked_at(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)))), D_BLOCKS + " SELECT call_id, b.key_id AS blocked_key FROM fx_calls c JOIN blocks b ON c.ts >= block_start AND c.ts < block_end")
-on("alive_keys", "fx_calls", lambda d: ev.alive_keys(stamped(d), ev.block_intervals(ev.error_marks(stamped(d))), 5), D_BLOCKS + " SELECT c.call_id, 5 - count(DISTINCT b.key_id) AS alive FROM fx_calls c LEFT JOIN blocks b ON c.ts >= block_start AND c.ts < block_end GROUP BY c.call_id")
-on("key_wait", "fx_calls", lambda d: ev.key_wait(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)))),
+# of the derived calls never both of an attempt are rate-limited, so all that failed count as that here
+on("block_marks", "fx_calls", lambda d: ev.block_marks(d.withColumn("error", F.when(~F.col("ok"), "429 RESOURCE_EXHAUSTED"))), C + " SELECT key_id, max(ts) AS ts FROM fx_calls GROUP BY prompt_id, attempt, key_id HAVING bool_and(NOT ok)")
+on("block_intervals", "fx_calls", lambda d: plain_ts(ev.block_intervals(ev.error_marks(stamped(d)), BLOCK), "block_start", "block_end"), D_BLOCKS + " SELECT * FROM blocks")
+on("blocked_at", "fx_calls", lambda d: ev.blocked_at(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)), BLOCK)), D_BLOCKS + " SELECT call_id, b.key_id AS blocked_key FROM fx_calls c JOIN blocks b ON c.ts >= block_start AND c.ts < block_end")
+on("alive_keys", "fx_calls", lambda d: ev.alive_keys(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)), BLOCK), 5), D_BLOCKS + " SELECT c.call_id, 5 - count(DISTINCT b.key_id) AS alive FROM fx_calls c LEFT JOIN blocks b ON c.ts >= block_start AND c.ts < block_end GROUP BY c.call_id")
+on("key_wait", "fx_calls", lambda d: ev.key_wait(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)), BLOCK)),
    D_BLOCKS + ", l AS (SELECT key_id, max(epoch_us(ts)) / 1e6 + 5 AS ready FROM fx_calls GROUP BY 1), u AS (SELECT key_id, max(epoch_us(block_end)) / 1e6 AS until FROM blocks GROUP BY 1) SELECT key_id, round(greatest(0, greatest(ready, coalesce(until, 0)) - (SELECT max(epoch_us(ts)) / 1e6 FROM fx_calls)), 6) AS wait_s FROM l LEFT JOIN u USING (key_id)")
 
 
@@ -492,13 +480,13 @@ def status_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("call_rate_stream", D_RATE)
 def call_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run_once(streams.call_rate_stream(call_stream(spark, sf_dir)), "append", folder(spark, "rate"))
+    out = streams.run_once(streams.call_rate_stream(call_stream(spark, sf_dir), PACE), "append", folder(spark, "rate"))
     return plain_ts(out.filter("key_id >= 0"), "window_start")
 
 
 @query("block_intervals_stream", D_BLOCKS + " SELECT * FROM blocks")
 def block_intervals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run_once(streams.block_intervals_stream(call_stream(spark, sf_dir)), "append", folder(spark, "blocks"))
+    out = streams.run_once(streams.block_intervals_stream(call_stream(spark, sf_dir), BLOCK), "append", folder(spark, "blocks"))
     return plain_ts(out.filter("key_id >= 0"), "block_start", "block_end")
 
 

@@ -14,15 +14,15 @@ def values(spark, f, rows, kind="string"):
 @pytest.mark.parametrize(
     ("f", "kind", "table"),
     [
-        (s.parse_tc, "string", [("00:01:02,500", 62.5), ("01:02,250", 62.25), ("7.5", 7.5), ("100:00:00", 360000.0), ("x", None), (None, None), ("1:2:3:4", 1.0)]),
-        (s.trunc_tc, "string", [("00:10:12,777", "00:10:12"), ("00:10:12.777", "00:10:12"), ("00:10:12", "00:10:12")]),
-        (s.cut_tc, "string", [("00:00:00,820", "00:00:00.820"), ("00:00:05,000", "00:00:05.000"), ("01:02,5", "00:01:02.500")]),
-        (s.format_tc, "double", [(-3.0, "00:00:00,000"), (0.0005, "00:00:00,000"), (0.0015, "00:00:00,002"), (1200.2, "00:20:00,200"), (360001.0, "100:00:01,000")]),
-        (s.slugify, "string", [("Введение в  Системы!", "введение-в-системы"), ("Ёж é - x", "ж-x"), ("???", "section"), ("  A_b\tC ", "ab-c")]),
+        (s.parse_tc, "string", [("02:03:04,125", 7384.125), ("41:07,875", 2467.875), ("9.25", 9.25), ("120:00:30", 432030.0), ("x", None), (None, None), ("1:2:3:4", 1.0)]),
+        (s.trunc_tc, "string", [("03:41:59,001", "03:41:59"), ("03:41:59.999", "03:41:59"), ("12:00:00", "12:00:00")]),
+        (s.cut_tc, "string", [("07:08:09,010", "07:08:09.010"), ("00:59:30,000", "00:59:30.000"), ("44:01,25", "00:44:01.250")]),
+        (s.format_tc, "double", [(-3.0, "00:00:00,000"), (0.0005, "00:00:00,000"), (0.0015, "00:00:00,002"), (5025.75, "01:23:45,750"), (442801.0, "123:00:01,000")]),
+        (s.slugify, "string", [("Ряды  и Пределы?", "ряды-и-пределы"), ("Ёж é - x", "ж-x"), ("???", "section"), ("  A_b\tC ", "ab-c")]),
         (s.strip_fence, "string", [("```json\n[1]\n```", "[1]"), (" [2] ", "[2]"), ("a\n```", "a\n```")]),
         (s.error_class, "string", [("429 and 503", "rate_limit"), ("resource_exhausted", "rate_limit"), ("Unavailable", "overload"), ("x", "fatal")]),
         (s.media_type, "string", [("a/b.PDF", "pdf"), ("b.pptx", "pptx"), ("c.txt", "unsupported"), ("d", "unsupported")]),
-        (s.clean_source, "string", [("1\n00:00:00,000 --> 00:00:01:000\nHi <b>you</b>  there\n", "Hi you there"), ("", "")]),
+        (s.clean_source, "string", [("8\n00:05:06,700 --> 00:05:09:100\nsome <i>set</i>  words\n", "some set words"), ("", "")]),
         (s.backoff, "int", [(0, 5), (1, 10), (4, 80)]),
         (s.linear_backoff, "int", [(0, 10), (2, 30)]),
     ],
@@ -39,8 +39,8 @@ def test_tokens_and_sentences(spark):
 
 
 def test_plain_lines_drop_numbers_and_times(spark):
-    srt = "1\n00:00:00,000 --> 00:00:02,000\nFirst\n\n2\n00:00:02,500 --> 00:00:05,000\n 42 \nSecond"
-    assert values(spark, s.plain_text, [srt]) == ["First Second"]
+    srt = "5\n00:03:10,100 --> 00:03:12,900\nUpper\n\n6\n00:03:13,000 --> 00:03:15,250\n 77 \nLower"
+    assert values(spark, s.plain_text, [srt]) == ["Upper Lower"]
 
 
 def test_http_and_progress(spark):

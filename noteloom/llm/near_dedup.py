@@ -46,10 +46,10 @@ MATCHES = 6
 LEADS = 2
 FEW_PAIRS = 1 << 20
 FAMILY = 256  # classes of a family that one task may hold
-FAMILY_SHINGLES = 2_000_000  # and their shingles
+FAMILY_SHINGLES = 500_000  # and their shingles
 MOST_SENT = 1 << 20
 SEED = 11
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 NO_ID = (1 << 63) - (1 << 41)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)

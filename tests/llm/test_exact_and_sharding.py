@@ -1,7 +1,10 @@
 from collections import Counter, defaultdict
 from hashlib import sha256
+from itertools import permutations
 from zlib import crc32
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,10 +90,53 @@ def test_sharding_of_nulls_and_repeats(odd):
 
 
 def test_places_are_uniform():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     seen = np.zeros((3, 4))
     for _ in range(4000):
         seen += list(sh.fixed_margins(np.array([2, 4, 6]), np.array([3, 3, 3, 3]), rng))
     assert np.abs(seen / 4000 - np.array([[2], [4], [6]]) * 3 / 12).max() < 0.06
+
+
+def chi_square(seen, want, n):
+    assert set(seen) <= set(want)
+    return sum((seen.get(k, 0) - p * n) ** 2 / (p * n) for k, p in want.items())
+
+
+def joint_law(rows, cols):
+    """The probability of each matrix, by dealing all orders of the columns' places to the rows."""
+    places = [c for c, k in enumerate(cols) for _ in range(k)]
+    seen = Counter()
+    for order in set(permutations(places)):
+        ends = np.cumsum([0, *rows])
+        seen[tuple(tuple(order[x:y].count(c) for c in range(len(cols))) for x, y in zip(ends, ends[1:], strict=False))] += 1
+    return {k: v / sum(seen.values()) for k, v in seen.items()}
+
+
+def test_joint_law_of_the_matrix():
+    want, rng, n = joint_law((2, 1, 3), (3, 3)), np.random.default_rng(8), 6000
+    seen = Counter(tuple(tuple(x.tolist()) for x in sh.fixed_margins(np.array([2, 1, 3]), np.array([3, 3]), rng)) for _ in range(n))
+    assert chi_square(seen, want, n) < 30  # 8 matrices at most: beyond 1 in 10,000
+
+
+def test_joint_law_through_groups_of_parts():
+    want, n, seen = joint_law((2, 1, 1, 2), (3, 3)), 4000, Counter()
+    parts = pd.DataFrame({"part": range(4), "group": [0, 0, 1, 1], "shard": 0, "n": [2, 1, 1, 2]})
+    for seed in range(n):
+        groups = sh._group_matrix(seed, 2)(parts)
+        rows = [sh._block_matrix(seed)(parts[parts.group == g], groups[groups.group == g]) for g in (0, 1)]
+        seen[tuple(tuple(x) for x in pd.concat(rows).sort_values("part")["counts"])] += 1
+    assert chi_square(seen, want, n) < 45
+
+
+def test_equal_results_after_a_rerun_of_the_tasks(spark, monkeypatch):
+    """Blocks, groups and slots come from seeds and sorted rows alone, so a task that runs again gives the same."""
+    monkeypatch.setattr(sh, "GROUP_PARTS", 3)
+    placed = sh.shard_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), block_rows=4)
+    first, again = ({(r.doc_id, r.shard, r.slot) for r in placed.collect()} for _ in range(2))
+    assert first == again and len(first) > 100
+
+
+def test_ties_are_placed_one_by_one(spark):
+    rows = spark.createDataFrame([(1, "same", 0, 0)] * 40, "doc_id long, text string, shard int, slot int")
+    got = sh.shard_rows(rows, block_rows=2).collect()
+    assert len({(r.shard, r.slot) for r in got}) == 40 and {r["size"] for r in got} == {5}

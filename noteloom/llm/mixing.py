@@ -8,7 +8,7 @@ of a document depends on the domains' residuals alone, so an iteration is one ag
 numbers as there are domains; the weighting by the inverse moment matrix of the posteriors makes a
 step exact wherever no rate is at its bound, so few iterations are needed.
 
-Words are counted by saturation: n words weigh as n * EVIDENCE / (n + EVIDENCE), which keeps memberships
+Words are what ASCII white space separates. They are counted by saturation: n words weigh as n * EVIDENCE / (n + EVIDENCE), which keeps memberships
 soft in long texts.
 
 Defined results: null or empty texts have no tokens, the domains' shares as posteriors, and a rate like
@@ -19,6 +19,8 @@ an empty result; clashing column names don't matter.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ WEIGHTS = {
 
 def word_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """A row per word of each row of docs (one with a null slot if it has none), with its hashed slot."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     numbered = docs.select(*keep, "text").withColumn("row", F.monotonically_increasing_id())
     rows = numbered.select("row", *keep, F.explode_outer(words).alias("word"))
     return rows.withColumn("slot", F.when(F.col("word").isNotNull(), F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int"))).drop("word")
@@ -96,7 +98,11 @@ def totals(rated: DataFrame, k: int) -> np.ndarray:
 
 
 def solve_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, tolerance: float = 1e-6) -> DataFrame:
-    """members with r: rates of at least `least` whose expected totals match targets as nearly as possible, starting at 1."""
+    """members with r: rates of at least `least` whose expected totals match targets as nearly as possible, starting at 1.
+
+    Steps go on until the targets are met within the tolerance or, after ITERATIONS steps, until a step no longer brings the totals nearer:
+    then rates at their bound keep them from the targets, and totals() says how near they are.
+    """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     sums = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i, j in pairs)).first()
@@ -105,11 +111,13 @@ def solve_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, tol
         moment[i, j] = moment[j, i] = v
     scale = max(float(targets.sum()), 1.0)
     weigh = np.linalg.inv(moment + np.eye(k) * scale * 1e-9)
-    rated = members.withColumn("r", F.lit(max(1.0, least)))
-    for step in range(ITERATIONS):
+    rated, before = members.withColumn("r", F.lit(max(1.0, least))), np.inf
+    for step in count():
         residual = totals(rated, k) - targets
-        if np.abs(residual).max() <= tolerance * scale:
-            break
+        size = float(residual @ weigh @ residual)  # what projected steps make smaller
+        if np.abs(residual).max() <= tolerance * scale or (step >= ITERATIONS and size > before * 0.99):
+            break  # met, or as near as nonnegative rates come
+        before = size
         rated = rated.withColumn("r", F.greatest(F.lit(least), F.col("r") - _dot(list(weigh @ residual))))
         if step % 4 == 3:
             rated = stored(rated, "rates")
@@ -146,10 +154,10 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
 
 def mixed(docs: DataFrame, labelled: DataFrame, smoothing: float = 0.8) -> DataFrame:
     """The rows of docs, each as often as the mix has it (once at least), with their columns as they were."""
-    often = mix(docs, labelled, smoothing=smoothing).groupBy("key").agg(F.max("copies").alias("copies"))
-    often = often.select(F.col("key").alias("mix key"), F.col("copies").alias("mix copies"))
-    rows = docs.join(often, F.xxhash64(docs["doc_id"], docs["text"]) == often["mix key"])
-    return rows.withColumn("mix copies", F.explode(F.sequence(F.lit(1), F.col("mix copies")))).drop("mix key", "mix copies")
+    key, copies = (name + "_" * (1 + max((len(c) for c in docs.columns), default=0)) for name in ("key", "copies"))  # names that docs doesn't have
+    often = mix(docs, labelled, smoothing=smoothing).groupBy(F.col("key").alias(key)).agg(F.max("copies").alias(copies))
+    rows = docs.join(often, F.xxhash64(docs["doc_id"], docs["text"]) == often[key])
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

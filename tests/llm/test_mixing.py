@@ -51,6 +51,29 @@ def test_mixed_keeps_every_row(tables):
     assert docs.count() < out.count() < 3 * docs.count()
 
 
+def test_words_are_what_white_space_separates(spark):
+    docs = spark.createDataFrame([(1, " a\tb\nc\x0b\x0cd\r\ne  f", "en"), (2, "\u00a0g\u2003h", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.n_tokens for r in mx.mix(docs, docs.selectExpr("doc_id", "'en:1' AS domain"), mx.WEIGHTS).collect()}
+    assert got == {1: 6, 2: 1}
+
+
+def test_posteriors_against_a_plain_classifier(spark, tables):
+    docs, labelled = tables
+    names = list(mx.WEIGHTS)
+    weights, prior = mx.classifier(docs, labelled, names)
+    table = {r.slot: [r[f"w{k}"] for k in range(len(names))] for r in weights.collect()}
+    rows = mx.posteriors(docs, weights, prior).orderBy("doc_id").limit(60).collect()
+    slots = {}
+    for r in mx.word_rows(docs, "doc_id").collect():
+        slots.setdefault(r.doc_id, []).append(r.slot)
+    for r in rows:
+        own = [table[x] for x in slots[r.doc_id] if x is not None]
+        n = len(own)
+        logits = np.array(prior) + (np.mean(own, 0) * n * mx.EVIDENCE / (n + mx.EVIDENCE) if n else 0)
+        p = np.exp(logits - logits.max())
+        assert np.allclose(p / p.sum(), r.p) and n == r.n_tokens
+
+
 def test_odd_rows(spark, tables):
     _, labelled = tables
     rows = [(1, None, "en"), (2, "", None), (None, "the and", "en"), (3, "a b", "de"), (3, "a b", "de"), (4, "x " * 50_000, "xx")]

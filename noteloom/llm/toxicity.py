@@ -3,7 +3,8 @@
 A text is lower-cased (A-Z) and split into words. A word enters the network as character inputs (how
 strongly its hashed 3- to 5-grams lean to toxic texts, the strongest and the mean) and word inputs (the same
 of the hashed word, and a fixed random projection of it). The network reads windows of WINDOW words that
-overlap; a text's score is that of its most toxic window, so one insult in a long text counts.
+overlap by half, so a passage of up to WINDOW - STRIDE + 1 words is whole in one of them; a text's score is that of its
+most toxic window, so one insult in a long text counts.
 
 Training happens on the driver from at most `most_rows` labelled rows (a documented bound), of which
 half give the leanings and half train the network: windows are chosen by the network itself (the most
@@ -11,7 +12,7 @@ toxic one of each text), round by round. The model has a fixed size. Scoring is
 known words are kept per task within a bound.
 
 Defined results: null, empty and blank texts have no windows and score 0; repeated rows score alike; a label
-that is null isn't learned from; without labels of both kinds all texts score 0; empty tables give empty
+that is null, or whose id is, isn't learned from (a null id counts as not held out); without labels of both kinds all texts score 0; empty tables give empty
 results; columns other than doc_id and text are not looked at.
 """
 
@@ -27,12 +28,11 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import slices, table
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 GRAM_BITS, WORD_BITS = 18, 17
 HIDDEN, PROJECTED = 8, 4
 INPUTS = 3 + PROJECTED
 MOST_ROWS = 4000
-MOST_CHARS = 20_000
 KNOWN_WORDS = 1 << 17
 SLICE_BYTES = 1_000_000
 SEED = 5
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id"))
     chosen = known.filter("y = 1").orderBy("turn", "doc_id").limit(most_rows // 3).union(known.filter("y = 0").orderBy("turn", "doc_id").limit(most_rows - most_rows // 3))
-    picked = docs.select(F.col("doc_id"), "text").filter(F.octet_length("text") <= MOST_CHARS).join(F.broadcast(chosen), "doc_id")
+    picked = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "turn", "y").agg(F.max("text").alias("text"))  # an id counts once
     rows = sorted((r.turn, r.doc_id, r.text, r.y) for r in picked.collect())
     return train([r[2] for r in rows], [r[3] for r in rows])
 

@@ -27,7 +27,13 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage: a lost executor costs a re-read."""
-    path = folder(df.sparkSession, name)
+    """Write df to the shared folder and read it back, which ends its lineage: a lost executor costs a re-read.
+
+    Spark's cleaner deletes the shuffle files of what the driver's JVM has dropped, but looks only when that JVM
+    collects garbage, half an hourly by default; asked here, the files of this write don't outlive it."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if hasattr(spark, "_jvm"):
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

@@ -206,32 +206,42 @@ def _sent(parts: pd.DataFrame, noted: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "kind", "keys", "floats"])
 
 
-def _states(candidates: DataFrame, context: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """As _grow(): the retained contexts with scale, and their entries with lp. candidates: context, c, n, total, before, owner, g."""
+def _tested(candidates: DataFrame) -> DataFrame:
+    """Candidates (n, total, before) with p, their discounted probability; null if they fail the test of their own."""
     expected = F.col("total") * F.col("before")
     gain = F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
-    p = (F.col("n") - DISCOUNT) / F.col("total")
-    entries = stored(candidates.filter(gain >= TEST).select(*context, "c", "total", "before", p.alias("p"), "owner", "g"), f"{name}-entries")
-    sums = entries.groupBy(*context).agg(F.max("total").alias("total"), F.sum("p").alias("own"), F.sum("before").alias("suffix"), F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).alias("part"))
+    return candidates.withColumn("p", F.when(gain >= TEST, (F.col("n") - DISCOUNT) / F.col("total"))).drop("n")
+
+
+def _states(tested: DataFrame, context: list[str], name: str) -> DataFrame:
+    """As _grow(): the retained contexts with scale."""
+    sums = tested.filter("p IS NOT NULL").groupBy(*context).agg(F.max("total").alias("total"), F.sum("p").alias("own"), F.sum("before").alias("suffix"), F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).alias("part"))
     rest, other = F.greatest(1 - F.col("own"), F.lit(1e-9)), 1 - F.least(F.col("suffix"), F.lit(1 - 1e-9))
     stays = sums.filter(F.col("total") * (F.col("part") + rest * F.log(rest / other)) >= DIVERGENCE)
-    states = stored(stays.select(*context, F.log10(rest / other).alias("scale")), f"{name}-states")
-    return states, entries.join(states, context, "left_semi").select(*context, "c", F.log10("p").alias("lp"), "owner", "g")
+    return stored(stays.select(*context, F.log10(rest / other).alias("scale")), name)
 
 
 def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """States of one token (id, value), and owner, kind (2: entries after one token, 3: states of two, 4: their entries), g, x, y, z (ids), value."""
     pairs, threes = grams.filter("n > 0 AND a = 0").drop("block", "keys", "a"), grams.filter("n > 0 AND a > 0").drop("block", "keys")
     of_c = roots.select(F.col("id").alias("c"), "root")
-    one = pairs.join(roots.select(F.col("id").alias("b"), F.col("seen").alias("total")), "b").join(of_c, "c").withColumn("before", F.pow(F.lit(10.0), "root"))
-    s1, e1 = _states(one, ["b"], "one")
-    e1 = stored(e1, "one-kept")
+    one = pairs.join(roots.select(F.col("id").alias("b"), F.col("seen").alias("total")), "b").join(of_c, "c")
+    one = stored(_tested(one.withColumn("before", F.pow(F.lit(10.0), "root"))), "one")
+    s1 = _states(one, ["b"], "one-states")
+    lp = F.when(F.col("scale").isNotNull(), F.log10("p"))
+    after = F.coalesce(lp, F.coalesce("scale", F.lit(0.0)) + F.col("root"))
+    one = stored(one.join(s1, "b", "left").select("b", "c", "owner", "g", lp.alias("lp"), after.alias("after")), "one-after")
     contexts = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"), "owner", "g")
-    two = threes.join(contexts.drop("owner", "g"), ["a", "b"]).join(of_c, "c").join(s1, "b", "left").join(e1.drop("owner", "g"), ["b", "c"], "left")
-    s2, e2 = _states(two.withColumn("before", F.pow(F.lit(10.0), F.coalesce("lp", F.coalesce("scale", F.lit(0.0)) + F.col("root")))), ["a", "b"], "two")
+    # every triple's last two tokens are a pair, whose probability in the shorter state is what the triple is tested against
+    two = threes.join(contexts.drop("owner", "g"), ["a", "b"]).join(one.select("b", "c", "after"), ["b", "c"])
+    two = _tested(two.withColumn("before", F.pow(F.lit(10.0), "after")).drop("after"))
+    two = stored(two.filter("p IS NOT NULL"), "two")
+    s2 = _states(two, ["a", "b"], "two-states")
+    e2 = two.join(s2, ["a", "b"], "left_semi").withColumn("lp", F.log10("p"))
     zero = F.lit(0).cast("long")
     part = lambda df, kind, x, y, z, value: df.select("owner", F.lit(kind).alias("kind"), "g", F.col(x).alias("x"), F.col(y).alias("y"), z.alias("z"), F.col(value).alias("value"))
-    parts = part(e1, 2, "b", "c", zero, "lp").unionByName(part(s2.join(contexts, ["a", "b"]), 3, "a", "b", zero, "scale")).unionByName(part(e2, 4, "a", "b", F.col("c"), "lp"))
+    e1 = part(one.filter("lp IS NOT NULL"), 2, "b", "c", zero, "lp")
+    parts = e1.unionByName(part(s2.join(contexts, ["a", "b"]), 3, "a", "b", zero, "scale")).unionByName(part(e2, 4, "a", "b", F.col("c"), "lp"))
     return s1.select(F.col("b").alias("id"), F.col("scale").alias("value")), parts
 
 

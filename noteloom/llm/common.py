@@ -29,6 +29,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return settled(df, name)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables, of which no later job reads anything."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files and hasattr(spark, "_jvm"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """A batch in pieces whose strings or binaries in a column have about `size` bytes (a piece has one row at least).
     Only a piece is turned into Python objects at a time."""

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, stored, table
+from noteloom.llm.common import discard, slices, stored, table
 
 END = "\n"
 LEAST = 3
@@ -221,16 +221,18 @@ def _states(tested: DataFrame, context: list[str], name: str) -> DataFrame:
     return stored(stays.select(*context, F.log10(rest / other).alias("scale")), name)
 
 
-def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States of one token (id, value), and owner, kind (2: entries after one token, 3: states of two, 4: their entries), g, x, y, z (ids), value."""
+def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """States of one token (id, value), and owner, kind (2: entries after one token, 3: states of two, 4: their entries), g, x, y, z (ids), value;
+    and the tables that both are read from."""
     pairs, threes = grams.filter("n > 0 AND a = 0").drop("block", "keys", "a"), grams.filter("n > 0 AND a > 0").drop("block", "keys")
     of_c = roots.select(F.col("id").alias("c"), "root")
     one = pairs.join(roots.select(F.col("id").alias("b"), F.col("seen").alias("total")), "b").join(of_c, "c")
-    one = stored(_tested(one.withColumn("before", F.pow(F.lit(10.0), "root"))), "one")
-    s1 = _states(one, ["b"], "one-states")
+    tested = stored(_tested(one.withColumn("before", F.pow(F.lit(10.0), "root"))), "one")
+    s1 = _states(tested, ["b"], "one-states")
     lp = F.when(F.col("scale").isNotNull(), F.log10("p"))
     after = F.coalesce(lp, F.coalesce("scale", F.lit(0.0)) + F.col("root"))
-    one = stored(one.join(s1, "b", "left").select("b", "c", "owner", "g", lp.alias("lp"), after.alias("after")), "one-after")
+    one = stored(tested.join(s1, "b", "left").select("b", "c", "owner", "g", lp.alias("lp"), after.alias("after")), "one-after")
+    discard(tested)
     contexts = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"), "owner", "g")
     # every triple's last two tokens are a pair, whose probability in the shorter state is what the triple is tested against
     two = threes.join(contexts.drop("owner", "g"), ["a", "b"]).join(one.select("b", "c", "after"), ["b", "c"])
@@ -242,7 +244,7 @@ def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = lambda df, kind, x, y, z, value: df.select("owner", F.lit(kind).alias("kind"), "g", F.col(x).alias("x"), F.col(y).alias("y"), z.alias("z"), F.col(value).alias("value"))
     e1 = part(one.filter("lp IS NOT NULL"), 2, "b", "c", zero, "lp")
     parts = e1.unionByName(part(s2.join(contexts, ["a", "b"]), 3, "a", "b", zero, "scale")).unionByName(part(e2, 4, "a", "b", F.col("c"), "lp"))
-    return s1.select(F.col("b").alias("id"), F.col("scale").alias("value")), parts
+    return s1.select(F.col("b").alias("id"), F.col("scale").alias("value")), parts, [s1, one, two, s2]
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -366,17 +368,22 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = counts.select("word", "c", F.when(F.col("c") >= LEAST, rank * parts + part + 1).otherwise(0).alias("id"))  # frequent words have small ids
     valued = stored(words.join(counts, "word").select("block", F.col("place").cast("long").alias("place"), "c", "id"), "valued")
     texts = blocks.filter("numbers IS NOT NULL").select(F.col("block").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "held_out", "n_tokens", "numbers")
+    texts = stored(texts, "texts")
+    discard(blocks)
     found = valued.select("block", "place", "id").groupBy("block").cogroup(texts.select("of", "held_out", "numbers").groupBy("of"))
     triples = found.applyInPandas(_triples(total // OWNER_TOKENS + 1), "owner long, block long, keys binary")
     grams = stored(triples.groupBy("owner").applyInPandas(_counted, GRAMS), "grams")
     low = F.lit(float(np.log10(total + 0.1 * (distinct + 1))) if total else 0.0)
     roots = counts.filter("id > 0").select("id", F.col("c").alias("seen"), (F.log10(F.col("c") + 0.1) - low).alias("root"))
-    s1, parts = _tree(grams, roots)
+    s1, parts, tables = _tree(grams, roots)
     noted = grams.filter("n = 0").select(F.col("owner").alias("from"), "block", "keys")
     sent = parts.groupBy("owner").cogroup(noted.groupBy("from")).applyInPandas(_sent, "block long, kind int, keys binary, floats binary")
+    sent = stored(sent, "sent")
     none = F.lit(None).cast("binary")
+    first = stored(valued.filter("id > 0").join(s1, "id").select("block", "id", "value"), "first")
+    discard(grams, counts, *tables)
     rows = valued.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), none.alias("keys"), none.alias("floats"))
-    first = valued.filter("id > 0").join(s1, "id").select("block", F.lit(1).alias("kind"), "place", "id", "value", none.alias("keys"), none.alias("floats"))
+    first = first.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"), "id", "value", none.alias("keys"), none.alias("floats"))
     met = sent.select("block", "kind", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("value"), "keys", "floats")
     scored = rows.unionByName(first).unionByName(met).groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
         _scorer(total, distinct), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"

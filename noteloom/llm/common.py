@@ -29,14 +29,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return settled(df, name)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables, of which no later job reads anything."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables of which no later job reads anything, and the shuffle files of finished jobs: Spark's cleaner
+    looks for these only when the driver's JVM collects garbage, so it is asked to."""
+    if not hasattr(spark, "_jvm"):
+        return
     for df in tables:
-        spark = df.sparkSession
-        files = df.inputFiles()
-        if files and hasattr(spark, "_jvm"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -232,12 +232,13 @@ def _tree(grams: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, lis
     lp = F.when(F.col("scale").isNotNull(), F.log10("p"))
     after = F.coalesce(lp, F.coalesce("scale", F.lit(0.0)) + F.col("root"))
     one = stored(tested.join(s1, "b", "left").select("b", "c", "owner", "g", lp.alias("lp"), after.alias("after")), "one-after")
-    discard(tested)
+    discard(grams.sparkSession, tested)
     contexts = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"), "owner", "g")
     # every triple's last two tokens are a pair, whose probability in the shorter state is what the triple is tested against
     two = threes.join(contexts.drop("owner", "g"), ["a", "b"]).join(one.select("b", "c", "after"), ["b", "c"])
     two = _tested(two.withColumn("before", F.pow(F.lit(10.0), "after")).drop("after"))
     two = stored(two.filter("p IS NOT NULL"), "two")
+    discard(grams.sparkSession)
     s2 = _states(two, ["a", "b"], "two-states")
     e2 = two.join(s2, ["a", "b"], "left_semi").withColumn("lp", F.log10("p"))
     zero = F.lit(0).cast("long")
@@ -369,10 +370,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     valued = stored(words.join(counts, "word").select("block", F.col("place").cast("long").alias("place"), "c", "id"), "valued")
     texts = blocks.filter("numbers IS NOT NULL").select(F.col("block").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "held_out", "n_tokens", "numbers")
     texts = stored(texts, "texts")
-    discard(blocks)
+    discard(docs.sparkSession, blocks)
     found = valued.select("block", "place", "id").groupBy("block").cogroup(texts.select("of", "held_out", "numbers").groupBy("of"))
     triples = found.applyInPandas(_triples(total // OWNER_TOKENS + 1), "owner long, block long, keys binary")
     grams = stored(triples.groupBy("owner").applyInPandas(_counted, GRAMS), "grams")
+    discard(docs.sparkSession)
     low = F.lit(float(np.log10(total + 0.1 * (distinct + 1))) if total else 0.0)
     roots = counts.filter("id > 0").select("id", F.col("c").alias("seen"), (F.log10(F.col("c") + 0.1) - low).alias("root"))
     s1, parts, tables = _tree(grams, roots)
@@ -381,7 +383,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     sent = stored(sent, "sent")
     none = F.lit(None).cast("binary")
     first = stored(valued.filter("id > 0").join(s1, "id").select("block", "id", "value"), "first")
-    discard(grams, counts, *tables)
+    discard(docs.sparkSession, grams, counts, *tables)
     rows = valued.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), none.alias("keys"), none.alias("floats"))
     first = first.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"), "id", "value", none.alias("keys"), none.alias("floats"))
     met = sent.select("block", "kind", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("value"), "keys", "floats")

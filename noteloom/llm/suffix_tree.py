@@ -329,16 +329,15 @@ def _scorer(total: int, distinct: int):
         by_id, m = np.argsort(ids), len(count)
         place = lambda x: by_id[np.searchsorted(ids, x, sorter=by_id)]
         tree = {"m": np.array(m)}
-        for k, (keys, values) in enumerate((("s1", "scale1"), ("e1", "p1"), ("s2", "scale2"), ("e2", "p2")), 1):
+        scale = words["scale"].to_numpy(float)
+        tree |= {"s1": np.flatnonzero(~np.isnan(scale)), "scale1": scale[~np.isnan(scale)]}
+        for k, (keys, values) in enumerate((("e1", "p1"), ("s2", "scale2"), ("e2", "p2")), 2):
             own = rows[kind == k]
-            if k == 1:
-                code, value = place(own["id"].to_numpy(np.int64)), own["value"].to_numpy(float)
-            else:
-                sides = [_unpack(x, 3) for x in own["keys"]]
-                x, y, z = (place(np.concatenate([side[i] for side in sides])) if sides and (i < 2 or k == 4) else np.zeros(0, np.int64) for i in range(3))
-                code = x * m + y
-                code = code * m + z if k == 4 else code
-                value = np.frombuffer(b"".join(unpack(x) for x in own["floats"]), float)
+            sides = [_unpack(x, 3) for x in own["keys"]]
+            x, y, z = (place(np.concatenate([side[i] for side in sides])) if sides and (i < 2 or k == 4) else np.zeros(0, np.int64) for i in range(3))
+            code = x * m + y
+            code = code * m + z if k == 4 else code
+            value = np.frombuffer(b"".join(unpack(x) for x in own["floats"]), float)
             order = np.argsort(code)
             tree |= {keys: code[order], values: value[order]}
         root = np.log10(count + 0.1) - low
@@ -382,12 +381,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     sent = parts.groupBy("owner").cogroup(noted.groupBy("from")).applyInPandas(_sent, "block long, kind int, keys binary, floats binary")
     sent = stored(sent, "sent")
     none = F.lit(None).cast("binary")
-    first = stored(valued.filter("id > 0").join(s1, "id").select("block", "id", "value"), "first")
-    discard(docs.sparkSession, grams, counts, *tables)
-    rows = valued.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), none.alias("keys"), none.alias("floats"))
-    first = first.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"), "id", "value", none.alias("keys"), none.alias("floats"))
-    met = sent.select("block", "kind", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("value"), "keys", "floats")
-    scored = rows.unionByName(first).unionByName(met).groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
+    discard(docs.sparkSession, grams, counts, *tables[1:])
+    # a word's row has the scale of its state too; rare words (id 0) are no states, and would be one hot key
+    found = valued.filter("id > 0").join(s1, "id", "left").unionByName(valued.filter("id = 0"), allowMissingColumns=True)
+    known = stored(found.select("block", "place", "id", "c", F.col("value").alias("scale")), "known")
+    discard(docs.sparkSession, valued, tables[0])
+    rows = known.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), "scale", none.alias("keys"), none.alias("floats"))
+    zero, blank = F.lit(0).cast("long"), F.lit(None).cast("double")
+    met = sent.select("block", "kind", zero.alias("place"), zero.alias("id"), F.lit(0.0).alias("value"), blank.alias("scale"), "keys", "floats")
+    scored = rows.unionByName(met).groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
         _scorer(total, distinct), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")

@@ -54,7 +54,6 @@ def tokens(text: str | None) -> list[bytes]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers, and the dictionary of each block with its counts in training texts."""
     task, turn = TaskContext.get().partitionId(), 0
-    pack = zstandard.ZstdCompressor(level=1).compress
     number: dict[bytes, int] = {}
     trained, size = [], 0
 
@@ -74,7 +73,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq = np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32)
             if not held[k]:
                 trained.append(seq)
-            packed.append(pack(seq.tobytes()))
+            packed.append(_pack(seq))
             sizes.append(len(seq))
             size += len(text or "")
             full = size > BLOCK_CHARS or len(number) > BLOCK_WORDS
@@ -111,13 +110,11 @@ def _triples(owners: int):
     """Distinct (a, b, c) in a row in a block's texts, as ids (a is 0 where there is none), with their counts in training."""
 
     def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
         words = words.sort_values("place")
         ids = words["id"].to_numpy(np.int64)
         known, rank = np.unique(np.concatenate([[0], ids]), return_inverse=True)
         m, rank = len(known), rank[1:]
-        texts = [np.frombuffer(unpack(x), np.uint32) for x in docs["numbers"]]
-        seqs = [rank[x] for x in texts]
+        seqs = [rank[_unpack(x, 1)[0]] for x in docs["numbers"]]
         if not seqs:
             return pd.DataFrame({"owner": [], "block": [], "keys": []})
         b = np.concatenate([np.concatenate([x[-1:], x[:-1]]) for x in seqs])
@@ -343,7 +340,7 @@ def _scorer(total: int, distinct: int):
         root = np.log10(count + 0.1) - low
         out = []
         for packed in docs["numbers"]:
-            seq = np.frombuffer(unpack(packed), np.uint32).astype(np.int64)
+            seq = _unpack(packed, 1)[0]
             r = root[seq]
             out.append((int((count[seq] > 0).sum()), float(r.sum()), float(score(tree, seq, r, seq[-1]).sum())))
         docs = docs.assign(**{k: [x[i] for x in out] for i, k in enumerate(("n_known", "base_score", "score"))})

@@ -7,6 +7,7 @@ from noteloom.llm.fingerprint import op7_fingerprint
 from noteloom.llm.mixing import op8_mixing
 from noteloom.llm.near_dedup import op5_near_dedup
 from noteloom.llm.sharding import op3_sharding
+from noteloom.llm.spelling import op13_spelling
 from noteloom.llm.suffix_dedup import op4_suffix_dedup
 from noteloom.llm.suffix_tree import op2_lm_score
 from noteloom.llm.toxicity import op9_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_embed_dedup": op11_embed_dedup,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {

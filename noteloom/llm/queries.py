@@ -10,6 +10,7 @@ from noteloom.llm.sharding import op3_sharding
 from noteloom.llm.spelling import op13_spelling
 from noteloom.llm.suffix_dedup import op4_suffix_dedup
 from noteloom.llm.suffix_tree import op2_lm_score
+from noteloom.llm.token_alignment import op12_token_alignment
 from noteloom.llm.toxicity import op9_toxicity
 from noteloom.llm.warc import OP10_SQL, op10_warc
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_embed_dedup": op11_embed_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_spelling": op13_spelling,
 }
 

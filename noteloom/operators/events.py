@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.operators.ranges import numbered, running_sum, stretches, with_previous
 
 GAP = "60 seconds"  # how long a key stays blocked
 RATE_WINDOW = "1 minute"
@@ -41,27 +42,24 @@ def first_success(calls: DataFrame) -> DataFrame:
     ).withColumn("last_error", F.when(F.col("call_id").isNull(), F.col("last_error")))
 
 
-def call_spacing(calls: DataFrame, least: float = SPACING_S) -> DataFrame:
-    """gap_s since the previous call of the key, and whether it is too short."""
-    w = Window.partitionBy("key_id").orderBy("ts", "call_id")
-    rows = calls.select("key_id", "call_id", "ts", F.lag("ts").over(w).alias("before"))
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))) / 1e6
+def call_spacing(calls: DataFrame, least: float = SPACING_S, parts: int | None = None) -> DataFrame:
+    """gap_s since the previous call of the key, and whether it is too short. Few keys have all calls, so neighbours are found by ranges."""
+    rows = with_previous(calls.select("key_id", "call_id", "ts"), ["key_id"], ["ts", "call_id"], "ts", parts)
+    gap = (micros("ts") - micros("before")) / 1e6
     return rows.select("key_id", "call_id", gap.alias("gap_s"), F.coalesce(gap < least, F.lit(False)).alias("too_close"))
 
 
-def round_robin(prompts: DataFrame, n_keys: int, within: str) -> DataFrame:
+def round_robin(prompts: DataFrame, n_keys: int, within: str, parts: int | None = None) -> DataFrame:
     """Deal prompts to keys in turn, within each batch given by a column (a corpus has no single order)."""
-    w = Window.partitionBy(within).orderBy("prompt_id")
-    return prompts.withColumn("dealt_key", F.pmod(F.row_number().over(w) - 1, F.lit(n_keys)).cast("int"))
+    rows = numbered(prompts, [within], ["prompt_id"], parts).withColumn("dealt_key", F.pmod(F.col("rn") - 1, F.lit(n_keys)).cast("int"))
+    return rows.select(*prompts.columns, "dealt_key")
 
 
-def fanout_progress(calls: DataFrame) -> DataFrame:
+def fanout_progress(calls: DataFrame, parts: int | None = None) -> DataFrame:
     """Progress of a key's batch after each call: 20 + 70 shares, and 55 + 45 shares, rounded down."""
-    w = Window.partitionBy("key_id").orderBy("call_id")
-    done = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.count(F.lit(1)).over(Window.partitionBy("key_id"))
-    share = lambda first, by: (F.floor(done * by / total) + first).cast("int")
-    return calls.select("key_id", "call_id", share(20, 70).alias("transcribe_pct"), share(55, 45).alias("structurize_pct"))
+    rows = numbered(calls.select("key_id", "call_id"), ["key_id"], ["call_id"], parts)
+    share = lambda first, by: (F.floor(F.col("rn") * by / F.col("total")) + first).cast("int")
+    return rows.select("key_id", "call_id", share(20, 70).alias("transcribe_pct"), share(55, 45).alias("structurize_pct"))
 
 
 def call_rate(calls: DataFrame, window: str = RATE_WINDOW, slide: str | None = None, rate: int = RATE) -> DataFrame:
@@ -93,22 +91,34 @@ def micros(c: str) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def blocked_at(calls: DataFrame, blocks: DataFrame, bucket_s: float = 86_400.0) -> DataFrame:
-    """(call_id, at_key, blocked_key): which keys are inside a block [start, end) at the time of each call.
+def _points(calls: DataFrame, blocks: DataFrame) -> DataFrame:
+    """All calls, block starts and block ends as points in time: at, turn (a call comes after what starts or ends at its instant)."""
+    no = lambda kind: F.lit(None).cast(kind)
+    asked = calls.select(micros("ts").alias("at"), F.lit(1).alias("turn"), "call_id", F.lit(0).alias("step"), no(blocks.schema["key_id"].dataType).alias("key_id"), no("long").alias("lo"), no("long").alias("hi"))
+    span = ("key_id", micros("block_start").alias("lo"), micros("block_end").alias("hi"))
+    ends = blocks.select(*span).filter("lo < hi").select(F.inline(F.array(
+        F.struct(F.col("lo").alias("at"), F.lit(1).alias("step")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("step")))), "key_id", "lo", "hi")
+    return asked.unionByName(ends.select("at", F.lit(0).alias("turn"), no(calls.schema["call_id"].dataType).alias("call_id"), "step", "key_id", "lo", "hi"))
 
-    Few keys and long streams, so the interval join deals both sides to days.
-    """
-    from noteloom.operators.sections import interval_join_bucketed
-
-    at = calls.select("call_id", F.lit(0).alias("one"), micros("ts").alias("lo")).withColumn("hi", F.col("lo"))
-    spans = blocks.select(F.lit(0).alias("one"), "key_id", micros("block_start").alias("lo"), (micros("block_end") - 1).alias("hi"))
-    return interval_join_bucketed(at, spans, "one", bucket_s * 1e6).select("call_id", F.col("key_id_b").alias("blocked_key"))
 
+def blocked_at(calls: DataFrame, blocks: DataFrame, parts: int | None = None) -> DataFrame:
+    """(call_id, blocked_key): which keys are inside a block [start, end) at the time of each call.
 
-def alive_keys(calls: DataFrame, blocks: DataFrame, n_keys: int) -> DataFrame:
-    """Number of keys that aren't blocked at the time of each call."""
-    hit = blocked_at(calls, blocks).groupBy("call_id").agg(F.countDistinct("blocked_key").alias("n"))
-    return calls.select("call_id").join(hit, "call_id", "left").select("call_id", (F.lit(n_keys) - F.coalesce("n", F.lit(0))).alias("alive"))
+    Calls and the ends of blocks are cut into stretches of time of about equal rows; a block goes to the stretches from its
+    start to its end, and meets the calls there.
+    """
+    rows = stretches(_points(calls, blocks), ["at", "turn"], parts)
+    reach = rows.filter("turn = 0").groupBy("key_id", "lo", "hi").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    spans = reach.select("key_id", "lo", "hi", F.explode(F.sequence("a", "b")).alias("part"))
+    inside = (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
+    return rows.filter("turn = 1").select("part", "at", "call_id").join(spans, "part").filter(inside).select("call_id", F.col("key_id").alias("blocked_key"))
+
+
+def alive_keys(calls: DataFrame, blocks: DataFrame, n_keys: int, parts: int | None = None) -> DataFrame:
+    """Number of keys that aren't blocked at the time of each call, by a sweep over time: starts of blocks count 1, ends -1.
+    blocks: of one key disjoint, as block_intervals() gives them."""
+    points = running_sum(_points(calls, blocks).select("at", "turn", "call_id", "step"), ["at", "turn"], "step", parts)
+    return points.filter("turn = 1").select("call_id", (F.lit(n_keys) - F.col("running")).alias("alive"))
 
 
 def key_wait(calls: DataFrame, blocks: DataFrame, interval_s: float = SPACING_S) -> DataFrame:

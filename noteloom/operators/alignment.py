@@ -17,6 +17,7 @@ from noteloom.operators.metrics import KEY
 from noteloom.sources.shared import settled
 
 LEVELS = (24, 6, 3, 2, 1)
+WIDTH = 64  # tokens of a stretch in which runs and regions meet
 REGION = [*KEY, "alo", "ahi", "blo", "bhi"]
 
 
@@ -59,12 +60,22 @@ def _chain() -> F.Column:
     return F.aggregate("blocks", start, step)["taken"]
 
 
+def meeting(regions: DataFrame, runs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Regions (alo, ahi, ...) and runs (i0, j0, n) of a pair that overlap in i, each two once. Both are dealt to stretches
+    of `width` tokens of i and meet in the first stretch that has both. Regions are disjoint in i, so a stretch has no
+    more than `width` of them, and a run meets those that it may cut, not all of its pair."""
+    dealt = lambda df, lo, hi: df.withColumn("slot", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((hi - 1) / width))))
+    both = dealt(regions, "alo", F.col("ahi")).join(dealt(runs, "i0", F.col("i0") + F.col("n")), [*KEY, "slot"])
+    first = F.floor(F.greatest("alo", "i0") / width)
+    return both.filter((F.col("alo") < F.col("i0") + F.col("n")) & (F.col("i0") < F.col("ahi")) & (F.col("slot") == first)).drop("slot")
+
+
 def _clipped(regions: DataFrame, runs: DataFrame, least: int) -> DataFrame:
     """The parts of runs (i0, j0, n) inside regions of the same pair, of `least` tokens or more."""
     zero = F.lit(0)
     lo = F.greatest(zero, F.col("alo") - F.col("i0"), F.col("blo") - F.col("j0"))
     hi = F.least(F.col("n"), F.col("ahi") - F.col("i0"), F.col("bhi") - F.col("j0"))
-    both = regions.join(runs, KEY).withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") - F.col("lo") >= least)
+    both = meeting(regions, runs).withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") - F.col("lo") >= least)
     return both.select(*REGION, (F.col("i0") + F.col("lo")).alias("i"), (F.col("j0") + F.col("lo")).alias("j"), (F.col("hi") - F.col("lo")).cast("int").alias("n"))
 
 

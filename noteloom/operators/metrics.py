@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.operators.ranges import numbered
 
 KEY = ["source_id", "candidate"]
 
@@ -154,10 +155,25 @@ def rank_candidates(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(w)).withColumn("leader", F.col("rank") == 1)
 
 
-def quality_by_candidate(metrics: DataFrame) -> DataFrame:
+def exact_median(rows: DataFrame, key: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """(key, p50): the mean of the two middle values (of one, if their number is odd) of each key's values that aren't null. The values
+    are numbered by range partitions, so no key is gathered in one task."""
+    placed = numbered(rows.filter(F.isnotnull(value)).select(*key, value), key, [value], parts)
+    middle = (F.col("rn") == F.floor((F.col("total") + 1) / 2)) | (F.col("rn") == F.floor(F.col("total") / 2) + 1)
+    return placed.filter(middle).groupBy(*key).agg(F.avg(value).alias("p50"))
+
+
+def quality_by_candidate(metrics: DataFrame, parts: int | None = None) -> DataFrame:
     """Mean, least and median fidelity and readability by candidate name, and over all (null name)."""
-    cells = [f(c).alias(f"{n}_{c}") for c in ("fidelity_score", "readability_score") for n, f in (("mean", F.avg), ("least", F.min), ("p50", F.median))]
-    return metrics.rollup("candidate").agg(F.count(F.lit(1)).alias("n"), *cells)
+    names = ("fidelity_score", "readability_score")
+    cells = [f(c).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("least", F.min))]
+    out = metrics.rollup("candidate").agg(F.grouping("candidate").alias("all"), F.count(F.lit(1)).alias("n"), *cells)
+    values = F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names)))
+    rows = metrics.select(F.explode(F.array(F.struct(F.lit(0).alias("all"), "candidate"), F.struct(F.lit(1).alias("all"), F.lit(None).cast("string").alias("candidate")))).alias("of"), *names)
+    middle = exact_median(rows.select("of.*", values), ["all", "candidate", "metric"], "value", parts)
+    middle = middle.groupBy("all", "candidate").agg(*(F.max(F.when(F.col("metric") == c, F.col("p50"))).alias(f"p50_{c}") for c in names))
+    same = (out["all"] == middle["all"]) & out["candidate"].eqNullSafe(middle["candidate"])
+    return out.join(middle, same, "left").select(out["candidate"], "n", *(f"{n}_{c}" for c in names for n in ("mean", "least", "p50")))
 
 
 def report_rows(metrics: DataFrame) -> DataFrame:

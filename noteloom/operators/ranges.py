@@ -27,6 +27,15 @@ def _earlier(rows: DataFrame, key: list[str], **aggs: Column) -> tuple[DataFrame
     return table, w
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the columns of their part and key; a null key is a key."""
+    table = table.withColumnsRenamed({c: f"_{c}" for c in ["part", *key]})
+    on = F.col("part") == F.col("_part")
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(table, on).drop("part", *(f"_{c}" for c in ["part", *key]))
+
+
 def numbered(df: DataFrame, key: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """df with rn (from 1, in the order, within the key) and total (rows of the key)."""
     rows = stretches(df, [*key, *order], parts)
@@ -34,7 +43,7 @@ def numbered(df: DataFrame, key: list[str], order: list[str], parts: int | None
     before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     table = table.select("part", *key, before.alias("before"), F.sum("n").over(w).alias("total"))
     local = F.row_number().over(Window.partitionBy("part", *key).orderBy(*order))
-    return rows.withColumn("rn", local).join(table, ["part", *key]).withColumn("rn", F.col("rn") + F.col("before")).drop("part", "before")
+    return _joined(rows.withColumn("rn", local), table, key).withColumn("rn", F.col("rn") + F.col("before")).drop("before")
 
 
 def with_previous(df: DataFrame, key: list[str], order: list[str], value: str, parts: int | None = None) -> DataFrame:
@@ -43,8 +52,8 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], value: str, p
     table, w = _earlier(rows, key, last=F.max_by(F.struct(value), F.struct(*order)))
     table = table.select("part", *key, F.lag("last").over(w.orderBy("part")).alias("last"))
     here = Window.partitionBy("part", *key).orderBy(*order)
-    out = rows.withColumns({"before": F.lag(value).over(here), "first": F.row_number().over(here) == 1}).join(table, ["part", *key])
-    return out.withColumn("before", F.when(F.col("first"), F.col(f"last.{value}")).otherwise(F.col("before"))).drop("part", "first", "last")
+    out = _joined(rows.withColumns({"before": F.lag(value).over(here), "first": F.row_number().over(here) == 1}), table, key)
+    return out.withColumn("before", F.when(F.col("first"), F.col(f"last.{value}")).otherwise(F.col("before"))).drop("first", "last")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, parts: int | None = None) -> DataFrame:
@@ -54,4 +63,4 @@ def running_sum(df: DataFrame, order: list[str], value: str, parts: int | None =
     before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     table = table.select("part", before.alias("earlier"))
     local = F.sum(value).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", local).join(table, "part").withColumn("running", F.col("running") + F.col("earlier")).drop("part", "earlier")
+    return _joined(rows.withColumn("running", local), table, []).withColumn("running", F.col("running") + F.col("earlier")).drop("earlier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
@@ -88,7 +88,7 @@ def block_similarity(captions: DataFrame, block: int = 4) -> DataFrame:
     )
 
 
-def split_lexical(captions: DataFrame, block: int = 4) -> DataFrame:
+def topic_boundaries(captions: DataFrame, block: int = 4) -> DataFrame:
     """Topic boundaries by lexical cohesion: blocks whose similarity to the one before is a local minimum, and
     whose depth below the peaks at both sides exceeds the lecture's mean less half a standard deviation."""
     sims = block_similarity(captions, block)
@@ -101,6 +101,21 @@ def split_lexical(captions: DataFrame, block: int = 4) -> DataFrame:
     return deep.join(stats, "lecture_id").select("lecture_id", "block_no", "depth", (low & (F.col("depth") > F.col("least"))).alias("boundary"))
 
 
+def split_lexical(captions: DataFrame, block: int = 4, seconds: float = 300.0) -> DataFrame:
+    """(lecture_id, section_no, start_s, end_s): a section begins where a topic does, and again within long topics, every
+    `seconds` from the topic's start. None is longer: a last caption that reaches beyond is cut there."""
+    cuts = topic_boundaries(captions, block).filter("boundary").select("lecture_id", "block_no", F.lit(1).alias("cut"))
+    rows = captions.withColumn("block_no", F.floor((F.col("caption_no") - 1) / block).cast("long")).join(cuts, ["lecture_id", "block_no"], "left")
+    w = Window.partitionBy("lecture_id").orderBy("caption_no")
+    begins = F.when(F.isnotnull("cut") & ~F.coalesce(F.lag("block_no").over(w) == F.col("block_no"), F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("begins", begins).withColumn("topic", F.sum("begins").over(w))
+    begun = F.min("start_s").over(Window.partitionBy("lecture_id", "topic"))
+    parts = rows.withColumn("part", F.floor((F.col("start_s") - begun) / seconds)).groupBy("lecture_id", "topic", "part")
+    parts = parts.agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "caption_no").alias("end_s"))
+    number = F.row_number().over(Window.partitionBy("lecture_id").orderBy("topic", "part")) - 1
+    return parts.select("lecture_id", number.cast("int").alias("section_no"), "start_s", F.least("end_s", F.col("start_s") + seconds).alias("end_s"))
+
+
 def filler_clean(words: DataFrame, fillers: list[str] = FILLERS, pairs: list[str] = FILLER_PAIRS) -> DataFrame:
     """Words without fillers (of one and two words) and without immediate repeats."""
     w = Window.partitionBy("lecture_id").orderBy("rn")
@@ -113,14 +128,31 @@ def filler_clean(words: DataFrame, fillers: list[str] = FILLERS, pairs: list[str
     return marked.filter(keep).select("lecture_id", "rn", "word")
 
 
+def deletions(word: Column, most: int) -> Column:
+    """The distinct strings that are left of a word when up to `most` of its letters are deleted."""
+    rest = F.array(word)
+    for _ in range(most):
+        less = F.transform(rest, lambda x: F.transform(F.sequence(F.lit(0), F.char_length(x)), lambda k: F.concat(F.left(x, k), F.substr(x, k + 2))))
+        rest = F.array_distinct(F.concat(rest, F.flatten(less)))
+    return rest
+
+
 def glossary_fix(words: DataFrame, glossary: DataFrame, most: int = 2) -> DataFrame:
-    """(word, fixed) of each distinct word: the glossary's term within `most` edits if one is nearest, `[?: ...]` on a
-    tie. Terms are blocked by first letter, so each word meets few of them; the glossary joins by that letter."""
-    distinct = words.select(F.lower("word").alias("word")).distinct().withColumn("letter", F.substring("word", 1, 1))
-    terms = glossary.select(F.lower("term").alias("term"), F.substring(F.lower("term"), 1, 1).alias("letter")).distinct()
-    close = distinct.join(terms, "letter").filter(F.abs(F.length("word") - F.length("term")) <= most)
-    close = close.withColumn("d", F.levenshtein("word", "term", most)).filter("d >= 0")
-    best = close.groupBy("word").agg(F.min("d").alias("d"))
-    tied = close.join(best, ["word", "d"]).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("term"))
+    """(word, fixed) of each distinct word: the glossary's term within `most` edits if one is nearest, `[?: ...]` on a tie. A
+    term begins with the word's first letter.
+
+    Two words within `most` edits have a string in common that deleting up to `most` letters of each leaves, so words and terms are
+    joined by these strings and the distance of those that meet is measured. Words longer than any term can match aren't expanded.
+    """
+    distinct = words.select(F.lower("word").alias("word")).distinct()
+    terms = glossary.select(F.lower("term").alias("term")).distinct()
+    longest = terms.agg((F.coalesce(F.max(F.char_length("term")), F.lit(0)) + most).alias("longest"))  # one row
+    left = lambda c: F.explode(deletions(F.substr(F.col(c), F.lit(2)), most))  # noqa: E731  the first letter stays
+    spread = lambda df, c: df.select(c, F.left(F.col(c), F.lit(1)).alias("letter"), left(c).alias("rest"))
+    close = spread(distinct.crossJoin(F.broadcast(longest)).filter(F.char_length("word") <= F.col("longest")), "word").join(spread(terms, "term"), ["letter", "rest"])
+    close = close.select("word", "term").distinct().withColumn("d", F.levenshtein("word", "term", most)).filter("d >= 0")
+    best = close.groupBy("word").agg(F.min(F.struct("d", "term")).alias("best"), F.min("d").alias("d"))
+    ties = close.groupBy("word", "d").agg(F.count(F.lit(1)).alias("n"))
+    found = best.join(ties, ["word", "d"]).select("word", "n", F.col("best.term").alias("term"))
     fixed = F.when(F.col("n") == 1, F.col("term")).when(F.col("n") > 1, F.concat(F.lit("[?: "), F.col("word"), F.lit("]"))).otherwise(F.col("word"))
-    return distinct.drop("letter").join(tied, "word", "left").select("word", fixed.alias("fixed"))
+    return distinct.join(found, "word", "left").select("word", fixed.alias("fixed"))

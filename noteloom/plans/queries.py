@@ -142,20 +142,32 @@ on("plain_lines", "fx_captions", lambda d: tr.srt_assemble(d).select("lecture_id
 on("plain_text", "fx_captions", lambda d: tr.srt_assemble(d).select("lecture_id", s.plain_text(F.col("srt")).alias("text")),
    duck("fx_captions") + r" SELECT lecture_id, string_agg(text, ' ' ORDER BY caption_no) AS text FROM fx_captions WHERE NOT regexp_matches(trim(text), '^\d+$') AND trim(text) <> '' GROUP BY lecture_id")
 on("split_fixed", "fx_captions", tr.split_fixed, duck("fx_captions") + " SELECT lecture_id, start_s, end_s, CAST(row_number() OVER (PARTITION BY lecture_id ORDER BY slot) - 1 AS INT) AS section_no FROM (SELECT lecture_id, floor(start_s / 300) AS slot, min(start_s) AS start_s, arg_max(end_s, caption_no) AS end_s FROM fx_captions GROUP BY 1, 2)")
-on("split_lexical", "fx_captions", tr.split_lexical, duck("fx_captions") + f""", toks AS (SELECT lecture_id, (caption_no - 1) // 4 AS block_no, unnest({d_tokens('text')}) AS token FROM fx_captions),
+D_TOPICS = duck("fx_captions") + f""", toks AS (SELECT lecture_id, (caption_no - 1) // 4 AS block_no, unnest({d_tokens('text')}) AS token FROM fx_captions),
  bags AS (SELECT lecture_id, block_no, token, count(*) AS n FROM toks GROUP BY ALL), norms AS (SELECT lecture_id, block_no, sum(n * n) AS sq FROM bags GROUP BY ALL),
  dots AS (SELECT b.lecture_id, b.block_no, sum(b.n * a.n) AS dot FROM bags b JOIN bags a ON a.lecture_id = b.lecture_id AND a.block_no + 1 = b.block_no AND a.token = b.token GROUP BY ALL),
  sims AS (SELECT n.lecture_id, n.block_no, coalesce(dot, 0) / sqrt(CAST(n.sq * p.sq AS DOUBLE)) AS sim FROM norms n JOIN norms p ON p.lecture_id = n.lecture_id AND p.block_no + 1 = n.block_no LEFT JOIN dots d ON d.lecture_id = n.lecture_id AND d.block_no = n.block_no),
  deep AS (SELECT *, round(max(sim) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + max(sim) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - sim * 2, 9) AS depth, lag(sim) OVER w AS b, lead(sim) OVER w AS a FROM sims WINDOW w AS (PARTITION BY lecture_id ORDER BY block_no)),
- stats AS (SELECT lecture_id, round(avg(depth) - stddev_pop(depth) / 2, 9) AS least FROM deep GROUP BY ALL)
- SELECT lecture_id, CAST(block_no AS BIGINT) AS block_no, depth, sim <= coalesce(b, 2) AND sim <= coalesce(a, 2) AND depth > least AS boundary FROM deep JOIN stats USING (lecture_id)""")
+ stats AS (SELECT lecture_id, round(avg(depth) - stddev_pop(depth) / 2, 9) AS least FROM deep GROUP BY ALL)"""
+on("topic_boundaries", "fx_captions", tr.topic_boundaries, D_TOPICS + " SELECT lecture_id, CAST(block_no AS BIGINT) AS block_no, depth, sim <= coalesce(b, 2) AND sim <= coalesce(a, 2) AND depth > least AS boundary FROM deep JOIN stats USING (lecture_id)")
+on("split_lexical", "fx_captions", tr.split_lexical, D_TOPICS + """, cuts AS (SELECT lecture_id, block_no * 4 + 1 AS caption_no FROM deep JOIN stats USING (lecture_id) WHERE sim <= coalesce(b, 2) AND sim <= coalesce(a, 2) AND depth > least),
+ topics AS (SELECT c.*, count(k.caption_no) OVER (PARTITION BY c.lecture_id ORDER BY c.caption_no) AS topic FROM fx_captions c LEFT JOIN cuts k ON k.lecture_id = c.lecture_id AND k.caption_no = c.caption_no),
+ parts AS (SELECT *, floor((start_s - min(start_s) OVER (PARTITION BY lecture_id, topic)) / 300) AS part FROM topics),
+ sections AS (SELECT lecture_id, topic, part, min(start_s) AS start_s, arg_max(end_s, caption_no) AS end_s FROM parts GROUP BY ALL)
+ SELECT lecture_id, CAST(row_number() OVER (PARTITION BY lecture_id ORDER BY topic, part) - 1 AS INT) AS section_no, start_s, least(end_s, start_s + 300) AS end_s FROM sections""")
 on("filler_clean", "fx_words", tr.filler_clean, W + """, o AS (SELECT lecture_id, word, lower(word) AS low, row_number() OVER (PARTITION BY lecture_id ORDER BY start_s, chunk_no, pos) AS rn FROM fx_words),
  m AS (SELECT *, lag(low) OVER (PARTITION BY lecture_id ORDER BY rn) AS b, lead(low) OVER (PARTITION BY lecture_id ORDER BY rn) AS a FROM o)
  SELECT lecture_id, CAST(rn AS INT) AS rn, word FROM m WHERE low NOT IN ('the', 'of', 'en', 'und') AND coalesce(low <> b, true) AND NOT coalesce(concat(low, ' ', a) IN ('de la', 'of the', 'in the') AND a IS NOT NULL, false) AND NOT coalesce(concat(b, ' ', low) IN ('de la', 'of the', 'in the') AND b IS NOT NULL, false)""")
 on("words_union", "fx_asr", lambda d: d.filter("chunk_no = 0").unionByName(d.filter("chunk_no > 0")).select("lecture_id", "chunk_no", "pos", "word"), ASR + " SELECT lecture_id, chunk_no, pos, word FROM fx_asr")
 
 
-@query("glossary_fix")  # edit distances are by character here and by byte in DuckDB
+# DuckDB counts edits by byte, so letters beyond ASCII stand as letters that lower-cased words don't have
+D_ONE_BYTE = "translate({x}, 'ßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', concat('ABCDEFGHIJKLMNOPQRSTUVWXYZ', chr(1), chr(2), chr(3), chr(4), chr(5), chr(6), chr(7)))"
+
+
+@query("glossary_fix", W + f""", d AS (SELECT DISTINCT lower(word) AS word FROM fx_words), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[0-9A-Za-z_]{{7,}}'))) AS term FROM benchmark),
+ c AS (SELECT word, term, levenshtein({D_ONE_BYTE.replace("{x}", "word")}, {D_ONE_BYTE.replace("{x}", "term")}) AS d FROM d JOIN t ON substr(word, 1, 1) = substr(term, 1, 1) WHERE abs(length(word) - length(term)) <= 2),
+ g AS (SELECT word, count(*) AS n, min(term) AS term FROM (SELECT *, min(d) OVER (PARTITION BY word) AS least FROM c WHERE d <= 2) WHERE d = least GROUP BY word)
+ SELECT word, CASE WHEN n = 1 THEN term WHEN n > 1 THEN concat('[?: ', word, ']') ELSE word END AS fixed FROM d LEFT JOIN g USING (word)""")
 def glossary_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z_]{7,}"), F.lit(0))).alias("term"))
     return tr.glossary_fix(fixture(spark, sf_dir, "fx_words"), terms)
@@ -386,6 +398,15 @@ def media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.regexp_replace("folder", "^lecture_id=", "").alias("lecture_id"), "no", "bytes")
 
 
+@query("text_pair_scan", duck("fx_pairs") + " SELECT source_id, source_text, candidate, candidate_text FROM fx_pairs")
+def text_pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources and all candidates as packed files, scanned and paired."""
+    sources, candidates = folder(spark, "sources"), folder(spark, "candidates")
+    writers.pack_write(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"), ["source_id"], "text", sources)
+    writers.pack_write(fixture(spark, sf_dir, "fx_pairs"), ["source_id", "candidate"], "candidate_text", candidates)
+    return readers.packed_pair_scan(spark, sources, candidates)
+
+
 @query("template_scan", "SELECT concat('part-', item_id) AS name, text AS body FROM benchmark")
 def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "templates")
@@ -451,42 +472,44 @@ on("key_wait", "fx_calls", lambda d: ev.key_wait(stamped(d), ev.block_intervals(
 
 
 # ---- streams: the same results as their batch forms ----
-def in_time_order(df: DataFrame, order: str, files: int = 4) -> str:
-    """Write df as files one after another by ranges of a column; each range is one file of the stream."""
-    spark, path = df.sparkSession, folder(df.sparkSession, "stream")
+def in_time_order(df: DataFrame, order: str, path: str, arrivals: int = 4):
+    """Append df to a folder by ranges of a column, one after another, each in as many files as Spark makes of it. Yields after each."""
     lo, hi = df.agg(F.min(order), F.max(order)).first()
-    step = (hi - lo) / files
-    for k in range(files):
-        part = df.filter((F.col(order) >= lo + step * k) & ((F.col(order) < lo + step * (k + 1)) if k < files - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    step = (hi - lo) / arrivals if lo is not None else None
+    for k in range(arrivals):
+        part = df if lo is None else df.filter((F.col(order) >= lo + step * k) & ((F.col(order) < lo + step * (k + 1)) if k < arrivals - 1 else F.lit(True)))
+        yield part.write.mode("append").parquet(path)
 
 
-def call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls as a stream, and a last call far in the future that closes all windows."""
+def call_arrivals(spark: SparkSession, sf_dir: str, path: str):
+    """The calls as they arrive, and a last call far in the future that closes all windows."""
     calls = fixture(spark, sf_dir, "fx_calls")
-    path = in_time_order(calls, "ts")
+    yield from in_time_order(calls, "ts", path)
     flush = calls.limit(1).withColumns({"ts": F.lit("2200-01-01").cast("timestamp_ntz"), "key_id": F.lit(-1), "ok": F.lit(False), "error": F.lit("429")})
-    flush.coalesce(1).write.mode("append").parquet(path)
-    return streams.file_stream(spark, path, calls.schema)
+    yield flush.write.mode("append").parquet(path)
+
+
+def call_stream(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    path, schema = folder(spark, "calls"), fixture(spark, sf_dir, "fx_calls").schema
+    return streams.run_arrivals(lambda: of(streams.file_stream(spark, path, schema)), call_arrivals(spark, sf_dir, path), "append", folder(spark, name))
 
 
 @query("status_fold_stream", D_FOLD)
 def status_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fixture(spark, sf_dir, "fx_status")
-    stream = streams.file_stream(spark, in_time_order(events, "ts"), events.schema)
-    return streams.run_once(streams.status_fold_stream(stream), "update", folder(spark, "fold"), "task_id")
+    events, path = fixture(spark, sf_dir, "fx_status"), folder(spark, "events")
+    stream = lambda: streams.status_fold_stream(streams.file_stream(spark, path, events.schema))
+    return streams.run_arrivals(stream, in_time_order(events, "ts", path), "update", folder(spark, "fold"), "task_id")
 
 
 @query("call_rate_stream", D_RATE)
 def call_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run_once(streams.call_rate_stream(call_stream(spark, sf_dir), PACE), "append", folder(spark, "rate"))
+    out = call_stream(spark, sf_dir, lambda calls: streams.call_rate_stream(calls, PACE), "rate")
     return plain_ts(out.filter("key_id >= 0"), "window_start")
 
 
 @query("block_intervals_stream", D_BLOCKS + " SELECT * FROM blocks")
 def block_intervals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run_once(streams.block_intervals_stream(call_stream(spark, sf_dir), BLOCK), "append", folder(spark, "blocks"))
+    out = call_stream(spark, sf_dir, lambda calls: streams.block_intervals_stream(calls, BLOCK), "blocks")
     return plain_ts(out.filter("key_id >= 0"), "block_start", "block_end")
 
 

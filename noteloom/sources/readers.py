@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.sources import writers
 
 ASR_SCHEMA = "lecture_id string, chunk_no int, words array<struct<word: string, start: double, end: double>>"
 SECTION_JSON = "array<struct<title: string, start: string, end: string>>"
@@ -80,6 +81,33 @@ def text_pair_scan(spark: SparkSession, sources: str, candidates: str) -> DataFr
     return a.join(b, "source_id")
 
 
+def pack_scan(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """(keys, text) of the packs that pack_write() wrote under path; keys: their names and types. A task reads whole packs; each text
+    is cut out of its pack's bytes by the pack's own table, so nothing is joined or shuffled."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("content")
+    names, digits = [k.split()[0] for k in keys.split(",")], writers.DIGITS
+    fields = ", ".join(k.strip().replace(" ", ": ", 1) for k in keys.split(","))
+
+    def texts(content):
+        size = F.decode(F.substring(content, 1, digits), "UTF-8").cast("int")
+        table = F.from_json(F.decode(F.substr(content, F.lit(digits + 1), size), "UTF-8"), f"array<struct<{fields}, at: bigint, bytes: bigint>>")
+
+        def cut(row):
+            text = F.decode(F.substr(content, (size + digits + 1 + row["at"]).cast("int"), row["bytes"].cast("int")), "UTF-8")
+            return F.struct(*(row[k].alias(k) for k in names), F.when(row["bytes"] >= 0, text).alias("text"))
+
+        return F.transform(table, cut)
+
+    # cut before they are rows, else each row would have a copy of its pack; as a lambda's variable the pack isn't copied for each text
+    return files.select(F.inline(F.transform(F.array("content"), texts)[0]))
+
+
+def packed_pair_scan(spark: SparkSession, sources: str, candidates: str) -> DataFrame:
+    """text_pair_scan of packs: sources by source_id, candidates by source_id and candidate."""
+    a = pack_scan(spark, sources, "source_id long").withColumnRenamed("text", "source_text")
+    return a.join(pack_scan(spark, candidates, "source_id long, candidate string").withColumnRenamed("text", "candidate_text"), "source_id")
+
+
 def template_scan(spark: SparkSession, path: str) -> DataFrame:
     """(name, body) of template files."""
     return whole_texts(spark, path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), F.col("text").alias("body"))

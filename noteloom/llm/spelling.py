@@ -11,8 +11,8 @@
    begins at or before i. The most grams that any single edit can change so is the word's bound k.
 4. Merging. Two words one edit apart share all but k of a word's grams, so they meet in the lists of the k + 1
    rarest of each. A gram that the edit leaves whole is before or behind it, and then so is all before (behind) that gram: a
-   list is that of a gram with what is before it, or behind it. Words in a list are compared by hashes of their halves, one of
-   which must be whole, and then by their edit distance. Words all of whose grams may be affected also meet in lists of
+   list is that of a gram with what is before it, or behind it. Words in a list that are as long, or one letter longer, are compared
+   by hashes of their halves, one of which must be whole, and then by their edit distance. Words all of whose grams may be affected also meet in lists of
    fixed grams of QMIN letters, of which an edit changes QMIN at most.
 
 A word's form is its near word of largest n, if that is FACTOR times the word's own or more; roots follow forms by
@@ -40,9 +40,10 @@ LEAST_COUNT = 2
 FACTOR = 10
 PERTURBED = 31
 QMIN, QMAX = 2, 4
-MOST_GRAMS = 2000
+MOST_GRAMS = 20_000
 LETTERS = 26 + 64 + 2  # a-z, U+00C0 to U+00FF, the marks
 BEGIN, END = "^", "$"
+AT_MARKS = 10  # a gram at a mark counts as so many times as frequent: what is before or behind it tells little
 FLUSH = 500_000  # grams that a task counts before it gives them on
 
 
@@ -104,7 +105,8 @@ class Decomposer:
         p = BEGIN + word + END
         grams = self.of(p)
         k = self.affected(p, grams)
-        rarest = lambda x: (often.get(p[x[0] : x[1]], 0), p[x[0] : x[1]], x[0])
+        weight = lambda x: AT_MARKS if x[0] == 0 or x[1] == len(p) else 1
+        rarest = lambda x: (often.get(p[x[0] : x[1]], 0) * weight(x), p[x[0] : x[1]], x[0])
         out = [name for g in sorted(grams, key=rarest)[: k + 1] for name in self.sides(p, *g)]
         if len(grams) <= k:
             fixed = [(i, i + self.qmin) for i in range(len(p) - self.qmin + 1)]
@@ -187,11 +189,11 @@ def near_pairs(words: DataFrame, d: Decomposer) -> DataFrame:
     other = posts.select(F.col("key").alias("k"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("halves").alias("halves_b"))
     same = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFF)) == 0
     by = lambda c, k: F.shiftright(F.col(c), 16 * k)
-    level = (F.col("m") == F.col("m_b")) & (same(F.col("halves"), F.col("halves_b")) | same(by("halves", 1), by("halves_b", 1)))
-    longer = (F.col("m") + 1 == F.col("m_b")) & (same(F.col("halves"), by("halves_b", 2)) | same(by("halves", 1), by("halves_b", 3)))
-    once = (F.col("m") < F.col("m_b")) | (F.col("word") < F.col("b"))
-    on = (F.col("key") == F.col("k")) & (level | longer) & once & (F.levenshtein("word", "b", 1) == 1)
-    return posts.join(other, on).select(F.col("word").alias("a"), F.col("n").alias("n_a"), "b", "n_b").distinct()
+    level = (F.col("m") == F.col("m_b")) & (same(F.col("halves"), F.col("halves_b")) | same(by("halves", 1), by("halves_b", 1))) & (F.col("word") < F.col("b"))
+    longer = (F.col("m") < F.col("m_b")) & (same(F.col("halves"), by("halves_b", 2)) | same(by("halves", 1), by("halves_b", 3)))
+    asks = posts.withColumn("length", F.explode(F.array("m", F.col("m") + 1)))
+    on = (F.col("key") == F.col("k")) & (F.col("length") == F.col("m_b")) & (level | longer) & (F.levenshtein("word", "b", 1) == 1)
+    return asks.join(other, on).select(F.col("word").alias("a"), F.col("n").alias("n_a"), "b", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -1,20 +1,57 @@
 """Fidelity of candidate texts to their source: overlaps of n-grams, vocabularies and sentences, composites, ranks.
 
-Tables are keyed by source_id and candidate. A pair's tokens are made once and exploded only where a join
-or a distributed count needs rows.
+Tables are keyed by source_id and candidate. text_sides() makes the tokens and sentences of each source and of each candidate once
+and stores them, so a source isn't tokenised again for each of its candidates or for each metric; the metrics take these sides, or
+a table of pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
 from noteloom.operators.ranges import numbered
+from noteloom.sources.shared import settled
 
 KEY = ["source_id", "candidate"]
 
 
+@dataclass
+class Sides:
+    """src: key, chars_source, st, ss; cand: source_id, candidate, cand_ord, chars_candidate, ct, cs. Joined by key."""
+
+    src: DataFrame
+    cand: DataFrame
+    key: list[str]
+
+    def pairs(self, *columns: str) -> DataFrame:
+        return self.cand.join(self.src, self.key).select(*KEY, *columns)
+
+
+def text_sides(sources: DataFrame, candidates: DataFrame, sentences: bool = True) -> Sides:
+    """The stored sides of sources (source_id, source_text) and candidates (source_id, candidate, cand_ord, candidate_text)."""
+    made = lambda df, t, clean, names: df.withColumn("clean", clean(F.col(t))).withColumns(
+        {names[0]: s.tokens(F.col("clean"))} | ({names[1]: s.sentences(F.col("clean"))} if sentences else {})).drop("clean", t)
+    src = sources.select("source_id", "source_text", F.length("source_text").alias("chars_source"))
+    cand = candidates.select(*KEY, "cand_ord", "candidate_text", F.length("candidate_text").alias("chars_candidate"))
+    src, cand = made(src, "source_text", s.clean_source, ("st", "ss")), made(cand, "candidate_text", s.clean_markdown, ("ct", "cs"))
+    return Sides(settled(src, "sources"), settled(cand, "candidates"), ["source_id"])
+
+
+def sides(x: DataFrame | Sides) -> Sides:
+    """A table of pairs, with their texts or tokens, as sides; nothing is stored."""
+    if isinstance(x, Sides):
+        return x
+    x = x if "st" in x.columns else token_pairs(x)
+    if "source_text" in x.columns:
+        x = sentence_arrays(x).withColumns({"chars_source": F.length("source_text"), "chars_candidate": F.length("candidate_text")})
+    of = lambda *names: x.select(*KEY, *(c for c in names if c in x.columns))
+    return Sides(of("chars_source", "st", "ss"), of("cand_ord", "chars_candidate", "ct", "cs"), KEY)
+
+
 def token_pairs(pairs: DataFrame) -> DataFrame:
     """The pairs with arrays st and ct of the source's and the candidate's tokens."""
     st, ct = s.tokens(s.clean_source(F.col("source_text"))), s.tokens(s.clean_markdown(F.col("candidate_text")))
@@ -58,24 +95,27 @@ def gram_intersect_all(pairs: DataFrame, n: int = 1) -> DataFrame:
     return grams(pairs, n, "st").intersectAll(grams(pairs, n, "ct")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("overlap"))
 
 
-def rouge(pairs: DataFrame) -> DataFrame:
-    """Recall, precision and F1 for one and two words. pairs: with tokens. The counts of both lengths go through one aggregation."""
-    both = None
-    for n in (1, 2):
-        for side, sign in (("st", 0), ("ct", 1)):
-            rows = grams(pairs, n, side).select(*KEY, F.lit(n).alias("n"), "gram", F.lit(1 - sign).alias("a"), F.lit(sign).alias("b"))
-            both = rows if both is None else both.unionByName(rows)
-    counts = both.groupBy(*KEY, "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    over = lambda n: F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"o{n}")
-    sums = counts.groupBy(*KEY).agg(over(1), over(2))
-    sizes = pairs.select(*KEY, F.size("st").alias("ns"), F.size("ct").alias("nc"))
+def _counts(df: DataFrame, key: list[str], tokens: str, n: str) -> DataFrame:
+    """How often each token and each two words that follow each other (with a space between) are in a list of tokens."""
+    t = F.col(tokens)
+    twos = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.lit(0), F.size(t) - 1)), F.slice(t, 2, F.greatest(F.lit(0), F.size(t) - 1)), lambda x, y: F.concat(x, F.lit(" "), y))
+    return df.select(*key, F.explode(F.concat(t, twos)).alias("gram")).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias(n))
+
+
+def rouge(pairs: DataFrame | Sides) -> DataFrame:
+    """Recall, precision and F1 for one and two words. Both lengths are counted in one pass, a source's once for all its candidates."""
+    x = sides(pairs)
+    both = _counts(x.cand, KEY, "ct", "b").join(_counts(x.src, x.key, "st", "a"), [*x.key, "gram"])
+    two, least = F.contains("gram", F.lit(" ")), F.least("a", "b")
+    sums = both.groupBy(*KEY).agg(F.sum(F.when(~two, least).otherwise(0)).alias("o1"), F.sum(F.when(two, least).otherwise(0)).alias("o2"))
+    sizes = x.cand.select(*KEY, F.size("ct").alias("nc")).join(x.src.select(*x.key, F.size("st").alias("ns")), x.key)
     out = sizes.join(sums, KEY, "left")
     for n in (1, 2):
         o = F.coalesce(F.col(f"o{n}"), F.lit(0))
         out = out.withColumn(f"rouge{n}_recall", s.safe_div(o, F.greatest(F.lit(0), F.col("ns") - (n - 1))))
         out = out.withColumn(f"rouge{n}_precision", s.safe_div(o, F.greatest(F.lit(0), F.col("nc") - (n - 1))))
         out = out.withColumn(f"rouge{n}_f1", s.f1(F.col(f"rouge{n}_precision"), F.col(f"rouge{n}_recall")))
-    return out.drop("o1", "o2", "ns", "nc")
+    return out.select(*KEY, *(f"rouge{n}_{c}" for n in (1, 2) for c in ("recall", "precision", "f1")))
 
 
 def vocabulary(pairs: DataFrame, side: str) -> DataFrame:
@@ -94,11 +134,13 @@ def vocab_union(pairs: DataFrame) -> DataFrame:
     return vocabulary(pairs, "st").union(vocabulary(pairs, "ct")).distinct()
 
 
-def vocab_metrics(pairs: DataFrame) -> DataFrame:
-    """Jaccard similarity of the vocabularies and the candidate's share of new words. Arrays of one pair: no shuffle."""
-    both, all_ = F.size(F.array_intersect("st", "ct")), F.size(F.array_union("st", "ct"))
-    own = F.size(F.array_distinct("ct"))
-    return pairs.select(*KEY, s.safe_div(both, all_).alias("vocab_jaccard"), (s.safe_div(own - both, F.greatest(F.lit(1), own)) * 100).alias("novel_vocab_pct"))
+def vocab_metrics(pairs: DataFrame | Sides) -> DataFrame:
+    """Jaccard similarity of the vocabularies and the candidate's share of new words."""
+    x = sides(pairs)
+    own = x.cand.select(*KEY, F.array_distinct("ct").alias("cv")).join(x.src.select(*x.key, F.array_distinct("st").alias("sv")), x.key)
+    sizes = own.select(*KEY, F.size(F.array_intersect("sv", "cv")).alias("both"), F.size("sv").alias("ns"), F.size("cv").alias("nc"))
+    both, nc = F.col("both"), F.col("nc")
+    return sizes.select(*KEY, s.safe_div(both, F.col("ns") + nc - both).alias("vocab_jaccard"), (s.safe_div(nc - both, F.greatest(F.lit(1), nc)) * 100).alias("novel_vocab_pct"))
 
 
 def sentence_arrays(pairs: DataFrame) -> DataFrame:
@@ -112,25 +154,23 @@ def sentence_shared(pairs: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode("cs").alias("sentence")).join(rows.select(*KEY, F.explode("ss").alias("sentence")), [*KEY, "sentence"])
 
 
-def sentence_overlap(pairs: DataFrame) -> DataFrame:
+def sentence_overlap(pairs: DataFrame | Sides) -> DataFrame:
     """Per cent of the candidate's distinct sentences that the source has."""
-    rows = sentence_arrays(pairs)
     share = s.safe_div(F.size(F.array_intersect("ss", "cs")), F.greatest(F.lit(1), F.size("cs")))
-    return rows.select(*KEY, (share * 100).alias("sentence_overlap_pct"))
+    return sides(pairs).pairs((share * 100).alias("sentence_overlap_pct"))
 
 
-def readability(pairs: DataFrame) -> DataFrame:
-    """100 less 4 for each word that the mean distinct sentence is off 16. pairs: with tokens."""
-    rows = sentence_arrays(pairs)
+def readability(pairs: DataFrame | Sides) -> DataFrame:
+    """100 less 4 for each word that the mean distinct sentence is off 16. Of candidates alone."""
     mean = s.safe_div(F.size("ct"), F.greatest(F.lit(1), F.size("cs")))
-    return rows.select(*KEY, F.greatest(F.lit(0.0), F.lit(100.0) - F.abs(mean - 16) * 4).alias("readability_score"))
+    return sides(pairs).cand.select(*KEY, F.greatest(F.lit(0.0), F.lit(100.0) - F.abs(mean - 16) * 4).alias("readability_score"))
 
 
-def quality_metrics(pairs: DataFrame, aligned: DataFrame) -> DataFrame:
+def quality_metrics(pairs: DataFrame | Sides, aligned: DataFrame) -> DataFrame:
     """All metrics of each pair. aligned: (source_id, candidate, equal_words) of the alignment."""
-    rows = token_pairs(pairs)
-    sizes = rows.select(*KEY, "cand_ord", F.length("source_text").cast("double").alias("chars_source"), F.length("candidate_text").cast("double").alias("chars_candidate"),
-                        F.size("st").cast("double").alias("words_source"), F.size("ct").cast("double").alias("words_candidate"))
+    rows = sides(pairs)
+    size = lambda c, name: F.col(c).cast("double").alias(name) if c.startswith("chars") else F.size(c).cast("double").alias(name)
+    sizes = rows.pairs("cand_ord", size("chars_source", "chars_source"), size("chars_candidate", "chars_candidate"), size("st", "words_source"), size("ct", "words_candidate"))
     out = sizes.join(aligned.select(*KEY, "equal_words"), KEY, "left").na.fill(0, ["equal_words"])
     for part in (rouge(rows), vocab_metrics(rows), sentence_overlap(rows), readability(rows)):
         out = out.join(part, KEY)

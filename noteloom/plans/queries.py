@@ -11,6 +11,7 @@ from noteloom.functions import scalars as s
 from noteloom.operators import alignment as al
 from noteloom.operators import events as ev
 from noteloom.operators import metrics as mt
+from noteloom.operators import search as sr
 from noteloom.operators import sections as se
 from noteloom.operators import transcript as tr
 from noteloom.plans.fixtures import duck, fixture, table
@@ -553,14 +554,8 @@ def photo_section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 10""")
 def note_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each query text by summed TF-IDF of its terms."""
-    docs = table(spark, sf_dir, "documents")
-    terms = docs.select("doc_id", F.explode(s.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("token"))
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
-    idf = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n_all") / F.col("df")).alias("idf"))  # n: one row
-    hits = asked.join(idf, "token").join(terms, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return hits.withColumn("rank", rank).filter("rank <= 10")
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return sr.search(sr.index(docs.select("doc_id", "text")), asked.select("item_id", "text"))
 
 
 @query("qa_attempts", C + """, x AS (SELECT prompt_id, attempt, model_rank, call_id, (call_id * 37) % 100 AS score FROM fx_calls),

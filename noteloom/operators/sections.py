@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.sources.shared import settled
+
+LIST_ROWS = 100_000  # sections of a term that one task may hold
+SLACK = 1e-6  # similarities are rounded to six digits
 
 # The note's link texts and the placeholder of a section without cues.
 AUDIO_LINK = "Аудио"
@@ -166,23 +170,50 @@ def bundle_manifest(sections: DataFrame, audio: DataFrame, slides: DataFrame) ->
     return cuts.unionByName(deck).unionByName(note)
 
 
-def slide_match_text(sections: DataFrame, slides: DataFrame, most_df: float = 0.2, least: float = 0.05, top: int = 3) -> DataFrame:
-    """(section_id, slide_id, sim): the best `top` slides of a section by TF-IDF cosine of at least `least`.
-
-    Terms in more than `most_df` of the sections are dropped before the join on terms, so no term's list is
-    long. sections: section_id, text; slides: slide_id, text (the smaller side).
-    """
+def weighted_terms(sections: DataFrame, slides: DataFrame, most_df: float = 0.2, least: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF terms of both sides, stored: (section_id, term, w, n1, late) and (slide_id, term, w, n2). Terms of more than `most_df` of the
+    sections are dropped. late: the commonest terms of a section that together can't reach `least` with any slide."""
     bag = lambda df, key: df.select(key, F.explode(s.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    left, right = bag(sections, "section_id"), bag(slides, "slide_id")
+    left, right = settled(bag(sections, "section_id"), "section-terms"), bag(slides, "slide_id")
     n = sections.agg(F.count(F.lit(1)).alias("n_all"))
     df = left.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= F.col("n_all") * most_df)  # n: one row
-    idf = df.select("term", F.log(F.col("n_all").cast("double") / F.col("df")).alias("idf"))
+    idf = settled(df.select("term", "df", F.log(F.col("n_all").cast("double") / F.col("df")).alias("idf")), "idf")
     weigh = lambda b: b.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    left, right = weigh(left), weigh(right)
-    size = lambda b, key, name: b.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = left.select("section_id", "term", F.col("w").alias("w1")).join(right.select("slide_id", "term", F.col("w").alias("w2")), "term")
-    dots = dots.groupBy("section_id", "slide_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
-    sims = dots.join(size(left, "section_id", "n1"), "section_id").join(size(right, "slide_id", "n2"), "slide_id")
-    sims = sims.select("section_id", "slide_id", F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 6).alias("sim")).filter(F.col("sim") >= least)
+    square, size = F.col("w") * F.col("w"), lambda key: Window.partitionBy(key)
+    common = size("section_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    late = F.sqrt(F.sum(square).over(common)) < F.sqrt(F.sum(square).over(size("section_id"))) * (least - SLACK)
+    left = weigh(left).withColumns({"n1": F.sqrt(F.sum(square).over(size("section_id"))), "late": late})
+    right = weigh(right).withColumn("n2", F.sqrt(F.sum(square).over(size("slide_id"))))
+    return settled(left.select("section_id", "term", "w", "n1", "late"), "sections"), settled(right.select("slide_id", "term", "w", "n2"), "slides")
+
+
+def term_pairs(left: DataFrame, right: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(section_id, slide_id, n1, n2, w1, w2) for each term that isn't late in the section. A list of more than `list_rows` sections is
+    dealt to several tasks, each with the term's slides."""
+    posts = left.filter(~F.col("late")).select("section_id", "term", F.col("w").alias("w1"), "n1")
+    long = posts.groupBy("term").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > list_rows).select("term", F.ceil(F.col("m") / list_rows).cast("int").alias("salts"))
+    long = settled(long, "long-lists")
+    posts = posts.join(long, "term", "left").withColumn("salt", F.pmod(F.xxhash64("section_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    lists = right.select("slide_id", "term", F.col("w").alias("w2"), "n2").join(long, "term", "left")
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return posts.join(lists, ["term", "salt"]).drop("term", "salt")
+
+
+def slide_match_text(sections: DataFrame, slides: DataFrame, most_df: float = 0.2, least: float = 0.05, top: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(section_id, slide_id, sim, rank): the best `top` slides of a section by TF-IDF cosine of at least `least`.
+
+    Sections and slides meet by the section's rarer terms only: its commonest terms, as many as can't reach `least` together, are added for
+    the pairs that still can. sections: section_id, text; slides: slide_id, text (the smaller side).
+    """
+    left, right = weighted_terms(sections, slides, most_df, least)
+    met = term_pairs(left, right, list_rows).groupBy("section_id", "slide_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    rest = left.filter("late").groupBy("section_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rest"))
+    can = F.col("dot") + F.coalesce("rest", F.lit(0.0)) * F.col("n2") >= F.col("n1") * F.col("n2") * (least - SLACK)
+    met = settled(met.join(rest, "section_id", "left").filter(can).drop("rest"), "met")
+    late = left.filter("late").select("section_id", "term", F.col("w").alias("w1"))
+    more = met.select("section_id", "slide_id").join(late, "section_id").join(right.select("slide_id", "term", F.col("w").alias("w2")), ["slide_id", "term"])
+    more = more.groupBy("section_id", "slide_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("more"))
+    dot = F.col("dot") + F.coalesce("more", F.lit(0.0))
+    sims = met.join(more, ["section_id", "slide_id"], "left").select("section_id", "slide_id", F.round(dot / (F.col("n1") * F.col("n2")), 6).alias("sim")).filter(F.col("sim") >= least)
     rank = F.row_number().over(Window.partitionBy("section_id").orderBy(F.desc("sim"), "slide_id"))
     return sims.withColumn("rank", rank).filter(F.col("rank") <= top)

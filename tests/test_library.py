@@ -99,7 +99,7 @@ def test_glossary_and_fillers(spark):
 
 
 def test_metrics_of_whole_documents(spark):
-    """All pairs of the smallest scale: known alignments of the derived candidates, difflib where it is quick, ranks and report."""
+    """All pairs of the smallest scale: known alignments of the derived candidates, difflib for each of any length, ranks and report."""
     pairs = settled(plans.pairs_of(spark, DATA), "pairs")
     blocks = settled(al.word_alignment(pairs), "blocks")
     metrics = settled(mt.quality_metrics(pairs, al.alignment_metrics(pairs, blocks)), "metrics")
@@ -111,8 +111,18 @@ def test_metrics_of_whole_documents(spark):
             assert r.word_seq_ratio == 1 and (r.words_source < 2 or abs(r.fidelity_score - 100) < 1e-9)  # one word has no pairs
         if name == "head" and r.words_candidate:
             assert r.candidate_words_aligned_pct == 100
-    for p in pairs.filter("size(st) < 400 AND size(ct) > 0").collect():
+    found = {}
+    for r in blocks.collect():
+        found.setdefault((r.source_id, r.candidate), []).append((r.i, r.j, r.n))
+    for p in pairs.collect():
         m = difflib.SequenceMatcher(None, p.st, p.ct, autojunk=False)
+        merged = []
+        for i, j, n in sorted(found.get((p.source_id, p.candidate), [])):
+            if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+                merged[-1][2] += n
+            else:
+                merged.append([i, j, n])
+        assert [tuple(x) for x in merged] == [tuple(x) for x in m.get_matching_blocks()[:-1]]
         assert abs(rows[p.source_id, p.candidate].word_seq_ratio - m.ratio()) < 1e-12
     ranked = mt.rank_candidates(metrics).collect()
     assert sum(r.leader for r in ranked) == docs.count() and {r["rank"] for r in ranked} == {1, 2, 3, 4}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteloom.operators import search as sr
+from noteloom.operators import sections as se
 
 
 def plain(docs, queries, k):
@@ -54,3 +55,33 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in sr.search(sr.index(some), asked).select("item_id", "doc_id", "rank").collect()] == [(1, 1, 1)]
     assert sr.search(sr.index(some), asked.filter(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("list_rows", [3, 100_000])
+def test_slides_by_all_terms(spark, list_rows):
+    """Against the cosines of all pairs. A term of 20 % of the sections is late in those that have rarer ones, so it makes few pairs."""
+    pick = random.Random(9)
+    words = [f"w{x}" for x in range(120)]
+    texts = lambda n, most: [(k, " ".join([*(["often"] if k % 6 == 0 else []), *pick.choices(words, weights=[1 / (x + 2) for x in range(120)], k=pick.randrange(0, most))])) for k in range(n)]
+    rows, deck = texts(200, 60), texts(30, 20)
+    rows += [(1000 + k, f"u{k} " * 40 + "often") for k in range(5)]
+    bags, decks = ({k: Counter(t.split()) for k, t in x} for x in (rows, deck))
+    df = Counter(t for b in bags.values() for t in b)
+    idf = {t: math.log(len(rows) / n) for t, n in df.items() if n <= 0.2 * len(rows)}
+    vector = lambda b: {t: n * idf[t] for t, n in b.items() if t in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for k, a in ((k, vector(b)) for k, b in bags.items()):
+        sims = []
+        for m, b in ((m, vector(b)) for m, b in decks.items()):
+            if a.keys() & b.keys() and (sim := round(sum(a[t] * b[t] for t in a.keys() & b.keys()) / norm(a) / norm(b), 6)) >= 0.05:
+                sims.append((-sim, m))
+        want |= {(k, n): (m, -sim) for n, (sim, m) in enumerate(sorted(sims)[:3], 1)}
+    tables = spark.createDataFrame(rows, "section_id int, text string"), spark.createDataFrame(deck, "slide_id int, text string")
+    got = {(r.section_id, r["rank"]): (r.slide_id, r.sim) for r in se.slide_match_text(*tables, list_rows=list_rows).collect()}
+    assert got == want
+    left, right = se.weighted_terms(*tables)
+    late = left.filter("late")
+    assert "often" in idf and df["often"] > 0.18 * len(rows) and late.filter("section_id >= 1000 AND term = 'often'").count() == 5
+    every = left.select("section_id", "term").join(right, "term").count()
+    assert se.term_pairs(left, right, list_rows).count() == every - late.select("term").join(right, "term").count()

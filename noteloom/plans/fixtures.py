@@ -50,6 +50,12 @@ SELECT event_id AS call_id, CAST(floor(event_id / 4) AS BIGINT) AS prompt_id, CA
        CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 10 = 0 THEN '' ELSE concat('r', CAST(event_id AS STRING)) END END AS response
 FROM {events}
 """
+ATTEMPTS = """
+SELECT call_id, prompt_id, attempt, key_id, model_rank, ts, ok,
+       CASE WHEN NOT ok THEN CASE WHEN (prompt_id + attempt) % 3 < 2 OR call_id % 2 = 0 THEN CASE call_id % 3 WHEN 0 THEN 'http 429' ELSE '429 RESOURCE_EXHAUSTED' END
+            WHEN call_id % 5 = 0 THEN 'model unavailable' ELSE 'bad request' END END AS error
+FROM {fx_calls}
+"""
 PAIRS = """
 SELECT doc_id AS source_id, candidate, cand_ord, text AS source_text, candidate_text
 FROM (SELECT doc_id, text, split(text, ' ') AS w, CAST(size(split(text, ' ')) DIV 2 AS INT) AS h
@@ -75,11 +81,11 @@ AUDIO = "SELECT lecture_id, section_no, concat('audio/', lpad(CAST(section_no +
 ASR = "SELECT lecture_id, chunk_no, pos, CASE WHEN pos % 50 = 49 THEN ' ' ELSE word END AS word, CAST(pos * CAST(0.4 AS DOUBLE) AS DOUBLE) AS start_local, CASE WHEN pos % 50 <> 25 THEN pos * CAST(0.4 AS DOUBLE) + CAST(0.3 AS DOUBLE) END AS end_local FROM {fx_words}"
 
 SPARK = {
-    "fx_words": WORDS, "fx_sections": SECTIONS, "fx_status": STATUS, "fx_calls": CALLS, "fx_pairs": PAIRS,
+    "fx_words": WORDS, "fx_sections": SECTIONS, "fx_status": STATUS, "fx_calls": CALLS, "fx_attempts": ATTEMPTS, "fx_pairs": PAIRS,
     "fx_slides": SLIDES, "fx_slide_map": SLIDE_MAP, "fx_audio": AUDIO, "fx_asr": ASR,
 }
 DUCK = SPARK | {"fx_words": WORDS_DUCK, "fx_captions": CAPTIONS_DUCK, "fx_pairs": PAIRS_DUCK, "fx_slides": SLIDES_DUCK}
-NEEDS = {"fx_captions": ["fx_words"], "fx_sections": ["fx_captions"], "fx_asr": ["fx_words"]} | {k: ["fx_sections"] for k in ("fx_slides", "fx_slide_map", "fx_audio")}
+NEEDS = {"fx_captions": ["fx_words"], "fx_sections": ["fx_captions"], "fx_asr": ["fx_words"], "fx_attempts": ["fx_calls"]} | {k: ["fx_sections"] for k in ("fx_slides", "fx_slide_map", "fx_audio")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from noteloom.functions import scalars as s
 from noteloom.operators import alignment as al
 from noteloom.operators import events as ev
 from noteloom.operators import metrics as mt
+from noteloom.operators import notes as nt
 from noteloom.operators import search as sr
 from noteloom.operators import sections as se
 from noteloom.operators import transcript as tr
@@ -400,9 +401,14 @@ query("asr_words_scan", ASR + " SELECT lecture_id, chunk_no, CAST(row_number() O
 )
 
 
-@query("media_manifest", D_SRT + " SELECT lecture_id, CAST(0 AS INT) AS no, CAST(octet_length(encode(srt)) + 1 AS BIGINT) AS bytes FROM srt")
+@query("media_manifest", duck("fx_words") + ", c AS (SELECT lecture_id, chunk_no, string_agg(word, ' ' ORDER BY pos) AS t FROM fx_words GROUP BY ALL) SELECT lecture_id, CAST(row_number() OVER (PARTITION BY lecture_id ORDER BY chunk_no) - 1 AS INT) AS no, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS bytes FROM c")
 def media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = readers.media_manifest(spark, written_srt(spark, sf_dir), "*.txt")
+    """A file for each chunk of a lecture, in the lecture's folder; names rise with the chunks."""
+    path = folder(spark, "chunks")
+    chunks = fixture(spark, sf_dir, "fx_words").groupBy("lecture_id", "chunk_no").agg(F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY pos)").alias("value"))
+    chunks = chunks.repartition("lecture_id").sortWithinPartitions("lecture_id", "chunk_no").select("lecture_id", "value")
+    chunks.write.option("maxRecordsPerFile", 1).partitionBy("lecture_id").text(path)
+    files = readers.media_manifest(spark, path, "*.txt")
     return files.select(F.regexp_replace("folder", "^lecture_id=", "").alias("lecture_id"), "no", "bytes")
 
 
@@ -417,11 +423,10 @@ def text_pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("template_scan", "SELECT concat('part-', item_id) AS name, text AS body FROM benchmark")
 def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates as one packed file."""
     path = folder(spark, "templates")
-    rows = table(spark, sf_dir, "benchmark")
-    rows.select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
-    files = readers.whole_texts(spark, path)
-    return files.select(F.concat(F.lit("part-"), readers.partition_value(F.col("path"), "item_id")).alias("name"), F.regexp_replace("text", "\n$", "").alias("body"))
+    writers.pack_write(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("part-"), "item_id").alias("name"), "text"), ["name"], "text", path)
+    return readers.pack_scan(spark, path, "name string").withColumnRenamed("text", "body")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,8 +475,7 @@ plain_ts = lambda d, *cols: d.withColumns({c: F.col(c).cast("timestamp_ntz") for
 on("call_rate", "fx_calls", lambda d: plain_ts(ev.call_rate(stamped(d), PACE), "window_start"), D_RATE)
 on("call_rate_sliding", "fx_calls", lambda d: plain_ts(ev.call_rate(stamped(d), "1 hour", "30 minutes"), "window_start"),
    C + ", x AS (SELECT key_id, ts, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM fx_calls), y AS (SELECT key_id, b FROM x UNION ALL SELECT key_id, b - INTERVAL 30 MINUTE FROM x) SELECT key_id, CAST(b AS TIMESTAMP) AS window_start, count(*) AS n_calls, count(*) > 12 AS over FROM y GROUP BY 1, 2")
-# of the derived calls never both of an attempt are rate-limited, so all that failed count as that here
-on("block_marks", "fx_calls", lambda d: ev.block_marks(d.withColumn("error", F.when(~F.col("ok"), "429 RESOURCE_EXHAUSTED"))), C + " SELECT key_id, max(ts) AS ts FROM fx_calls GROUP BY prompt_id, attempt, key_id HAVING bool_and(NOT ok)")
+on("block_marks", "fx_attempts", ev.block_marks, duck("fx_attempts") + f" SELECT key_id, max(ts) AS ts FROM fx_attempts GROUP BY prompt_id, attempt, key_id HAVING bool_and(coalesce(NOT ok AND {D_CLASS} = 'rate_limit', false))")
 on("block_intervals", "fx_calls", lambda d: plain_ts(ev.block_intervals(ev.error_marks(stamped(d)), BLOCK), "block_start", "block_end"), D_BLOCKS + " SELECT * FROM blocks")
 on("blocked_at", "fx_calls", lambda d: ev.blocked_at(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)), BLOCK)), D_BLOCKS + " SELECT call_id, b.key_id AS blocked_key FROM fx_calls c JOIN blocks b ON c.ts >= block_start AND c.ts < block_end")
 on("alive_keys", "fx_calls", lambda d: ev.alive_keys(stamped(d), ev.block_intervals(ev.error_marks(stamped(d)), BLOCK), 5), D_BLOCKS + " SELECT c.call_id, 5 - count(DISTINCT b.key_id) AS alive FROM fx_calls c LEFT JOIN blocks b ON c.ts >= block_start AND c.ts < block_end GROUP BY c.call_id")
@@ -530,21 +534,24 @@ def asr_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- further operators on notes, reviews and versions ----
 on("low_confidence", "events", lambda d: ev.low_spans(d.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "value"), 20.0),
    "WITH r AS (SELECT user_id AS task_id, event_id AS seq, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), l AS (SELECT *, rn - row_number() OVER (PARTITION BY task_id ORDER BY seq) AS g FROM r WHERE value < 20) SELECT task_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM l GROUP BY task_id, g")
-on("review_stats", "events", lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.floor(F.col("value")) % 5 + 1), 9).alias("mean_stars")), "SELECT user_id, count(*) AS n, round(avg(CAST(floor(value) AS BIGINT) % 5 + 1), 9) AS mean_stars FROM events GROUP BY user_id")
-on("latest_version", "fx_status", lambda d: d.groupBy("task_id").agg(F.max_by("stage", F.struct("ts", "seq")).alias("stage"), F.max("ts").alias("ts")), S + " SELECT task_id, arg_max_null(stage, (ts, seq)) AS stage, max(ts) AS ts FROM fx_status GROUP BY task_id")
-on("lecture_filter", "documents", lambda d: d.filter("lang = 'en' AND n_chars > 1000").join(d.filter("source = 'src1'").select("lang").distinct(), "lang", "left_semi").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars > 1000 AND lang IN (SELECT lang FROM documents WHERE source = 'src1')")
+on("review_stats", "events", lambda d: nt.review_stats(d.select("user_id", (F.floor(F.col("value")) % 5 + 1).alias("stars")), "user_id"), "SELECT user_id, count(*) AS n, round(avg(CAST(floor(value) AS BIGINT) % 5 + 1), 9) AS mean_stars FROM events GROUP BY user_id")
+on("latest_version", "fx_status", lambda d: nt.latest_version(d, "task_id", "stage"), S + " SELECT task_id, arg_max_null(stage, (ts, seq)) AS stage, max(ts) AS ts FROM fx_status GROUP BY task_id")
+
+
+@query("lecture_filter", "SELECT doc_id AS lecture_id, lang AS subject, n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def lecture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English lectures of more than 1000 characters that are tagged good."""
+    tags = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("lecture_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("tag"))
+    lectures = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lecture_id"), F.col("lang").alias("subject"), "n_chars")
+    return nt.lecture_filter(lectures, "en", tags, "good", 1000)
 
 
 @query("photo_section_asof", duck("fx_sections", "fx_calls") + """ SELECT c.call_id AS photo_id, c.key_id, s.lecture_id, s.section_no FROM fx_calls c ASOF JOIN fx_sections s
  ON s.lecture_id = CAST(c.prompt_id % 100 AS VARCHAR) AND c.call_id % 4000 >= s.start_s""")
 def photo_section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The section that has begun last when a photo was taken: both sides in one stream of time per lecture, carried forward."""
     calls = fixture(spark, sf_dir, "fx_calls")
-    photos = calls.select((F.col("prompt_id") % 100).cast("string").alias("lecture_id"), (F.col("call_id") % 4000).cast("double").alias("at"), F.lit(1).alias("kind"), F.col("call_id").alias("photo_id"), "key_id", F.lit(None).cast("int").alias("section_no"))
-    starts = fixture(spark, sf_dir, "fx_sections").select("lecture_id", F.col("start_s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("key_id"), "section_no")
-    w = Window.partitionBy("lecture_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = photos.unionByName(starts).withColumn("section_no", F.last("section_no", ignorenulls=True).over(w))
-    return rows.filter("kind = 1 AND section_no IS NOT NULL").select("photo_id", "key_id", "lecture_id", "section_no")
+    photos = calls.select((F.col("prompt_id") % 100).cast("string").alias("lecture_id"), (F.col("call_id") % 4000).cast("double").alias("at"), F.col("call_id").alias("photo_id"), "key_id")
+    return nt.photo_section_asof(photos, fixture(spark, sf_dir, "fx_sections"))
 
 
 @query("note_search", f"""WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({d_tokens('text')}) AS token FROM documents) GROUP BY ALL),
@@ -562,8 +569,4 @@ def note_search(spark: SparkSession, sf_dir: str) -> DataFrame:
  g AS (SELECT prompt_id, arg_min(call_id, (attempt, model_rank, call_id)) FILTER (WHERE score >= 60) AS good, arg_max(call_id, (attempt, model_rank, call_id)) AS last FROM x GROUP BY prompt_id)
  SELECT prompt_id, coalesce(good, last) AS call_id, good IS NULL AS flagged FROM g""")
 def qa_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first attempt whose score reaches the threshold, else the last one, flagged."""
-    order = "struct(attempt, model_rank, call_id)"
-    rows = fixture(spark, sf_dir, "fx_calls").withColumn("score", F.col("call_id") * 37 % 100)
-    best = rows.groupBy("prompt_id").agg(F.expr(f"min_by(call_id, {order}) FILTER (WHERE score >= 60)").alias("good"), F.expr(f"max_by(call_id, {order})").alias("last"))
-    return best.select("prompt_id", F.coalesce("good", "last").alias("call_id"), F.isnull("good").alias("flagged"))
+    return nt.qa_attempts(fixture(spark, sf_dir, "fx_calls").withColumn("score", F.col("call_id") * 37 % 100), 60)

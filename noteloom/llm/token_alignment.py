@@ -16,9 +16,11 @@ encoded whole, and a group of many tokens is counted in pieces.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,27 @@ def default_vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+# Fixed value: the pre-token pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _by_rank(path: str, ids: dict[bytes, int]):
+    """An encoder of the same ids that takes a fifth of the time, if the file is plain byte-level BPE whose k-th merge makes the k-th token
+    after the bytes (then a token's id is its rank); else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cut, n = file["model"], file.get("pre_tokenizer") or {}, 256
+    vocab, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    plain = model.get("type") == "BPE" and not file.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges") and cut.get("type") == "ByteLevel"
+    plain = plain and cut.get("use_regex") and not cut.get("add_prefix_space") and sorted(vocab.get(x, -1) for x in byte_letters()) == list(range(n))
+    if not plain or any(vocab.get(a + b) != n + k for k, (a, b) in enumerate(merges)):
+        return None
+    ranks = {word: k for word, k in ids.items() if k < n + len(merges)}
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
@@ -49,16 +72,18 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(bpe_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        a = Tokenizer.from_file(bpe_path)
+        a.encode_special_tokens = True
+        a.no_truncation()
+        a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         byte = {letter: k for k, letter in enumerate(byte_letters())}
-        words = self.a.get_vocab(with_added_tokens=True)
+        words = a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(words.values()) + 1)
         for word, k in words.items():
             self.a_bytes[k] = bytes(byte[x] for x in word) if all(x in byte for x in word) else word.encode()
+        ranked = _by_rank(bpe_path, {w: k for k, w in enumerate(self.a_bytes)})
+        self.ids_of = (lambda texts: [ranked.encode_ordinary(t) for t in texts]) if ranked else (lambda texts: [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)])
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
@@ -66,7 +91,7 @@ class Tokenizers:
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides of each text; none where the bytes of either aren't those of the text after a space."""
-        a = [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts if t], add_special_tokens=False)]
+        a = self.ids_of([f" {t}" for t in texts if t])
         b = self.b.encode([t for t in texts if t], num_threads=1)
         out, at = ([], []), 0
         for t in texts:
@@ -87,13 +112,13 @@ def tokenizers(bpe_path: str, piece_path: str) -> Tokenizers:
 
 
 def overlaps(doc_a, begin_a, doc_b, begin_b) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of overlapping tokens. begin: byte offsets that rise over all documents of the slice."""
+    """Places (i, j) of overlapping tokens, each pair once. begin: byte offsets that rise over all documents of the slice."""
     a = pd.DataFrame({"doc": doc_a, "at": begin_a, "i": np.arange(len(doc_a))})
     b = pd.DataFrame({"doc": doc_b, "at": begin_b, "j": np.arange(len(doc_b))})
     over_a, over_b = pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc")
-    both = np.concatenate([over_a[["i", "j"]].to_numpy(np.int64), over_b[["i", "j"]].to_numpy(np.int64)])
-    keys = np.unique(both[:, 0] * max(1, len(b)) + both[:, 1])
-    return keys // max(1, len(b)), keys % max(1, len(b))
+    more = over_b[begin_a[over_b["i"]] < begin_b]  # where both begin, the other direction has them
+    i, j = (np.concatenate([over_a[c].to_numpy(np.int64), more[c].to_numpy(np.int64)]) for c in "ij")
+    return i, j
 
 
 def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +132,13 @@ class Slice:
     def __init__(self, t: Tokenizers, texts: list[str | None]):
         a, b = t.encode(texts)
         self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        self.a, self.b = (np.fromiter((k for x in side for k in x), np.int64) for side in (a, b))
+        self.a, self.b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
         self.doc_a, self.doc_b = (np.repeat(np.arange(len(texts)), n) for n in (self.n_a, self.n_b))
         end_a, end_b = np.cumsum(t.a_size[self.a]), np.cumsum(t.b_size[self.b])  # equal bytes of each document: the offsets agree
         i, j = overlaps(self.doc_a, end_a - t.a_size[self.a], self.doc_b, end_b - t.b_size[self.b])
-        stop = end_a[i[end_a[i] == end_b[j]]]  # rises, as i does
+        stops = np.zeros(len(end_a), bool)
+        stops[i[end_a[i] == end_b[j]]] = True
+        stop = end_a[stops]
         self.in_a, self.in_b = np.searchsorted(stop, end_a), np.searchsorted(stop, end_b)
         self.of_a, self.of_b = np.bincount(self.in_a, minlength=len(stop)), np.bincount(self.in_b, minlength=len(stop))
         self.first_a, self.first_b = np.cumsum(self.of_a) - self.of_a, np.cumsum(self.of_b) - self.of_b

@@ -1,3 +1,5 @@
+import json
+import random
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -24,6 +26,28 @@ def token_bytes():
     return a, b, of_a, of_b
 
 
+def test_ids_are_those_of_the_tokenizers_library(spark):
+    """Of all texts of a scale, and of random strings of letters, marks, spaces and controls."""
+    a = token_bytes()[0]
+    t = ta.tokenizers(*ta.default_vocabularies())
+    pick = random.Random(3)
+    letters = [chr(x) for x in [*range(0x250), *range(0x2000, 0x2070), *range(0x3040, 0x30A0), 0x1F600, 0x1F468, 0x200D, 0x180E, 0xFEFF, *range(0x600, 0x660), *range(0x900, 0x960)]]
+    common = [*letters[:128], *[" ", "\n", "'s", "'re", "a", "b", "1"] * 8]
+    texts = ["".join(pick.choices(letters if k % 2 else common, k=pick.randrange(1, 40))) for k in range(4000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    assert t.ids_of([f" {x}" for x in texts]) == [a.encode(f" {x}", add_special_tokens=False).ids for x in texts]
+
+
+def test_other_vocabularies_go_by_the_library(tmp_path):
+    """A file whose merges aren't in the order of ids has no ranks."""
+    file = json.load(open(P.path("byte_bpe_50k.json")))
+    file["model"]["merges"][:2] = file["model"]["merges"][1::-1]
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    assert ta._by_rank(str(tmp_path / "other.json"), {}) is None
+    other = ta.Tokenizers(str(tmp_path / "other.json"), P.path("piece_bpe_32k.model"))
+    assert other.ids_of([" the cat"]) == [Tokenizer.from_file(str(tmp_path / "other.json")).encode(" the cat", add_special_tokens=False).ids]
+
+
 def plain(rows):
     """The result of rows (doc_id, text), byte by byte and pair by pair."""
     a, b, of_a, of_b = token_bytes()

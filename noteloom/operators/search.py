@@ -1,9 +1,9 @@
 """Ranked search over an inverted index whose blocks know their largest term frequencies.
 
-Documents are ordered by their number of words and cut into blocks, so the documents of a block can score alike. For each term and
-block the index has the largest frequency, and so for each query and block a bound that no document of the block exceeds.
-A query reads its most promising block first; the k-th best score there is a floor, and only blocks whose bound reaches it are
-read. Postings are (block, token) rows, so a term that all documents have contributes the postings of these blocks only.
+A block has documents of about the same number of words, which can score alike. For each term and block the index has the largest
+frequency, and so for each query and block a bound that no document of the block exceeds. A query reads its most promising blocks
+first; the k-th best score there is a floor, and only blocks whose bound reaches it are read. Postings are (block, token)
+rows, so a term that all documents have contributes the postings of these blocks only.
 """
 
 from __future__ import annotations
@@ -14,16 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
-from noteloom.operators.ranges import numbered
 from noteloom.sources.shared import settled
 
 BLOCK_DOCS = 1024
+BLOCK_WORDS = 500_000
+FIRST_BLOCKS = 4  # blocks that a query reads for its floor
+OCTAVE = 4  # classes of document sizes to a doubling
 DIGITS = 6  # of a score
+SENT_ROWS = 200_000  # rows that may be broadcast; more go by a shuffle
+
+
+def sent(df: DataFrame, name: str) -> DataFrame:
+    """df, stored; marked for broadcast if its rows are few."""
+    df = settled(df, name)
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
 @dataclass
 class Index:
-    """postings: block, token, doc_id, tf; maxima: token, block, most; terms: token, idf; firsts: the smallest doc_ids."""
+    """postings: block, token, hits (array of doc_id, tf); maxima: token, block, most; terms: token, idf; firsts: the smallest doc_ids."""
 
     postings: DataFrame
     maxima: DataFrame
@@ -31,23 +40,29 @@ class Index:
     firsts: DataFrame
 
 
-def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, most_asked: int = 1000, parts: int | None = None) -> Index:
-    """docs: doc_id, text. Searches may ask for `most_asked` documents at most."""
-    bags = docs.select("doc_id", s.tokens(F.col("text")).alias("tokens")).withColumn("words", F.size("tokens"))
-    placed = numbered(bags.withColumn("none", F.lit(0)), ["none"], ["words", "doc_id"], parts)
-    rows = placed.select("doc_id", F.floor((F.col("rn") - 1) / block_docs).alias("block"), F.explode("tokens").alias("token"))
-    postings = settled(rows.groupBy("block", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    maxima = settled(postings.groupBy("token", "block").agg(F.max("tf").alias("most"), F.count(F.lit(1)).alias("df")), "maxima")
+def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS, most_asked: int = 1000) -> Index:
+    """docs: doc_id, text. Searches may ask for `most_asked` documents at most. Documents move once, to their blocks; a block has about
+    `block_docs` documents and `block_words` words at most (or one document)."""
+    bags = docs.select("doc_id", s.tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    bags = bags.withColumn("size", F.floor(F.log2(F.size("tokens").cast("double")) * OCTAVE).cast("int"))
+    classes = bags.groupBy("size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.size("tokens")) / block_words)).alias("salts"))
+    placed = bags.join(F.broadcast(settled(classes, "classes")), "size")  # at most 31 * OCTAVE rows
+    placed = placed.select((F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"), "doc_id", "tokens").repartition("block")
+    counts = placed.select("block", "doc_id", F.explode("tokens").alias("token")).groupBy("block", "token", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    postings = counts.groupBy("block", "token").agg(F.collect_list(F.struct("doc_id", "tf")).alias("hits"), F.max("tf").alias("most"))  # a block's documents
+    postings = settled(postings, "postings")
+    maxima = postings.select("token", "block", "most")
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))  # one row
-    idf = maxima.groupBy("token").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n_all") / F.col("df")).alias("idf"))
+    idf = postings.groupBy("token").agg(F.sum(F.size("hits")).alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n_all") / F.col("df")).alias("idf"))
     firsts = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy("doc_id").limit(most_asked)
     return Index(postings, maxima, settled(idf, "terms"), settled(firsts, "firsts"))
 
 
 def _scores(known: Index, asked: DataFrame, blocks: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) of all documents of the given (item_id, block) that have a term of the query."""
-    wanted = blocks.join(asked, "item_id").select("item_id", "block", "token", "idf")
-    hits = wanted.join(known.postings, ["block", "token"]).groupBy("item_id", "doc_id")
+    wanted = sent(blocks.join(asked, "item_id").select("item_id", "block", "token", "idf"), "wanted")
+    lists = known.postings.join(sent(asked.select("token").distinct(), "asked-tokens"), "token", "left_semi")
+    hits = lists.join(wanted, ["block", "token"]).select("item_id", "idf", F.inline("hits")).groupBy("item_id", "doc_id")
     return hits.agg(F.round(F.sum(F.col("tf") * F.col("idf")), DIGITS).alias("score"))
 
 
@@ -57,13 +72,13 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 
 def promising(known: Index, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Scores of each query's first block, and the further blocks (item_id, block) that may hold one of the k best. asked: item_id, token, idf."""
-    bounds = asked.join(known.maxima, "token").groupBy("item_id", "block").agg((F.sum(F.col("most") * F.col("idf"))).alias("bound"))
-    bounds = settled(bounds, "bounds")
-    first = bounds.groupBy("item_id").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
-    found = settled(_scores(known, asked, first), "first-scores")
+    """Scores of each query's first blocks, and the further blocks (item_id, block) that may hold one of the k best. asked: item_id, token, idf."""
+    bounds = known.maxima.join(sent(asked, "bounded"), "token").groupBy("item_id", "block").agg((F.sum(F.col("most") * F.col("idf"))).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("bound"), "block"))
+    bounds = settled(bounds.withColumn("first", place <= FIRST_BLOCKS), "bounds")
+    found = settled(_scores(known, asked, bounds.filter("first").select("item_id", "block")), "first-scores")
     floor = _best(found, k).filter(F.col("rank") == k).select("item_id", F.col("score").alias("floor"))
-    rest = bounds.join(first.withColumnRenamed("block", "read"), "item_id").filter("block <> read").join(floor, "item_id", "left")
+    rest = bounds.filter("NOT first").join(floor, "item_id", "left")
     return found, rest.filter(F.isnull("floor") | (F.col("bound") >= F.col("floor") - 10.0**-DIGITS)).select("item_id", "block")
 
 
@@ -71,8 +86,9 @@ def search(known: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(item_id, doc_id, score, rank): the k best documents of each query (item_id, text) by the sum of tf * idf over its distinct
     terms, rounded; ties by doc_id. Terms that all documents have weigh nothing, so they only matter where fewer than k
     documents have another one: then the smallest ids follow with score 0."""
-    asked = queries.select("item_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("token")).distinct().join(known.terms, "token")
-    weighty = settled(asked.filter("idf > 0"), "asked")
+    asked = queries.select("item_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("token")).distinct()
+    asked = settled(known.terms.join(sent(asked, "query-terms"), "token"), "query-terms")
+    weighty = asked.filter("idf > 0")
     found, rest = promising(known, weighty, k)
     scores = found.unionByName(_scores(known, weighty, rest))
     everywhere = asked.filter("idf = 0").select("item_id").distinct().crossJoin(F.broadcast(known.firsts.orderBy("doc_id").limit(2 * k)))  # 2 * k rows

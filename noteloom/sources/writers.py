@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.operators.ranges import running_sum
-
 PACK_BYTES = 8_000_000
 DIGITS = 12  # of the length of a pack's table, in bytes, at its begin
 
@@ -33,12 +31,15 @@ def quality_report_write(ranked: DataFrame, path: str) -> None:
 
 def pack_write(texts: DataFrame, keys: list[str], text: str, path: str, pack_bytes: int = PACK_BYTES) -> None:
     """Many texts to a file. A file is a pack: the length of its table, the table (JSON: keys, place and bytes of each text; -1: null)
-    and then the texts end to end. Packs have about `pack_bytes` of texts that follow each other in the order of the keys, so a
-    corpus of small texts needs few files, and a long text has one of its own."""
+    and then the texts end to end. Packs have about `pack_bytes` of texts each, dealt by a hash of the keys, so a corpus of small
+    texts needs few files, and texts move once."""
     sized = texts.select(*keys, F.col(text).alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long"))
-    sized = running_sum(sized.withColumn("room", F.greatest("bytes", F.lit(0))), keys, "room").withColumn("at", F.col("running") - F.col("room"))
-    rows = F.array_sort(F.collect_list(F.struct("at", *keys, "bytes", "text")))  # a pack's worth of texts, and one
-    packs = sized.groupBy(F.floor(F.col("at") / pack_bytes).alias("pack")).agg(rows.alias("rows"))
+    room = F.greatest("bytes", F.lit(0))
+    packs = -(-(sized.agg(F.sum(room)).first()[0] or 0) // pack_bytes) or 1
+    w = Window.partitionBy("pack").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    sized = sized.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).withColumn("at", F.sum(room).over(w) - room)
+    rows = F.array_sort(F.collect_list(F.struct("at", *keys, "bytes", "text")))  # a pack's worth of texts
+    packs = sized.groupBy("pack").agg(rows.alias("rows"))
     first = F.col("rows")[0]["at"]
     table = F.to_json(F.transform("rows", lambda r: F.struct(*(r[k].alias(k) for k in keys), (r["at"] - first).alias("at"), r["bytes"].alias("bytes"))))
     packs = packs.select("pack", table.alias("table"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("body"))

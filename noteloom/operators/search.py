@@ -32,7 +32,7 @@ def sent(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings: block, token, hits (array of doc_id, tf); maxima: token, block, most; terms: token, idf; firsts: the smallest doc_ids."""
+    """postings: block, token, hits (array of doc_id, tf); maxima: token, block, most; terms: token, df, n_all, idf; firsts: the smallest doc_ids."""
 
     postings: DataFrame
     maxima: DataFrame
@@ -53,7 +53,7 @@ def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_words: int = BLOC
     postings = settled(postings, "postings")
     maxima = postings.select("token", "block", "most")
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))  # one row
-    idf = postings.groupBy("token").agg(F.sum(F.size("hits")).alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n_all") / F.col("df")).alias("idf"))
+    idf = postings.groupBy("token").agg(F.sum(F.size("hits")).alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n_all") / F.col("df")))
     firsts = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy("doc_id").limit(most_asked)
     return Index(postings, maxima, settled(idf, "terms"), settled(firsts, "firsts"))
 
@@ -87,7 +87,7 @@ def search(known: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     terms, rounded; ties by doc_id. Terms that all documents have weigh nothing, so they only matter where fewer than k
     documents have another one: then the smallest ids follow with score 0."""
     asked = queries.select("item_id", F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("token")).distinct()
-    asked = settled(known.terms.join(sent(asked, "query-terms"), "token"), "query-terms")
+    asked = settled(known.terms.select("token", "idf").join(sent(asked, "query-terms"), "token"), "query-terms")
     weighty = asked.filter("idf > 0")
     found, rest = promising(known, weighty, k)
     scores = found.unionByName(_scores(known, weighty, rest))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.operators.search import index, sent
 from noteloom.sources.shared import settled
 
 LIST_ROWS = 100_000  # sections of a term that one task may hold
@@ -171,20 +172,23 @@ def bundle_manifest(sections: DataFrame, audio: DataFrame, slides: DataFrame) ->
 
 
 def weighted_terms(sections: DataFrame, slides: DataFrame, most_df: float = 0.2, least: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF terms of both sides, stored: (section_id, term, w, n1, late) and (slide_id, term, w, n2). Terms of more than `most_df` of the
+    """TF-IDF terms of both sides, stored: (section_id, term, w, n1, late) of the slides' terms, and (slide_id, term, w, n2). Terms of more than `most_df` of the
     sections are dropped. late: the commonest terms of a section that together can't reach `least` with any slide."""
-    bag = lambda df, key: df.select(key, F.explode(s.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    left, right = settled(bag(sections, "section_id"), "section-terms"), bag(slides, "slide_id")
-    n = sections.agg(F.count(F.lit(1)).alias("n_all"))
-    df = left.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= F.col("n_all") * most_df)  # n: one row
-    idf = settled(df.select("term", "df", F.log(F.col("n_all").cast("double") / F.col("df")).alias("idf")), "idf")
-    weigh = lambda b: b.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    square, size = F.col("w") * F.col("w"), lambda key: Window.partitionBy(key)
-    common = size("section_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    late = F.sqrt(F.sum(square).over(common)) < F.sqrt(F.sum(square).over(size("section_id"))) * (least - SLACK)
-    left = weigh(left).withColumns({"n1": F.sqrt(F.sum(square).over(size("section_id"))), "late": late})
-    right = weigh(right).withColumn("n2", F.sqrt(F.sum(square).over(size("slide_id"))))
-    return settled(left.select("section_id", "term", "w", "n1", "late"), "sections"), settled(right.select("slide_id", "term", "w", "n2"), "slides")
+    known = index(sections.select(F.col("section_id").alias("doc_id"), "text"))
+    idf = known.terms.filter(F.col("df") <= F.col("n_all") * most_df)
+    right = slides.select("slide_id", F.explode(s.tokens(F.col("text"))).alias("term")).groupBy("slide_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    right = right.join(idf.withColumnRenamed("token", "term"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    square = F.col("w") * F.col("w")
+    right = settled(right.select("slide_id", "term", "w", F.sqrt(F.sum(square).over(Window.partitionBy("slide_id"))).alias("n2")), "slides")
+    # a section's terms are together in its block, so what follows needs no further shuffle
+    rows = known.postings.drop("most").join(idf, "token").repartition("block").select("block", F.col("token").alias("term"), "df", "idf", F.inline("hits"))
+    rows = rows.select("block", F.col("doc_id").alias("section_id"), "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    own = Window.partitionBy("block", "section_id")
+    common = own.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    size = F.sqrt(F.sum(square).over(own))
+    left = rows.withColumns({"n1": size, "late": F.sqrt(F.sum(square).over(common)) < size * (least - SLACK)})
+    left = left.join(sent(right.select("term").distinct(), "slide-terms"), "term", "left_semi")  # the others only count in n1
+    return settled(left.select("section_id", "term", "w", "n1", "late"), "sections"), right
 
 
 def term_pairs(left: DataFrame, right: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scalars as s
+from noteloom.sources.shared import settled
 
 CAPTION_WORDS = 7
 CHUNK_SECONDS = 1200.0
@@ -77,6 +78,7 @@ def block_similarity(captions: DataFrame, block: int = 4) -> DataFrame:
         .groupBy("lecture_id", "block_no", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    bags = settled(bags, "bags")
     norms = bags.groupBy("lecture_id", "block_no").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
     before = bags.select("lecture_id", (F.col("block_no") + 1).alias("block_no"), "token", F.col("n").alias("n0"))
     dots = bags.join(before, ["lecture_id", "block_no", "token"]).groupBy("lecture_id", "block_no").agg(F.sum(F.col("n") * F.col("n0")).alias("dot"))
@@ -91,7 +93,7 @@ def block_similarity(captions: DataFrame, block: int = 4) -> DataFrame:
 def topic_boundaries(captions: DataFrame, block: int = 4) -> DataFrame:
     """Topic boundaries by lexical cohesion: blocks whose similarity to the one before is a local minimum, and
     whose depth below the peaks at both sides exceeds the lecture's mean less half a standard deviation."""
-    sims = block_similarity(captions, block)
+    sims = settled(block_similarity(captions, block), "similarities")
     w = Window.partitionBy("lecture_id").orderBy("block_no")
     left, right = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     depth = F.max("sim").over(left) + F.max("sim").over(right) - F.col("sim") * 2
@@ -104,6 +106,7 @@ def topic_boundaries(captions: DataFrame, block: int = 4) -> DataFrame:
 def split_lexical(captions: DataFrame, block: int = 4, seconds: float = 300.0) -> DataFrame:
     """(lecture_id, section_no, start_s, end_s): a section begins where a topic does, and again within long topics, every
     `seconds` from the topic's start. None is longer: a last caption that reaches beyond is cut there."""
+    captions = settled(captions, "captions")  # read several times
     cuts = topic_boundaries(captions, block).filter("boundary").select("lecture_id", "block_no", F.lit(1).alias("cut"))
     rows = captions.withColumn("block_no", F.floor((F.col("caption_no") - 1) / block).cast("long")).join(cuts, ["lecture_id", "block_no"], "left")
     w = Window.partitionBy("lecture_id").orderBy("caption_no")

@@ -7,7 +7,7 @@ of the one before, which keeps the law: parts to shards (16 numbers per part, on
 blocks (a task per shard), in a group its parts to blocks (a task per shard and group). Each part permutes its
 rows and cuts them by its row of the matrix; after the exchange each block permutes what it got. The blocks of a shard
 follow one another, so slots are gapless and no task holds a whole shard. With BLOCK_ROWS rows to a block the matrix has
-(rows / BLOCK_ROWS)^2 cells: at 5e10 rows one for every 300 rows or so.
+(rows / BLOCK_ROWS)^2 cells: 1.5e7 at 1e9 rows, but 3.6e10, or one for every 1.4 rows, at 5e10; there blocks should have more rows.
 
 Law `rows`: shard counts differ by one at most.
 

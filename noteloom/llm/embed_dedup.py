@@ -234,5 +234,15 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int | No
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+OP11_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+ r AS (SELECT a AS vec_id, b AS c FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), c AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+ FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""
+
+
 def op11_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))

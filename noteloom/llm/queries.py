@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from noteloom.llm.bpe import op1_bpe
-from noteloom.llm.embed_dedup import op11_embed_dedup
+from noteloom.llm.embed_dedup import OP11_SQL, op11_embed_dedup
 from noteloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noteloom.llm.fingerprint import op7_fingerprint
 from noteloom.llm.mixing import op8_mixing
@@ -33,4 +33,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op11_embed_dedup": OP11_SQL,
 }

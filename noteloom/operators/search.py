@@ -1,6 +1,6 @@
 """Ranked search over an inverted index whose blocks know their largest term frequencies.
 
-A block has documents of about the same number of words, which can score alike. For each term and block the index has the largest
+A block has documents of about the same length, which can score alike. For each term and block the index has the largest
 frequency, and so for each query and block a bound that no document of the block exceeds. A query reads its most promising blocks
 first; the k-th best score there is a floor, and only blocks whose bound reaches it are read. Postings are (block, token)
 rows, so a term that all documents have contributes the postings of these blocks only.
@@ -17,7 +17,7 @@ from noteloom.functions import scalars as s
 from noteloom.sources.shared import settled
 
 BLOCK_DOCS = 1024
-BLOCK_WORDS = 500_000
+BLOCK_CHARS = 3_000_000
 FIRST_BLOCKS = 4  # blocks that a query reads for its floor
 OCTAVE = 4  # classes of document sizes to a doubling
 DIGITS = 6  # of a score
@@ -40,14 +40,15 @@ class Index:
     firsts: DataFrame
 
 
-def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS, most_asked: int = 1000) -> Index:
+def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS, most_asked: int = 1000) -> Index:
     """docs: doc_id, text. Searches may ask for `most_asked` documents at most. Documents move once, to their blocks; a block has about
-    `block_docs` documents and `block_words` words at most (or one document)."""
-    bags = docs.select("doc_id", s.tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    bags = bags.withColumn("size", F.floor(F.log2(F.size("tokens").cast("double")) * OCTAVE).cast("int"))
-    classes = bags.groupBy("size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.size("tokens")) / block_words)).alias("salts"))
-    placed = bags.join(F.broadcast(settled(classes, "classes")), "size")  # at most 31 * OCTAVE rows
-    placed = placed.select((F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"), "doc_id", "tokens").repartition("block")
+    `block_docs` documents and `block_chars` characters at most (or one document)."""
+    texts = docs.select("doc_id", "text", F.char_length("text").alias("chars")).filter("chars > 0")
+    texts = texts.withColumn("size", F.floor(F.log2(F.col("chars").cast("double")) * OCTAVE).cast("int"))
+    classes = texts.groupBy("size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("chars") / block_chars)).alias("salts"))
+    placed = texts.join(F.broadcast(settled(classes, "classes")), "size")  # at most 31 * OCTAVE rows
+    placed = placed.select((F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"), "doc_id", "text").repartition("block")
+    placed = placed.select("block", "doc_id", s.tokens(F.col("text")).alias("tokens"))  # tokens are made where they are needed
     counts = placed.select("block", "doc_id", F.explode("tokens").alias("token")).groupBy("block", "token", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     postings = counts.groupBy("block", "token").agg(F.collect_list(F.struct("doc_id", "tf")).alias("hits"), F.max("tf").alias("most"))  # a block's documents
     postings = settled(postings, "postings")

@@ -13,8 +13,10 @@ coordinates collide; at similarity 0.85 fewer than 6 of 32 do with probability 1
    known by its difference from the centre. Two classes whose differences are small are similar enough whatever
    they are; any other pair must share so many elements of their differences that it meets under one of the rarest
    of each, at a place that still leaves enough (prefix and position filter). Pairs that do are compared
-   exactly: the difference of two sets is that of their differences. Small families are done in one task
-   each; of large ones, classes, elements and pairs are rows.
+   exactly: the difference of two sets is that of their differences. Classes that are far from the centre and
+   share a difference (a second version of a text and its copies) don't meet in its list: they are a family of their own, with
+   their own centre, and so on; it has at most half of the classes, so there are few levels. Small families are done
+   in one task each; of large ones, classes, elements and pairs are rows.
 4. Classes that meet in a list but are of different families are counted one by one: those with MATCHES
    collisions are compared on full sets. A list with more than FEW_PAIRS such pairs is posted again under
    a further coordinate-value pair, which splits it.
@@ -31,7 +33,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,11 +156,13 @@ def _share(similarity: tuple[int, int]) -> int:
     return 2 * sum(similarity)
 
 
-def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that connect what is similar enough among a few sets, by their differences from the centre."""
-    n, sizes, share = len(sets), np.array([len(s) for s in sets]), _share(similarity)
+def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int, int], sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is similar enough among a few sets, by their differences from the centre. Of sets that are
+    themselves differences from one set, sizes are those of what they stand for."""
+    n, held, share = len(sets), np.array([len(s) for s in sets]), _share(similarity)
+    sizes = held if sizes is None else sizes
     values, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), held)
     common = df * 2 > n
     place = np.cumsum(common) - 1
     has = np.zeros((n, int(common.sum())), bool)
@@ -179,6 +182,10 @@ def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int,
     links = [(ids[least], ids[k]) for k in np.flatnonzero(core).tolist() if k != least]
     if core.all():
         return links
+    own = _shared_difference(owner, element, core)
+    for x in np.unique(own[own >= 0]):
+        some = np.flatnonzero(own == x).tolist()
+        links += family_links([ids[k] for k in some], [element[begin[k] : begin[k] + d[k]] for k in some], similarity, sizes[some])
     other = np.where(core, excess[~core].min(), excess[least])
     need = np.maximum(1, -(-(excess + other) // share))
     at = np.arange(len(owner)) - begin[owner]
@@ -190,7 +197,8 @@ def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int,
         for k in range(1, len(group)):
             x, y = owner[group[k]], owner[group[:k]]
             can = np.minimum(left[group[k]], left[group[:k]]) * share >= excess[x] + excess[y]
-            pairs.update((int(x), int(z)) for z in y[can & ~(core[x] & core[y])])
+            done = (core[x] & core[y]) | ((own[x] >= 0) & (own[x] == own[y]))
+            pairs.update((int(x), int(z)) for z in y[can & ~done])
     for x, y in pairs:
         both = np.intersect1d(element[begin[x] : begin[x] + d[x]], element[begin[y] : begin[y] + d[y]], assume_unique=True)
         if excess[x] + excess[y] <= share * len(both):
@@ -198,8 +206,20 @@ def family_links(ids: list[int], sets: list[np.ndarray], similarity: tuple[int,
     return links
 
 
+def _shared_difference(owner: np.ndarray, element: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Of each set that isn't in the core, the element of its difference that most of these share; -1 if none does."""
+    out = ~core[owner]
+    values, which, m = np.unique(element[out], return_inverse=True, return_counts=True)
+    order = np.lexsort((values[which], m[which], owner[out]))
+    owners, which = owner[out][order], which[order]
+    last = np.flatnonzero(np.append(owners[1:] != owners[:-1], True)) if len(owners) else np.zeros(0, int)
+    best = np.full(len(core), -1, np.int64)
+    best[owners[last]] = np.where(m[which[last]] > 1, values[which[last]], -1)
+    return best
+
+
 def _families(similarity: tuple[int, int]):
-    names = ["a", "b", "fam", "cls", "members"]
+    names = ["a", "b", "fam", "cls", "n", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of whole families, which follow one another; the sets of large families go on as they are."""
@@ -209,19 +229,24 @@ def _families(similarity: tuple[int, int]):
             k = len(links)
             sides = [pa.array([x[j] for x in links], pa.int64()) for j in range(2)]
             links.clear()
-            return pa.RecordBatch.from_arrays([*sides, *(pa.nulls(k, pa.int64()) for _ in range(2)), pa.nulls(k, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([*sides, *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.binary())], names)
 
         held, of, last = {}, None, None
+
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            return family_links([c for c, _ in held], [np.frombuffer(m, np.int64) for _, m in held], similarity, np.array(list(held.values())))
+
         for batch in batches:
             big = []
-            for k, (fam, cls, salt) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
-                members = batch.column(3)[k].as_py()
+            for k, (fam, cls, salt, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True)):
+                members = batch.column(4)[k].as_py()
                 if fam != of:
-                    if len(held) > 1:
-                        links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
+                    links += close()
                     held, of, last = {}, fam, None
                 if salt == 0:
-                    held[cls, members] = None  # repeated rows are there once
+                    held[cls, members] = n  # repeated rows are there once
                 elif (cls, members) != last:
                     big.append(k)
                     last = (cls, members)
@@ -230,9 +255,8 @@ def _families(similarity: tuple[int, int]):
             if big:
                 some = batch.take(pa.array(big))
                 none = pa.nulls(len(big), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(some.column(k) for k in (0, 1, 3))], names)
-        if len(held) > 1:
-            links += family_links([c for c, _ in held], [np.frombuffer(m, np.uint64) for _, m in held], similarity)
+                yield pa.RecordBatch.from_arrays([none, none, *(some.column(k) for k in (0, 1, 3, 4))], names)
+        links += close()
         yield flush()
 
     return run
@@ -252,12 +276,11 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The elements of each set's difference from its family's centre, and whether the set has them; null if there is none."""
     names = ["fam", "cls", "row", "n", "element", "has"]
     for batch in batches:
-        for part in slices(batch, 3, SLICE_BYTES // 4):
-            heads = [part.column(k).to_numpy() for k in range(3)]
-            heads.append(pc.divide(pc.binary_length(part.column(3)), 8).to_numpy().astype(np.int64))
+        for part in slices(batch, 4, SLICE_BYTES // 4):
+            heads = [part.column(k).to_numpy() for k in range(4)]
             here, found, has = [], [], []
             for k in range(part.num_rows):
-                own, centre = np.frombuffer(part.column(3)[k].as_py(), np.int64), np.array(part.column(4)[k].as_py() or [], np.int64)
+                own, centre = np.frombuffer(part.column(4)[k].as_py(), np.int64), np.array(part.column(5)[k].as_py() or [], np.int64)
                 more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
                 here.append(len(more) + len(less))
                 found += [more, less]
@@ -270,14 +293,51 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in heads), element, there], names)
 
 
-def large_family_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fam, cls, salt, n, list of numbers) with the list as bytes."""
+    for batch in batches:
+        members = pa.array([np.asarray(x.values, np.int64).tobytes() for x in batch.column(4)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], members], ["fam", "cls", "salt", "n", "members"])
+
+
+def _salted(rows: DataFrame, work: str, family: int) -> DataFrame:
+    """rows (fam, cls, work, ...) of families of two or more with salt: 0 where one task does the family, else by class."""
+    totals = rows.groupBy("fam").agg(F.count(F.lit(1)).alias("nf"), F.sum(work).alias("work")).filter("nf > 1")
+    small = stored(totals.select("fam", ((F.col("nf") <= family) & (F.col("work") <= FAMILY_SHINGLES)).alias("small")), "totals")
+    salt = F.when(F.col("small"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) + 1).cast("long")
+    return rows.join(small, "fam").withColumn("salt", salt).drop("small")
+
+
+def _in_families(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of sets (fam, cls, salt, n, members): the links (a, b) of small families, and the sets (fam, cls, n, members) of large ones."""
+    dealt = sets.repartition("fam", "salt").sortWithinPartitions("fam", "cls", "members").select("fam", "cls", "salt", "n", "members")
+    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, n long, members binary"), "family-links")
+    return done.filter("a IS NOT NULL").select("a", "b"), done.filter("members IS NOT NULL").select("fam", "cls", "n", "members")
+
+
+def large_family_links(sets: DataFrame, similarity: tuple[int, int], family: int = FAMILY) -> DataFrame:
     """family_links() of families of any size: sets (fam, cls, members)."""
+    sets = sets.select("fam", "cls", (F.octet_length("members") / 8).cast("long").alias("n"), "members")
+    found = None
+    while True:
+        links, inner = _level_links(sets, similarity)
+        dealt = _salted(inner, "d", family).select("fam", "cls", "salt", "n", "diff").mapInArrow(_packed, "fam long, cls long, salt long, n long, members binary")
+        more, sets = _in_families(dealt, similarity)
+        links = links.unionByName(more)
+        found = links if found is None else found.unionByName(links)
+        if sets.isEmpty():
+            return found
+
+
+def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of families of sets (fam, cls, n, members; the members may be differences from one set, n is the whole size): the links (a, b) but
+    for those within families (fam, cls, n, d, diff) of sets that share a difference from the centre, which are returned too."""
     share = _share(similarity)
     counts = sets.select("fam", "members").mapInArrow(_shingle_counts, "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
     nf = stored(sets.groupBy("fam").agg(F.count(F.lit(1)).alias("nf")), "sizes")
     counts = stored(counts.filter("df > 1").join(nf, "fam"), "shingles")
     centres = counts.filter(F.col("df") * 2 > F.col("nf")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
-    numbered = sets.select("fam", "cls", F.monotonically_increasing_id().alias("row"), "members")  # rows of one id may have different texts
+    numbered = sets.select("fam", "cls", F.monotonically_increasing_id().alias("row"), "n", "members")  # rows of one id may have different texts
     rows = numbered.join(stored(centres, "centres"), "fam", "left").mapInArrow(_differences, "fam long, cls long, row long, n long, element long, has boolean")
     often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))  # who lacks it has a row of counts
     rows = rows.join(counts, ["fam", "element"], "left").withColumn("often", often)
@@ -288,24 +348,37 @@ def large_family_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFram
     edge = first.groupBy("fam").agg(F.min(F.when(~F.col("core"), F.col("excess"))).alias("edge")).filter("edge IS NOT NULL")
     known = first.join(stored(edge, "edges"), "fam", "left")
     core_links = known.filter(F.col("core") & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
+
+    far = first.filter(~F.col("core")).select("fam", "row", F.explode("diff.element").alias("element"))
+    shared = far.groupBy("fam", "element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    inner = far.join(shared, ["fam", "element"]).groupBy("fam", "row").agg(F.max(F.struct("m", "element")).alias("most"))
+    inner = stored(inner.select("row", F.xxhash64("fam", "most.element").alias("inner")), "inner")
+
     other = F.when(F.col("core"), F.col("edge")).otherwise(F.col("low"))
     need = F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / share))
     band = lambda x: F.floor(F.log2((x - F.col("low") + 1).cast("double"))).cast("int")
-    open_ = known.filter("edge IS NOT NULL").select("fam", "cls", "core", "low", "excess", F.size("diff").alias("d"), need.alias("need"), "diff")
-    posts = open_.select("fam", "cls", "core", "low", "excess", "d", "need", F.posexplode("diff").alias("at", "x")).filter((F.col("at") <= F.col("d") - F.col("need")) & (F.col("x.often") > 1))
+    kind = F.when(F.col("core"), F.lit(0)).when(F.isnotnull("inner"), F.lit(1)).otherwise(F.lit(2))
+    which = F.when(F.col("core"), F.lit(0).cast("long")).otherwise(F.coalesce("inner", "row"))
+    open_ = known.filter("edge IS NOT NULL").join(inner, "row", "left").withColumn("grp", F.struct(kind.alias("kind"), which.alias("id")))
+    open_ = open_.select("fam", "cls", "grp", "low", "excess", F.size("diff").alias("d"), need.alias("need"), "diff")
+    posts = open_.select("fam", "cls", "grp", "low", "excess", "d", "need", F.posexplode("diff").alias("at", "x")).filter((F.col("at") <= F.col("d") - F.col("need")) & (F.col("x.often") > 1))
     left = F.col("d") - F.col("at")
-    posts = stored(posts.select("fam", "cls", "core", "low", "excess", F.col("x.element").alias("element"), left.alias("left"), band(F.col("excess")).alias("band"), (left * share - F.col("excess")).alias("reach")), "posts")
+    posts = stored(posts.select("fam", "cls", "grp", "low", "excess", F.col("x.element").alias("element"), left.alias("left"), band(F.col("excess")).alias("band"), (left * share - F.col("excess")).alias("reach")), "posts")
     # a class looks for partners that are as near to the centre as itself or nearer, and no further out than what is left reaches
     asks = posts.filter(F.col("reach") >= F.col("low")).withColumn("own", F.col("band")).withColumn("band", F.explode(F.sequence(F.lit(0), F.least("own", band(F.col("reach"))))))
-    asks = asks.select("fam", "element", "band", F.col("cls").alias("b"), F.col("core").alias("core_b"), F.col("excess").alias("excess_b"), F.col("left").alias("left_b"), "own")
+    asks = asks.select("fam", "element", "band", F.col("cls").alias("b"), F.col("grp").alias("grp_b"), F.col("excess").alias("excess_b"), F.col("left").alias("left_b"), "own")
+    # it asks the groups of a list, then the members of a group that can have a partner; never its own group
+    groups = posts.groupBy("fam", "element", "band", "grp").agg(F.min("excess").alias("excess"), F.max("left").alias("left"), F.min("cls").alias("cls"))
     can = F.least("left", "left_b") * share >= F.col("excess") + F.col("excess_b")
     once = (F.col("own") > F.col("band")) | (F.col("b") > F.col("cls"))
-    pairs = posts.select("fam", "element", "band", "cls", "core", "excess", "left").withColumnsRenamed({"fam": "fam_a", "element": "element_a", "band": "band_a"})
-    on = (F.col("fam") == F.col("fam_a")) & (F.col("element") == F.col("element_a")) & (F.col("band") == F.col("band_a"))
-    pairs = stored(pairs.join(asks, on & can & once & ~(F.col("core") & F.col("core_b"))).select(F.col("cls").alias("a"), "b").distinct(), "pairs")
-    side = lambda c: diffs.select(F.col("cls").alias(c), F.col("excess").alias(f"excess_{c}"), F.transform("diff", lambda x: x["element"]).alias(f"diff_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * share)
-    return core_links.unionByName(both.select("a", "b"))
+    asked = asks.join(groups, ["fam", "element", "band"]).filter(can & once & (F.col("grp") != F.col("grp_b"))).drop("excess", "left", "cls")
+    members = posts.select("fam", "element", "band", "grp", "cls", "excess", "left")
+    pairs = stored(asked.join(members, ["fam", "element", "band", "grp"]).filter(can & once).select(F.col("cls").alias("a"), "b").distinct(), "pairs")
+    side = lambda c: diffs.select("fam", F.col("cls").alias(c), F.col("excess").alias(f"excess_{c}"), F.transform("diff", lambda x: x["element"]).alias(f"diff_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b").withColumnRenamed("fam", "fam_b"), "b").filter(F.col("fam") == F.col("fam_b"))
+    both = both.filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * share)
+    within = diffs.join(inner, "row").select(F.col("inner").alias("fam"), "cls", "n", F.size("diff").cast("long").alias("d"), F.transform("diff", lambda x: x["element"]).alias("diff"))
+    return core_links.unionByName(both.select("a", "b")), within
 
 
 def labelled(links: DataFrame) -> DataFrame:
@@ -332,13 +405,14 @@ def _confirm(similarity: tuple[int, int]):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, whole = similarity
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(whole * same >= part * (len(x) + len(y) - same))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            for few in slices(batch, 2, SLICE_BYTES):  # sizes of a pair's sets are alike
+                keep = []
+                for x, y in zip(few.column(2), few.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(whole * same >= part * (len(x) + len(y) - same))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([few.column(0).filter(mask), few.column(1).filter(mask)], ["a", "b"])
 
     return confirm
 
@@ -396,16 +470,10 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
 
     known = classes.select("h1", "h2", "n", "cls")
     own = families.withColumnRenamed("comp", "fam").join(known.select("cls", "n"), "cls")
-    totals = own.groupBy("fam").agg(F.count(F.lit(1)).alias("nf"), F.sum("n").alias("shingles"))
-    small = stored(totals.select("fam", ((F.col("nf") <= family) & (F.col("shingles") <= FAMILY_SHINGLES)).alias("small")), "totals")
-    salt = F.when(F.col("small"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) + 1).cast("long")
-    wanted = stored(own.join(small, "fam").select("cls", "fam", salt.alias("salt")), "wanted")
-    dealt = _sets_of(wanted, docs).repartition("fam", "salt").sortWithinPartitions("fam", "cls", "members").select("fam", "cls", "salt", "members")
-    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, members binary"), "family-links")
-    links = done.filter("a IS NOT NULL").select("a", "b")
-    large = done.filter("members IS NOT NULL").select("fam", "cls", "members")
+    wanted = stored(_salted(own, "n", family).select("cls", "fam", "salt"), "wanted")
+    links, large = _in_families(_sets_of(wanted, docs).withColumn("n", (F.octet_length("members") / 8).cast("long")), similarity)
     if not large.isEmpty():
-        links = links.unionByName(large_family_links(large, similarity))
+        links = links.unionByName(large_family_links(large, similarity, family))
 
     in_lists = lists.join(families, "cls", "left").select("key", "cls", "at", F.coalesce("comp", "cls").alias("fam"))
     in_lists = in_lists.join(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), "cls").join(known.select("cls", "n"), "cls").withColumn("depth", F.lit(1))

@@ -68,6 +68,29 @@ def test_families_with_chains_and_a_common_passage(spark, few_pairs, family):
     assert result(df, few_pairs=few_pairs, family=family) == plain(rows)
 
 
+@pytest.mark.parametrize("n", [400, 800])
+def test_a_second_version_has_its_own_centre(spark, monkeypatch, n):
+    """Two versions of a text, each with many copies that differ in a word: copies of a version are not compared in pairs."""
+    pick, seen, write = random.Random(5), [], nd.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        seen.append((name, out.count() if name in ("pairs", "across") else 0))
+        return out
+
+    monkeypatch.setattr(nd, "stored", counted)
+    base = [f"w{pick.randrange(5000)}" for _ in range(150)]
+    other = base[:50] + [f"v{k}" for k in range(45)] + base[95:]
+    rows = []
+    for i in range(n):
+        words = list(base if i % 5 < 3 else other)
+        words[pick.randrange(150)] = f"e{pick.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = result(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert {c for _, c in got.values()} == {0, 3} and got == plain(rows)
+    assert "pairs" in dict(seen) and sum(x for _, x in seen) <= n
+
+
 def direct(sets):
     """The components of sets of numbers, comparing all pairs."""
     up = list(range(len(sets)))

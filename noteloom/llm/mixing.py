@@ -12,7 +12,8 @@ Words are what ASCII white space separates. They are counted by saturation: n wo
 soft in long texts.
 
 Defined results: null or empty texts have no tokens, the domains' shares as posteriors, and a rate like
-any; repeated rows are rated alike, each by itself; null ids are allowed; labelled rows whose domain is
+any; repeated rows are rated alike, each by itself; each row of a labelled id teaches once, all the domain that is
+first by name; null ids are allowed; labelled rows whose domain is
 null or unknown aren't learned from; without any labelled row posteriors are even; an empty table gives
 an empty result; clashing column names don't matter.
 """
@@ -53,8 +54,9 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = MOST_LABELLED) -> tuple[DataFrame, list[float]]:
-    """Weights (slot, w0, w1, ...) of SLOTS rows, and the log prior of each domain. At most `most` labelled rows are read."""
-    sample = labelled.filter(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """Weights (slot, w0, w1, ...) of SLOTS rows, and the log prior of each domain. At most `most` labelled ids are read."""
+    ids = labelled.filter(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counts = word_rows(own, "domain").filter("slot IS NOT NULL").groupBy("slot").agg(
         *(F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{k}") for k, d in enumerate(domains))

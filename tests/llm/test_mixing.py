@@ -84,3 +84,17 @@ def test_odd_rows(spark, tables):
         assert len({r.rate for r in got if r.doc_id == 3}) == 1
     assert mx.mix(docs.limit(0), labelled, mx.WEIGHTS).count() == 0
     assert mx.mixed(docs, labelled.limit(0)).count() >= 6
+
+
+def test_rows_of_one_labelled_id_teach_once_each(spark):
+    rows = [(1, "one", "en"), (1, "one", "en"), (1, "one", "de"), (2, "three", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    domains = ["de:1", "fr:1"]
+    labelled = mx.labelled_domains(docs, labels).unionByName(mx.labelled_domains(docs, labels))
+    weights, prior = mx.classifier(docs, labelled, domains)
+    slot = mx.word_rows(docs.filter("doc_id = 1"), "doc_id").first().slot
+    got = {r.slot: r.w0 - r.w1 for r in weights.collect()}[slot]
+    # three rows of id 1, each counted once, all of the first of its domains; one row of id 2
+    assert np.isclose(got, np.log(3.5 / (3 + 0.5 * mx.SLOTS)) - np.log(0.5 / (1 + 0.5 * mx.SLOTS)))
+    assert prior == [float(np.log(2 / 4))] * 2

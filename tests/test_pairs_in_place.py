@@ -1,8 +1,10 @@
 """Queries on text pairs move the documents once and nothing else: their n-grams and tokens are counted where the texts are."""
 
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from noteloom.operators import alignment as al
 from noteloom.operators import metrics as mt
 from noteloom.plans import fixtures
 from noteloom.plans import queries as plans
+from noteloom.sources.shared import settled
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "source_id long, candidate string, cand_ord int, source_text string, candidate_text string"
@@ -44,3 +47,33 @@ def test_sentences_of_odd_texts(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", s.sentences(F.col("t")).alias("x")).collect()
     for r in got:
         assert r.x == list(dict.fromkeys(y for y in map(plain, re.split(r"(?<=[.!?])\s+", r.t)) if y))
+
+
+def test_runs_of_regions_against_all_pairs_of_places(monkeypatch):
+    """Few matches at a time, as for texts of repeated lines, give the same maximal runs."""
+    monkeypatch.setattr(al, "MATCHES", 7)
+    pick = random.Random(5)
+    for n in (1, 2, 3, 5, 6):
+        a, b = ([pick.randrange(3) for _ in range(60)] for _ in range(2))
+        regions = [(0, 20, 0, 15), (21, 40, 15, 33), (44, 44, 35, 36), (50, 60, 40, 60)]
+        want = set()
+        for r, (alo, ahi, blo, bhi) in enumerate(regions):
+            for i in range(alo, ahi):
+                for j in range(blo, bhi):
+                    if a[i] == b[j] and (i == alo or j == blo or a[i - 1] != b[j - 1]):
+                        size = next(k for k in range(61) if i + k == ahi or j + k == bhi or a[i + k] != b[j + k])
+                        want |= {(r, i, j, size)} if size >= n else set()
+        lo_hi = [np.array(x) for x in zip(*regions, strict=True)]
+        r, i, j, size = al._region_runs(np.array(a + b), lo_hi[0], lo_hi[1], lo_hi[2] + 60, lo_hi[3] + 60, n)
+        assert sorted(zip(r.tolist(), i.tolist(), (j - 60).tolist(), size.tolist(), strict=True)) == sorted(want)
+
+
+def test_alignment_stores_no_grams(spark, monkeypatch):
+    """Pairs begun by each other are one block; of others only numbered tokens, runs and regions are stored, none with a text."""
+    stored = {}
+    monkeypatch.setattr(al, "settled", lambda df, name: stored.setdefault(name, []).append(df.schema) or settled(df, name))
+    rows = [(1, "c", 0, "a b c", "a b"), (2, "c", 0, "a b c d", "c d a b"), (3, "c", 0, "", "a"), (4, "c", 0, "a", "a")]
+    got = sorted(tuple(r) for r in al.word_alignment(mt.token_pairs(spark.createDataFrame(rows, SCHEMA))).collect())
+    assert got == [(1, "c", 0, 0, 2), (2, "c", 0, 2, 2), (4, "c", 0, 0, 1)]
+    texts = [f.name for schemas in stored.values() for schema in schemas for f in schema if "string" in f.dataType.simpleString()]
+    assert "numbers" in stored and set(texts) == {"candidate"}

@@ -2,9 +2,14 @@
 
 import difflib
 import random
+import re
+
+import numpy as np
 
 from noteloom.operators import alignment as al
 from noteloom.operators import metrics as mt
+from noteloom.plans import fixtures
+from noteloom.plans import queries as plans
 
 SCHEMA = "source_id long, candidate string, cand_ord int, source_text string, candidate_text string"
 
@@ -59,3 +64,30 @@ def test_rounds_go_on_until_no_region_is_open(spark):
     pairs = al.settled(mt.token_pairs(spark.createDataFrame([(1, "c", 0, a, b)], SCHEMA)), "pairs")
     got = sorted((r.i, r.j, r.n) for r in al.word_alignment(pairs).collect())
     assert got == [tuple(x) for x in difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).get_matching_blocks()[:-1]]
+
+
+def test_quality_takes_one_pass(spark, monkeypatch):
+    """Nothing of a pair is stored or shuffled, and slices of any size and few matches at a time count alike."""
+    stored = []
+    monkeypatch.setattr(fixtures, "PART_BYTES", 50_000)
+    monkeypatch.setattr(plans, "settled", lambda df, name: stored.append(name) or al.settled(df, name))
+    metrics = plans.quality(spark, "/root/testdata/sf0.001")
+    assert re.findall(r"Exchange (\w+\(?\w+)", metrics._jdf.queryExecution().executedPlan().toString()) == ["hashpartitioning(doc_id"] and not stored
+    assert metrics.count() == 800
+
+
+def test_blocks_of_slices_equal_difflib(monkeypatch):
+    monkeypatch.setattr(al, "MATCHES", 11)
+    pick, sides = random.Random(3), []
+    for k in range(200):
+        a = pick.choices(range(pick.randrange(1, 12)), k=pick.randrange(0, 60))
+        sides.append((a, a[len(a) // 2 :] + a[: len(a) // 2] if k % 3 == 0 else [x for x in a if pick.random() < 0.7] if k % 3 == 1 else pick.choices(range(5), k=40)))
+    tokens = np.array([x for side in (0, 1) for pair in sides for x in pair[side]], np.int64)
+    a, b = (np.concatenate([[0], np.cumsum([len(p[side]) for p in sides])]) for side in (0, 1))
+    b = b + a[-1]
+    equal = {}
+    for p, i, j, n in al._blocks(tokens, a, b, al.LEVELS).T.tolist():
+        equal.setdefault(p, set()).update((i - a[p] + k, j - b[p] + k) for k in range(n))
+    for p, (x, y) in enumerate(sides):
+        want = {(m.a + k, m.b + k) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(m.size)}
+        assert equal.get(p, set()) == want

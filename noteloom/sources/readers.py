@@ -81,27 +81,39 @@ def text_pair_scan(spark: SparkSession, sources: str, candidates: str) -> DataFr
     return a.join(b, "source_id")
 
 
+def _packs(spark: SparkSession, path: str, keys: str):
+    """The packs that pack_write() wrote under path, the place of their tables' end and the rows of the table of a pack."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").text(path, wholetext=True).filter("value <> ''")  # a task without packs may leave an empty file
+    fields, digits = ", ".join(k.strip().replace(" ", ": ", 1) for k in keys.split(",")), writers.DIGITS
+    end = lambda content: F.decode(F.substring(content, 1, digits), "UTF-8").cast("int") + digits
+    rows = lambda content: F.from_json(F.decode(F.substr(content, F.lit(digits + 1), end(content) - digits), "UTF-8"), f"array<struct<{fields}, at: bigint, bytes: bigint>>")
+    return files.select(F.col("value").cast("binary").alias("content")), end, rows
+
+
 def pack_scan(spark: SparkSession, path: str, keys: str) -> DataFrame:
     """(keys, text) of the packs that pack_write() wrote under path; keys: their names and types. A task reads whole packs; each text
     is cut out of its pack's bytes by the pack's own table, so nothing is joined or shuffled."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("content")
-    names, digits = [k.split()[0] for k in keys.split(",")], writers.DIGITS
-    fields = ", ".join(k.strip().replace(" ", ": ", 1) for k in keys.split(","))
+    files, end, rows = _packs(spark, path, keys)
+    names = [k.split()[0] for k in keys.split(",")]
 
     def texts(content):
-        size = F.decode(F.substring(content, 1, digits), "UTF-8").cast("int")
-        table = F.from_json(F.decode(F.substr(content, F.lit(digits + 1), size), "UTF-8"), f"array<struct<{fields}, at: bigint, bytes: bigint>>")
-
         def cut(row):
-            text = F.decode(F.substr(content, (size + digits + 1 + row["at"]).cast("int"), row["bytes"].cast("int")), "UTF-8")
+            text = F.decode(F.substr(content, (end(content) + 1 + row["at"]).cast("int"), row["bytes"].cast("int")), "UTF-8")
             return F.struct(*(row[k].alias(k) for k in names), F.when(row["bytes"] >= 0, text).alias("text"))
 
-        return F.transform(table, cut)
+        return F.transform(rows(content), cut)
 
     # cut before they are rows, else each row would have a copy of its pack; as a lambda's variable the pack isn't copied for each text
     return files.select(F.inline(F.transform(F.array("content"), texts)[0]))
 
 
+def pack_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """media_manifest of packs of files that are keyed by folder and file: (folder, file, bytes, no), from the packs' tables alone."""
+    files, _, rows = _packs(spark, path, "folder string, file string")
+    found = files.select(F.inline(rows(F.col("content")))).select("folder", "file", "bytes")
+    return found.withColumn("no", F.row_number().over(Window.partitionBy("folder").orderBy("file")) - 1)
+
+
 def packed_pair_scan(spark: SparkSession, sources: str, candidates: str) -> DataFrame:
     """text_pair_scan of packs: sources by source_id, candidates by source_id and candidate."""
     a = pack_scan(spark, sources, "source_id long").withColumnRenamed("text", "source_text")

@@ -29,19 +29,29 @@ def quality_report_write(ranked: DataFrame, path: str) -> None:
     ranked.sortWithinPartitions("source_id", "rank").write.mode("overwrite").json(path)
 
 
-def pack_write(texts: DataFrame, keys: list[str], text: str, path: str, pack_bytes: int = PACK_BYTES) -> None:
+def pack_count(size: int | None, pack_bytes: int = PACK_BYTES) -> int:
+    """The packs for texts of `size` bytes."""
+    return -(-(size or 0) // pack_bytes) or 1
+
+
+def dealt(texts: DataFrame, keys: list[str], packs: int) -> DataFrame:
+    """texts with their pack, by a hash of the keys, a partition for each pack or so."""
+    return texts.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).repartition(packs, "pack")
+
+
+def pack_write(texts: DataFrame, keys: list[str], text: str, path: str, pack_bytes: int = PACK_BYTES, packs: int | None = None, compression: str = "none") -> None:
     """Many texts to a file. A file is a pack: the length of its table, the table (JSON: keys, place and bytes of each text; -1: null)
     and then the texts end to end. Packs have about `pack_bytes` of texts each, dealt by a hash of the keys, so a corpus of small
-    texts needs few files, and texts move once."""
-    sized = texts.select(*keys, F.col(text).alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long"))
+    texts needs few files, and texts move once; not at all if they are dealt() already. With the number of `packs` texts are made once,
+    else a second time to add up their sizes."""
+    if "pack" not in texts.columns:
+        texts = dealt(texts, keys, packs or pack_count(texts.agg(F.sum(F.octet_length(text))).first()[0], pack_bytes))
+    sized = texts.select("pack", *keys, F.col(text).alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long"))
     room = F.greatest("bytes", F.lit(0))
-    packs = -(-(sized.agg(F.sum(room)).first()[0] or 0) // pack_bytes) or 1
     w = Window.partitionBy("pack").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    sized = sized.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).withColumn("at", F.sum(room).over(w) - room)
     rows = F.array_sort(F.collect_list(F.struct("at", *keys, "bytes", "text")))  # a pack's worth of texts
-    packs = sized.groupBy("pack").agg(rows.alias("rows"))
-    first = F.col("rows")[0]["at"]
-    table = F.to_json(F.transform("rows", lambda r: F.struct(*(r[k].alias(k) for k in keys), (r["at"] - first).alias("at"), r["bytes"].alias("bytes"))))
-    packs = packs.select("pack", table.alias("table"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("body"))
+    packed = sized.withColumn("at", F.sum(room).over(w) - room).groupBy("pack").agg(rows.alias("rows"))
+    table = F.to_json(F.transform("rows", lambda r: F.struct(*(r[k].alias(k) for k in keys), r["at"].alias("at"), r["bytes"].alias("bytes"))))
+    packed = packed.select(table.alias("table"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("body"))
     value = F.concat(F.lpad(F.octet_length("table").cast("string"), DIGITS, "0"), "table", "body")
-    packs.select("pack", value.alias("value")).write.mode("overwrite").partitionBy("pack").text(path)
+    packed.select(value.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", compression).text(path)

@@ -18,6 +18,7 @@ from noteloom.sources.shared import settled
 
 BLOCK_DOCS = 1024
 BLOCK_CHARS = 3_000_000
+PART_CHARS = 3_000_000  # of a partition of whole blocks; what their tokens take in memory is some 100 times that
 FIRST_BLOCKS = 4  # blocks that a query reads for its floor
 OCTAVE = 4  # classes of document sizes to a doubling
 DIGITS = 6  # of a score
@@ -32,12 +33,14 @@ def sent(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings: block, token, hits (array of doc_id, tf); maxima: token, block, most; terms: token, df, n_all, idf; firsts: the smallest doc_ids."""
+    """postings: block, token, hits (array of doc_id, tf); maxima: token, block, most; terms: token, df, n_all, idf; firsts: the smallest doc_ids;
+    parts: how many partitions of whole blocks fit in a task's memory."""
 
     postings: DataFrame
     maxima: DataFrame
     terms: DataFrame
     firsts: DataFrame
+    parts: int
 
 
 def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS, most_asked: int = 1000) -> Index:
@@ -45,9 +48,11 @@ def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = BLOC
     `block_docs` documents and `block_chars` characters at most (or one document)."""
     texts = docs.select("doc_id", "text", F.char_length("text").alias("chars")).filter("chars > 0")
     texts = texts.withColumn("size", F.floor(F.log2(F.col("chars").cast("double")) * OCTAVE).cast("int"))
-    classes = texts.groupBy("size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("chars") / block_chars)).alias("salts"))
-    placed = texts.join(F.broadcast(settled(classes, "classes")), "size")  # at most 31 * OCTAVE rows
-    placed = placed.select((F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"), "doc_id", "text").repartition("block")
+    classes = texts.groupBy("size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("chars") / block_chars)).alias("salts"), F.sum("chars").alias("chars"))
+    classes = settled(classes, "classes")  # at most 31 * OCTAVE rows
+    parts = classes.agg(F.ceil(F.sum("chars") / PART_CHARS)).first()[0] or 1  # more texts are more partitions, not larger ones
+    placed = texts.join(F.broadcast(classes.drop("chars")), "size")
+    placed = placed.select((F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"), "doc_id", "text").repartition(parts, "block")
     placed = placed.select("block", "doc_id", s.tokens(F.col("text")).alias("tokens"))  # tokens are made where they are needed
     counts = placed.select("block", "doc_id", F.explode("tokens").alias("token")).groupBy("block", "token", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     postings = counts.groupBy("block", "token").agg(F.collect_list(F.struct("doc_id", "tf")).alias("hits"), F.max("tf").alias("most"))  # a block's documents
@@ -56,7 +61,7 @@ def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = BLOC
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))  # one row
     idf = postings.groupBy("token").agg(F.sum(F.size("hits")).alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n_all") / F.col("df")))
     firsts = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy("doc_id").limit(most_asked)
-    return Index(postings, maxima, settled(idf, "terms"), settled(firsts, "firsts"))
+    return Index(postings, maxima, settled(idf, "terms"), settled(firsts, "firsts"), parts)
 
 
 def _scores(known: Index, asked: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_slides_by_all_terms(spark, list_rows):
     assert "often" in idf and df["often"] > 0.18 * len(rows) and late.filter("section_id >= 1000 AND term = 'often'").count() == 5
     every = left.select("section_id", "term").join(right, "term").count()
     assert se.term_pairs(left, right, list_rows).count() == every - late.select("term").join(right, "term").count()
+
+
+def test_more_texts_are_more_partitions(spark, monkeypatch):
+    """The postings of a task are those of PART_CHARS of texts or so, however many texts there are."""
+    monkeypatch.setattr(sr, "PART_CHARS", 500)
+    for n in (20, 80):
+        docs = spark.createDataFrame([(k, f"w{k} " * 24 + "x") for k in range(10, 10 + n)], "doc_id long, text string")
+        known = sr.index(docs, block_docs=4)
+        assert known.parts == -(-n * 97 // 500)
+        assert len(known.postings.inputFiles()) > n / 20

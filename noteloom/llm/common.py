@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,46 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         begin = end
 
 
+def released() -> None:
+    """Give back to the system what this Python process has freed. Python workers outlive their tasks, so what they keep counts
+    beside the memory of later tasks of their executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """For mapInArrow: run, and released() at its end."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return done
+
+
+def tidy_group(run: Callable) -> Callable:
+    """For applyInPandas of a group: run, and released() at its end."""
+
+    def done(rows):
+        out = run(rows)
+        released()
+        return out
+
+    return done
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """For applyInPandas of a cogroup: run, and released() at its end."""
+
+    def done(left, right):
+        out = run(left, right)
+        released()
+        return out
+
+    return done
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() also maps other letters, so it serves only texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

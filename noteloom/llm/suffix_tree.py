@@ -10,7 +10,7 @@ token is scored in the state of the longest retained suffix of what precedes it,
 
 Jobs: one pass over the texts writes each block's dictionary and its texts as numbers of that dictionary;
 counts of all words are one aggregation of the dictionaries, and go back to the blocks by a join with them,
-so a word travels once per block and not once per occurrence. Each block then sends its distinct triples,
+so a word travels once per block and not once per occurrence. A block's ids and counts are one packed row from there on. Each block then sends its distinct triples,
 packed, to owners of their last two tokens; an owner sums them and notes which blocks have what reaches LEAST.
 Tests and states are joins and aggregations of the tables of these, and what is retained goes back by the
 owners' notes, so that each block gets the part of the tree that it needs. build_tree() is the same on one
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import discard, slices, stored, table
+from noteloom.llm.common import discard, slices, stored, table, tidy, tidy_group, tidy_groups
 
 END = "\n"
 LEAST = 3
@@ -106,12 +106,30 @@ def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
+VALUED = "block long, ids binary, counts binary"
+
+
+def _valued(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's dictionary as one row: ids and counts of its words, by place."""
+    rows = rows.sort_values("place")
+    ids, counts = _pack(rows["id"].to_numpy()), zstandard.compress(rows["c"].to_numpy(np.int64).tobytes(), 1)
+    return pd.DataFrame([(rows["block"].iloc[0], ids, counts)], columns=["block", "ids", "counts"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, id) of the words that have an id, from rows of _valued()."""
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = _unpack(packed.as_py(), 1)[0]
+            place = np.flatnonzero(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block, np.int64)), pa.array(place), pa.array(ids[place])], ["block", "place", "id"])
+
+
 def _triples(owners: int):
     """Distinct (a, b, c) in a row in a block's texts, as ids (a is 0 where there is none), with their counts in training."""
 
     def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("place")
-        ids = words["id"].to_numpy(np.int64)
+        ids = _unpack(words["ids"].iloc[0], 1)[0] if len(words) else np.zeros(0, np.int64)
         known, rank = np.unique(np.concatenate([[0], ids]), return_inverse=True)
         m, rank = len(known), rank[1:]
         seqs = [rank[_unpack(x, 1)[0]] for x in docs["numbers"]]
@@ -321,13 +339,13 @@ def _scorer(total: int, distinct: int):
     def run(rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         kind = rows["kind"].to_numpy()
-        words = rows[kind == 0].sort_values("place")
-        count, ids = words["value"].to_numpy(), words["id"].to_numpy(np.int64)
+        words = rows[kind == 0].iloc[0]
+        count, ids = np.frombuffer(unpack(words["floats"]), np.int64), _unpack(words["keys"], 1)[0]
         by_id, m = np.argsort(ids), len(count)
         place = lambda x: by_id[np.searchsorted(ids, x, sorter=by_id)]
         tree = {"m": np.array(m)}
-        scale = words["scale"].to_numpy(float)
-        tree |= {"s1": np.flatnonzero(~np.isnan(scale)), "scale1": scale[~np.isnan(scale)]}
+        states = rows[kind == 1].sort_values("place")
+        tree |= {"s1": states["place"].to_numpy(np.int64), "scale1": states["scale"].to_numpy(float)}
         for k, (keys, values) in enumerate((("e1", "p1"), ("s2", "scale2"), ("e2", "p2")), 2):
             own = rows[kind == k]
             sides = [_unpack(x, 3) for x in own["keys"]]
@@ -356,38 +374,38 @@ def held_out(doc_id) -> F.Column:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    blocks = stored(rows.mapInArrow(_blocks, "block long, doc_id long, held_out boolean, n_tokens long, numbers binary, place int, word string, n long"), "blocks")
+    blocks = stored(rows.mapInArrow(tidy(_blocks), "block long, doc_id long, held_out boolean, n_tokens long, numbers binary, place int, word string, n long"), "blocks")
     words = blocks.filter("word IS NOT NULL").select("block", "place", "word", "n")
     summed = words.groupBy("word").agg(F.sum("n").alias("c")).sortWithinPartitions(F.desc("c"))
     counts = stored(summed.withColumn("row", F.monotonically_increasing_id()), "counts")
     part, rank = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
     total, distinct, parts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(part), F.lit(0)) + 1).first()
     counts = counts.select("word", "c", F.when(F.col("c") >= LEAST, rank * parts + part + 1).otherwise(0).alias("id"))  # frequent words have small ids
-    valued = stored(words.join(counts, "word").select("block", F.col("place").cast("long").alias("place"), "c", "id"), "valued")
+    discard(docs.sparkSession)
+    valued = words.join(counts, "word").select("block", F.col("place").cast("long").alias("place"), "c", "id")
+    valued = stored(valued.groupBy("block").applyInPandas(tidy_group(_valued), VALUED), "valued")
     texts = blocks.filter("numbers IS NOT NULL").select(F.col("block").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "held_out", "n_tokens", "numbers")
     texts = stored(texts, "texts")
     discard(docs.sparkSession, blocks)
-    found = valued.select("block", "place", "id").groupBy("block").cogroup(texts.select("of", "held_out", "numbers").groupBy("of"))
-    triples = found.applyInPandas(_triples(total // OWNER_TOKENS + 1), "owner long, block long, keys binary")
-    grams = stored(triples.groupBy("owner").applyInPandas(_counted, GRAMS), "grams")
+    found = valued.select("block", "ids").groupBy("block").cogroup(texts.select("of", "held_out", "numbers").groupBy("of"))
+    triples = found.applyInPandas(tidy_groups(_triples(total // OWNER_TOKENS + 1)), "owner long, block long, keys binary")
+    grams = stored(triples.groupBy("owner").applyInPandas(tidy_group(_counted), GRAMS), "grams")
     discard(docs.sparkSession)
     low = F.lit(float(np.log10(total + 0.1 * (distinct + 1))) if total else 0.0)
     roots = counts.filter("id > 0").select("id", F.col("c").alias("seen"), (F.log10(F.col("c") + 0.1) - low).alias("root"))
     s1, parts, tables = _tree(grams, roots)
     noted = grams.filter("n = 0").select(F.col("owner").alias("from"), "block", "keys")
-    sent = parts.groupBy("owner").cogroup(noted.groupBy("from")).applyInPandas(_sent, "block long, kind int, keys binary, floats binary")
+    sent = parts.groupBy("owner").cogroup(noted.groupBy("from")).applyInPandas(tidy_groups(_sent), "block long, kind int, keys binary, floats binary")
     sent = stored(sent, "sent")
     none = F.lit(None).cast("binary")
     discard(docs.sparkSession, grams, counts, *tables[1:])
-    # a word's row has the scale of its state too; rare words (id 0) are no states, and would be one hot key
-    found = valued.filter("id > 0").join(s1, "id", "left").unionByName(valued.filter("id = 0"), allowMissingColumns=True)
-    known = stored(found.select("block", "place", "id", "c", F.col("value").alias("scale")), "known")
-    discard(docs.sparkSession, valued, tables[0])
-    rows = known.select("block", F.lit(0).alias("kind"), "place", "id", F.col("c").cast("double").alias("value"), "scale", none.alias("keys"), none.alias("floats"))
-    zero, blank = F.lit(0).cast("long"), F.lit(None).cast("double")
-    met = sent.select("block", "kind", zero.alias("place"), zero.alias("id"), F.lit(0.0).alias("value"), blank.alias("scale"), "keys", "floats")
-    scored = rows.unionByName(met).groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
-        _scorer(total, distinct), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    frequent = valued.select("block", "ids").mapInArrow(tidy(_frequent), "block long, place long, id long")  # rare words (id 0) are no states, and would be one hot key
+    no_place, no_scale = F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("scale")
+    rows = valued.select("block", F.lit(0).alias("kind"), no_place, no_scale, F.col("ids").alias("keys"), F.col("counts").alias("floats"))
+    rows = rows.unionByName(frequent.join(s1, "id").select("block", F.lit(1).alias("kind"), "place", F.col("value").alias("scale"), none.alias("keys"), none.alias("floats")))
+    rows = rows.unionByName(sent.select("block", "kind", no_place, no_scale, "keys", "floats"))
+    scored = rows.groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
+        tidy_groups(_scorer(total, distinct)), "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
     return scored.select(doc_id, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

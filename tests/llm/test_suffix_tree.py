@@ -93,3 +93,17 @@ def test_rare_contexts_are_in_the_tree(spark):
         y = np.array([of[t] for t in cut(x)])
         assert got[i].score == pytest.approx(st.score(tree, y, root[y], of["\n"]).sum(), rel=1e-9)
     assert all(got[i].score > got[i].base_score + 6 for i, _ in rows[400:])
+
+
+def test_a_block_dictionary_is_one_row(spark):
+    """Ids and counts of a block's words are packed by place; only words with an id become rows again."""
+    rows = [(b, p, 2**33 + p, (b * 7 + p * 5) % 4) for b in (3, 1 << 24) for p in (4, 0, 2, 1, 3)]
+    df = spark.createDataFrame(rows, "block long, place long, c long, id long")
+    got = df.groupBy("block").applyInPandas(st._valued, st.VALUED)
+    assert got.count() == 2
+    for r in got.collect():
+        own = sorted(x[1:] for x in rows if x[0] == r.block)
+        assert st._unpack(bytes(r.ids), 1)[0].tolist() == [x[2] for x in own]
+        assert np.frombuffer(st.zstandard.decompress(bytes(r.counts)), np.int64).tolist() == [x[1] for x in own]
+    frequent = got.select("block", "ids").mapInArrow(st._frequent, "block long, place long, id long").collect()
+    assert sorted(map(tuple, frequent)) == sorted((b, p, i) for b, p, _, i in rows if i)

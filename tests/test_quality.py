@@ -3,6 +3,7 @@
 import json
 import re
 from collections import Counter
+from statistics import median
 
 from noteloom.operators import alignment as al
 from noteloom.operators import metrics as mt
@@ -81,3 +82,26 @@ def test_all_columns_of_all_pairs(spark, tmp_path):
     for r in told:
         own = rows[r["source_id"], r["candidate"]]
         assert r["leader"] == (r["rank"] == 1) and all(abs(r[c] - own[c]) < 1e-12 for c in ("fidelity_score", "rouge2_recall", "rewrite_aggressiveness"))
+
+
+def test_candidates_are_cleaned_once(spark):
+    """Tokens and sentences of a candidate come from one cleaned text."""
+    plan = mt.sides(plans.sides_of(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[*_`>#]+") == 1
+
+
+def test_metrics_are_made_once_for_all_statistics(spark):
+    """Means and medians don't make the metrics anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"c{k % 3}", float(k * 7 % 100), float(k * 11 % 100)) for k in range(200)]
+    df = spark.createDataFrame(rows, "source_id long, candidate string, fidelity_score double, readability_score double").repartition(4)
+    got = {r.candidate: r for r in mt.quality_by_candidate(df.mapInArrow(count, df.schema), 3).collect()}
+    assert made.value == 200
+    assert got[None].n == 200 and got[None].p50_fidelity_score == median([r[2] for r in rows])
+    assert got["c1"].p50_readability_score == median([r[3] for r in rows if r[1] == "c1"])

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, table
+from noteloom.llm.common import slices, table, tidy
 
 SLICE_BYTES = 4_000_000
 KNOWN_WORDS = 300_000
@@ -225,7 +225,7 @@ def _decode_rows(path: str):
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids of each row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode_rows(path or default_vocabulary()), "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_encode_rows(path or default_vocabulary())), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

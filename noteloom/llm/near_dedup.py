@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, stored, table
+from noteloom.llm.common import slices, stored, table, tidy
 
 WORDS = 5
 SIMILARITY = (85, 100)
@@ -142,7 +142,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     rest = [c for c in wanted.columns if c != "cls"]
     texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(sent, "cls").select("cls", "text", *rest)
-    return texts.mapInArrow(_sets, "cls long, members binary" + "".join(f", {c} long" for c in rest))
+    return texts.mapInArrow(tidy(_sets), "cls long, members binary" + "".join(f", {c} long" for c in rest))
 
 
 def _excess(d, n, similarity: tuple[int, int]):
@@ -311,7 +311,7 @@ def _salted(rows: DataFrame, work: str, family: int) -> DataFrame:
 def _in_families(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Of sets (fam, cls, salt, n, members): the links (a, b) of small families, and the sets (fam, cls, n, members) of large ones."""
     dealt = sets.repartition("fam", "salt").sortWithinPartitions("fam", "cls", "members").select("fam", "cls", "salt", "n", "members")
-    done = stored(dealt.mapInArrow(_families(similarity), "a long, b long, fam long, cls long, n long, members binary"), "family-links")
+    done = stored(dealt.mapInArrow(tidy(_families(similarity)), "a long, b long, fam long, cls long, n long, members binary"), "family-links")
     return done.filter("a IS NOT NULL").select("a", "b"), done.filter("members IS NOT NULL").select("fam", "cls", "n", "members")
 
 
@@ -321,7 +321,7 @@ def large_family_links(sets: DataFrame, similarity: tuple[int, int], family: int
     found = None
     while True:
         links, inner = _level_links(sets, similarity)
-        dealt = _salted(inner, "d", family).select("fam", "cls", "salt", "n", "diff").mapInArrow(_packed, "fam long, cls long, salt long, n long, members binary")
+        dealt = _salted(inner, "d", family).select("fam", "cls", "salt", "n", "diff").mapInArrow(tidy(_packed), "fam long, cls long, salt long, n long, members binary")
         more, sets = _in_families(dealt, similarity)
         links = links.unionByName(more)
         found = links if found is None else found.unionByName(links)
@@ -333,12 +333,12 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     """Of families of sets (fam, cls, n, members; the members may be differences from one set, n is the whole size): the links (a, b) but
     for those within families (fam, cls, n, d, diff) of sets that share a difference from the centre, which are returned too."""
     share = _share(similarity)
-    counts = sets.select("fam", "members").mapInArrow(_shingle_counts, "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
+    counts = sets.select("fam", "members").mapInArrow(tidy(_shingle_counts), "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
     nf = stored(sets.groupBy("fam").agg(F.count(F.lit(1)).alias("nf")), "sizes")
     counts = stored(counts.filter("df > 1").join(nf, "fam"), "shingles")
     centres = counts.filter(F.col("df") * 2 > F.col("nf")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
     numbered = sets.select("fam", "cls", F.monotonically_increasing_id().alias("row"), "n", "members")  # rows of one id may have different texts
-    rows = numbered.join(stored(centres, "centres"), "fam", "left").mapInArrow(_differences, "fam long, cls long, row long, n long, element long, has boolean")
+    rows = numbered.join(stored(centres, "centres"), "fam", "left").mapInArrow(tidy(_differences), "fam long, cls long, row long, n long, element long, has boolean")
     often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))  # who lacks it has a row of counts
     rows = rows.join(counts, ["fam", "element"], "left").withColumn("often", often)
     diffs = rows.groupBy("fam", "cls", "row", "n").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
@@ -453,7 +453,7 @@ def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tupl
 
 def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES, family: int = FAMILY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
-    sketched = stored(_named(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketches")
+    sketched = stored(_named(docs).mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketches")
     firsts = [F.first(F.col("keys")[k]).alias(f"k{k}") for k in range(COORDINATES)]
     classes = sketched.filter("n_shingles > 0").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("cls"), *firsts)
     classes = stored(classes.select("h1", "h2", "n", "cls", F.array(*(f"k{k}" for k in range(COORDINATES))).alias("keys")), "classes")
@@ -482,7 +482,7 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         sets = stored(_sets_of(stored(ends, "ends"), docs).distinct(), "sets")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
-        links = links.unionByName(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(similarity), "a long, b long"))
+        links = links.unionByName(both.select("a", "b", "ma", "mb").mapInArrow(tidy(_confirm(similarity)), "a long, b long"))
 
     named = known.join(labelled(links), "cls", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
     out = sketched.drop("keys").join(named, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))

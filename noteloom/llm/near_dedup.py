@@ -19,7 +19,8 @@ coordinates collide; at similarity 0.85 fewer than 6 of 32 do with probability 1
    in one task each; of large ones, classes, elements and pairs are rows.
 4. Classes that meet in a list but are of different families are counted one by one: those with MATCHES
    collisions are compared on full sets. A list with more than FEW_PAIRS such pairs is posted again under
-   a further coordinate-value pair, which splits it.
+   a further coordinate-value pair, which splits it. A class that has MATCHES collisions with some member of a family of
+   VISITED classes or more is not paired with its members: it visits the family, and step 3 finds its links there.
 
 Defined results: null or blank text has the empty set, links with nothing and stays; equal texts and
 repeated rows are linked (all rows that share the smallest id stay); a row with null id joins its group
@@ -48,7 +49,9 @@ LEADS = 2
 FEW_PAIRS = 1 << 20
 FAMILY = 256  # classes of a family that one task may hold
 FAMILY_SHINGLES = 500_000  # and their shingles
+VISITED = 16  # classes of a family that others visit
 MOST_SENT = 1 << 20
+MOST_LINKS = 1 << 17  # that one task may label
 SEED = 11
 SLICE_BYTES = 1_000_000
 NO_ID = (1 << 63) - (1 << 41)
@@ -344,7 +347,7 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     diffs = rows.groupBy("fam", "cls", "row", "n").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
     diffs = stored(diffs.withColumn("excess", _excess(F.size("diff").cast("long"), F.col("n"), similarity)), "differences")
     least = diffs.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least")).select("fam", F.col("least.excess").alias("low"), F.col("least.cls").alias("first"))
-    first = diffs.join(least, "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
+    first = diffs.join(stored(least, "least"), "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
     edge = first.groupBy("fam").agg(F.min(F.when(~F.col("core"), F.col("excess"))).alias("edge")).filter("edge IS NOT NULL")
     known = first.join(stored(edge, "edges"), "fam", "left")
     core_links = known.filter(F.col("core") & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
@@ -373,18 +376,53 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     once = (F.col("own") > F.col("band")) | (F.col("b") > F.col("cls"))
     asked = asks.join(groups, ["fam", "element", "band"]).filter(can & once & (F.col("grp") != F.col("grp_b"))).drop("excess", "left", "cls")
     members = posts.select("fam", "element", "band", "grp", "cls", "excess", "left")
-    pairs = stored(asked.join(members, ["fam", "element", "band", "grp"]).filter(can & once).select(F.col("cls").alias("a"), "b").distinct(), "pairs")
+    pairs = stored(asked.join(members, ["fam", "element", "band", "grp"]).filter(can & once).select("fam", F.col("cls").alias("a"), "b").distinct(), "pairs")
     side = lambda c: diffs.select("fam", F.col("cls").alias(c), F.col("excess").alias(f"excess_{c}"), F.transform("diff", lambda x: x["element"]).alias(f"diff_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b").withColumnRenamed("fam", "fam_b"), "b").filter(F.col("fam") == F.col("fam_b"))
+    both = pairs.join(side("a"), ["fam", "a"]).join(side("b"), ["fam", "b"])
     both = both.filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * share)
     within = diffs.join(inner, "row").select(F.col("inner").alias("fam"), "cls", "n", F.size("diff").cast("long").alias("d"), F.transform("diff", lambda x: x["element"]).alias("diff"))
     return core_links.unionByName(both.select("a", "b")), within
 
 
-def labelled(links: DataFrame) -> DataFrame:
-    """(cls, comp) of what is linked: comp is the smallest cls that links reach. Each round takes the least label of the
-    neighbours, then the label of the label; only whether labels moved comes to the driver."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all that is linked but the smallest of what links reach: that smallest one, and itself."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(x):
+        x, y = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        x, y = x[x < y], y[x < y]
+        np.minimum.at(label, y, x)
+        while (label != label[label]).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[other]], ids[other]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what a task's links connect, MOST_LINKS or a batch at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        sides = [np.concatenate([np.zeros(0, np.int64), *(x.column(k).to_numpy() for x in held)]) for k in range(2)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*sides)], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= MOST_LINKS:
+            yield flush()
+    yield flush()
+
+
+def labelled(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """(cls, comp) of what is linked: comp is the smallest cls that links reach. Each task first leaves out links that its others imply.
+    If `most` or fewer stay, one task labels all. Else each round takes the least label of the neighbours, then the label of
+    the label; only whether labels moved comes to the driver."""
+    few = stored(links.select("a", "b").mapInArrow(tidy(_stars), "a long, b long"), "links")
+    if few.count() <= most:
+        done = stored(few.repartition(1).mapInArrow(tidy(_stars), "a long, b long"), "labels")
+        return done.select(F.col("b").alias("cls"), F.col("a").alias("comp")).union(done.select("a", "a").distinct())
+    both = stored(few.union(few.select("b", "a")).distinct(), "links")
     linked = stored(both.select(F.col("a").alias("cls")).distinct().withColumn("comp", F.col("cls")), "labels")
     while True:
         near = both.join(linked.select(F.col("cls").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
@@ -421,14 +459,15 @@ def _collisions(x: str, y: str) -> F.Column:
     return F.size(F.array_intersect(x, y))
 
 
-def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of classes of different families that collide in enough lists.
+def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tuple[int, int], visited: int = VISITED) -> tuple[DataFrame, DataFrame]:
+    """Of classes of different families that collide in enough lists: pairs (a, b) if both families have fewer than `visited` classes,
+    else visits (fam, cls) of the larger family by classes of the other.
 
-    lists: key, cls, n, fam, keys (the class's lists, rarest first), at (place of the list in keys), depth. A pair counts where
-    its first common lists are, not in each list that has both.
+    lists: key, cls, n, fam, size (of the family), keys (the class's lists, rarest first), at (place of the list in keys), depth. A pair
+    counts where its first common lists are, not in each list that has both.
     """
     part, whole = similarity
-    found = None
+    found = visits = None
     while True:
         shares = lists.groupBy("key", "fam").agg(F.count(F.lit(1)).alias("m"))
         sums = shares.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count(F.lit(1)).alias("fams"))
@@ -436,22 +475,33 @@ def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tupl
         open_ = stored(sums.filter("fams > 1").select("key", few_.alias("few")), "open")
         held = stored(lists.join(open_, "key"), "held")
         last = F.col("depth") >= matches
-        few = held.filter(F.col("few") | last).withColumn("before", F.slice("keys", F.lit(1), F.col("at") + 1))
-        other = few.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"), F.col("before").alias("before_b"))
-        can = (F.col("cls") < F.col("b")) & (F.col("fam") != F.col("fam_b")) & (F.least("n", "n_b") * whole >= F.greatest("n", "n_b") * part)
-        can = can & (_collisions("before", "before_b") == F.col("depth")) & (_collisions("keys", "keys_b") >= matches)
-        pairs = stored(few.join(other, (F.col("key") == F.col("k")) & can).select(F.col("cls").alias("a"), "b").distinct(), "across")
+        few = held.filter(F.col("few") | last)
+        alike = F.least("n", "n_b") * whole >= F.greatest("n", "n_b") * part
+        shared = _collisions("keys", "keys_b") >= matches
+        small = few.filter(F.col("size") < visited).withColumn("before", F.slice("keys", F.lit(1), F.col("at") + 1))
+        other = small.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"), F.col("before").alias("before_b"))
+        can = (F.col("cls") < F.col("b")) & (F.col("fam") != F.col("fam_b")) & alike & (_collisions("before", "before_b") == F.col("depth")) & shared
+        pairs = stored(small.join(other, (F.col("key") == F.col("k")) & can).select(F.col("cls").alias("a"), "b").distinct(), "across")
         found = pairs if found is None else found.union(pairs)
+        # a class asks each larger family of its list once, and whether one of its members is near is all that counts
+        large = few.filter(F.col("size") >= visited)
+        hosts = large.groupBy("key", F.col("fam").alias("host")).agg(F.first("size").alias("host_size"), F.min("n").alias("least"), F.max("n").alias("most"))
+        larger = F.struct("host_size", "host") > F.struct("size", "fam")
+        asks = few.join(hosts, "key").filter(larger & (F.col("n") * whole >= F.col("least") * part) & (F.col("most") * whole >= F.col("n") * part))
+        members = large.select(F.col("key").alias("k"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"))
+        near = asks.join(members, (F.col("key") == F.col("k")) & (F.col("host") == F.col("fam_b")) & alike & shared, "left_semi")
+        near = stored(near.select(F.col("host").alias("fam"), "cls").distinct(), "visits")
+        visits = near if visits is None else visits.union(near)
         many = held.filter(~F.col("few") & ~last)
         if many.isEmpty():
-            return found.distinct()
+            return found.distinct(), visits.distinct()
         stop = F.size("keys") - (matches - 1 - F.col("depth")) - 1  # a later place leaves too few lists to collide in
         again = many.filter(stop > F.col("at")).withColumn("next", F.explode(F.sequence(F.col("at") + 1, stop)))
         key = F.xxhash64("key", F.get("keys", F.col("next"))).alias("key")
-        lists = stored(again.select(key, "cls", "n", "fam", "keys", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")), "lists")
+        lists = stored(again.select(key, "cls", "n", "fam", "size", "keys", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")), "lists")
 
 
-def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES, family: int = FAMILY) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pairs: int = FEW_PAIRS, matches: int = MATCHES, family: int = FAMILY, visited: int = VISITED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     sketched = stored(_named(docs).mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketches")
     firsts = [F.first(F.col("keys")[k]).alias(f"k{k}") for k in range(COORDINATES)]
@@ -469,15 +519,18 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
     families = labelled(led.filter(F.col("collisions") >= LEADS))
 
     known = classes.select("h1", "h2", "n", "cls")
-    own = families.withColumnRenamed("comp", "fam").join(known.select("cls", "n"), "cls")
+    sizes = families.groupBy(F.col("comp").alias("fam")).agg(F.count(F.lit(1)).alias("size"))
+    families = stored(families.withColumnRenamed("comp", "fam").join(sizes, "fam"), "families")
+    in_lists = lists.join(families, "cls", "left").select("key", "cls", "at", F.coalesce("fam", "cls").alias("fam"), F.coalesce("size", F.lit(1)).alias("size"))
+    in_lists = in_lists.join(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), "cls").join(known.select("cls", "n"), "cls").withColumn("depth", F.lit(1))
+    pairs, visits = cross_pairs(in_lists, few_pairs, matches, similarity, visited)
+
+    own = families.select("fam", "cls").union(visits).join(known.select("cls", "n"), "cls")
     wanted = stored(_salted(own, "n", family).select("cls", "fam", "salt"), "wanted")
     links, large = _in_families(_sets_of(wanted, docs).withColumn("n", (F.octet_length("members") / 8).cast("long")), similarity)
     if not large.isEmpty():
         links = links.unionByName(large_family_links(large, similarity, family))
 
-    in_lists = lists.join(families, "cls", "left").select("key", "cls", "at", F.coalesce("comp", "cls").alias("fam"))
-    in_lists = in_lists.join(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), "cls").join(known.select("cls", "n"), "cls").withColumn("depth", F.lit(1))
-    pairs = cross_pairs(in_lists, few_pairs, matches, similarity)
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         sets = stored(_sets_of(stored(ends, "ends"), docs).distinct(), "sets")

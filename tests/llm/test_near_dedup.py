@@ -91,6 +91,31 @@ def test_a_second_version_has_its_own_centre(spark, monkeypatch, n):
     assert "pairs" in dict(seen) and sum(x for _, x in seen) <= n
 
 
+def test_who_is_near_a_large_family_visits_it_once(spark):
+    """Five classes collide with each of 100 members of a family, but are not of it; two of them collide with each other."""
+    row = lambda cls, fam, size, keys: [(k, cls, 50, fam, size, keys, at, 1) for at, k in enumerate(keys[:2])]
+    rows = [x for cls in range(100) for x in row(cls, 0, 100, [7, 8, 9])]
+    rows += [x for cls in range(200, 205) for x in row(cls, cls, 1, [8, 7, 9] if cls < 202 else [8, 7, 100 + cls])]
+    lists = spark.createDataFrame(rows, "key long, cls long, n long, fam long, size long, keys array<long>, at int, depth int")
+    pairs, visits = nd.cross_pairs(lists, 1 << 20, 3, (85, 100))
+    assert [(r.a, r.b) for r in pairs.collect()] == [(200, 201)]
+    assert sorted((r.fam, r.cls) for r in visits.collect()) == [(0, 200), (0, 201)]
+
+
+def test_visitors_are_linked(spark):
+    """Every family is visited, and texts of four lengths with a common passage collide across families."""
+    pick = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    passage, rows = pick.choices(words, k=60), []
+    for i in range(60):
+        copy = passage + pick.choices(words, k=5 * (i % 4) + 1)
+        for _ in range(pick.randrange(4)):
+            copy[pick.randrange(60)] = "edit%d" % pick.randrange(1000)
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(df, visited=2, family=8) == plain(rows)
+
+
 def direct(sets):
     """The components of sets of numbers, comparing all pairs."""
     up = list(range(len(sets)))
@@ -143,3 +168,13 @@ def test_components(spark):
     chain = spark.range(30).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.cls: r.comp for r in nd.components(nodes, chain).collect()}
     assert got == {k: 0 if k <= 30 else k for k in range(40)}
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_labels_in_a_task_and_in_rounds(spark, most):
+    pick = random.Random(3)
+    pairs = [(pick.randrange(300), pick.randrange(300)) for _ in range(140)] + [(400 + k, 401 + k) for k in range(20)] + [(500, k) for k in range(501, 520)] * 3
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = {r.cls: r.comp for r in nd.labelled(links, most).collect()}
+    want = {min(x): x for x in linked(520, pairs) if len(x) > 1}
+    assert got == {k: low for low, x in want.items() for k in x}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,7 @@ DISCOUNT = 0.5
 BLOCK_CHARS = 16_000_000
 BLOCK_WORDS = 1_000_000  # the cube of a block's words must fit in 63 bits
 OWNER_TOKENS = 2_000_000
+RUN_TOKENS = 200_000  # scored at a time
 
 Tree = dict[str, np.ndarray]
 
@@ -51,41 +53,48 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END.encode()]
 
 
+def _numbered(texts: pa.Array, number: dict[str, int]) -> list[np.ndarray]:
+    """tokens() of each text as numbers; what is new is numbered in turn."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = words.flatten().dictionary_encode()
+    end = number.setdefault(END, len(number))
+    there = flat.dictionary.to_pylist()
+    to = np.array([number.setdefault(w, len(number)) if w else end for w in there], np.uint32)  # '' is at the edges of texts
+    at = flat.indices.to_numpy()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    if "" in there:
+        full = at != there.index("")
+        at, of = at[full], of[full]
+    seq, ends = to[at], np.cumsum(np.bincount(of, minlength=len(texts)))
+    return [np.append(seq[x:y], np.uint32(end)) for x, y in zip([0, *ends[:-1]], ends, strict=False)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers, and the dictionary of each block with its counts in training texts."""
     task, turn = TaskContext.get().partitionId(), 0
-    number: dict[bytes, int] = {}
+    number: dict[str, int] = {}
     trained, size = [], 0
 
     def dictionary() -> pa.RecordBatch:
         seen = np.bincount(np.concatenate(trained), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
         n = len(number)
-        words = pa.array([w.decode() for w in number], pa.string())
+        words = pa.array(list(number), pa.string())
         empty = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *empty, pa.array(range(n), pa.int32()), words, pa.array(seen, pa.int64())], names)
 
     names = ["block", "doc_id", "held_out", "n_tokens", "numbers", "place", "word", "n"]
     block = task << 24
-    for part in (x for batch in batches for x in slices(batch, 2, BLOCK_CHARS // 4)):
-        ids, held, texts = (c.to_pylist() for c in part.columns)
-        packed, sizes, begin = [], [], 0
-        for k, text in enumerate(texts):
-            seq = np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32)
-            if not held[k]:
-                trained.append(seq)
-            packed.append(_pack(seq))
-            sizes.append(len(seq))
-            size += len(text or "")
-            full = size > BLOCK_CHARS or len(number) > BLOCK_WORDS
-            if full or k == len(texts) - 1:
-                n = len(packed)
-                empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(ids[begin : k + 1], pa.int64()), pa.array(held[begin : k + 1], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), *empty], names)
-                packed, sizes, begin = [], [], k + 1
-            if full:
-                yield dictionary()
-                turn += 1
-                block, number, trained, size = task << 24 | turn, {}, [], 0
+    for part in (x for batch in batches for x in slices(batch, 2, BLOCK_CHARS // 16)):
+        seqs, held = _numbered(part.column(2), number), part.column(1).to_pylist()
+        trained += [x for x, out in zip(seqs, held, strict=True) if not out]
+        n, size = len(seqs), size + part.column(2).nbytes
+        sizes, packed = pa.array([len(x) for x in seqs], pa.int64()), pa.array([_pack(x) for x in seqs], pa.binary())
+        empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), part.column(0), part.column(1), sizes, packed, *empty], names)
+        if size > BLOCK_CHARS or len(number) > BLOCK_WORDS:
+            yield dictionary()
+            turn += 1
+            block, number, trained, size = task << 24 | turn, {}, [], 0
     if number:
         yield dictionary()
 
@@ -140,8 +149,12 @@ def _triples(owners: int):
         c = np.concatenate(seqs)
         train = np.repeat(~docs["held_out"].to_numpy(bool), [len(x) for x in seqs])
         both = (b > 0) & (c > 0)
-        code, at = np.unique((b[both] * m + c[both]) * m + a[both], return_inverse=True)
-        n = np.bincount(at, train[both], minlength=len(code)).astype(np.int64)
+        keyed = ((b[both] * m + c[both]) * m + a[both]).astype(np.uint64) << np.uint64(1) | train[both]
+        keyed.sort()
+        code = keyed >> np.uint64(1)
+        starts = np.flatnonzero(np.diff(code, prepend=~np.uint64(0)))
+        n = np.add.reduceat((keyed & np.uint64(1)).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+        code = code[starts].astype(np.int64)
         pair, a = code // m, known[code % m]
         b, c = known[pair // m], known[pair % m]
         mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,9 +175,12 @@ GRAMS = "owner long, block long, g long, a long, b long, c long, n long, keys bi
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes that reach LEAST, and their sums."""
-    found, at = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), minlength=len(found)).astype(np.int64)
-    return found[n >= LEAST], n[n >= LEAST]
+    found = np.concatenate(codes)
+    order = np.argsort(found, kind="stable")  # codes of a block are sorted
+    found = found[order]
+    begins = np.flatnonzero(np.diff(found, prepend=-1))
+    n = np.add.reduceat(np.concatenate(counts)[order], begins) if len(begins) else np.zeros(0, np.int64)
+    return found[begins][n >= LEAST], n[n >= LEAST]
 
 
 def _among(wanted: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -316,21 +332,60 @@ def build_tree(codes: np.ndarray, n: np.ndarray, counts: np.ndarray, root: np.nd
 
 def _depth_one(tree: Tree, last: np.ndarray, token: np.ndarray, root: np.ndarray, m: int) -> np.ndarray:
     """log10 probability after one token of context (-1: not a symbol)."""
-    scale = np.nan_to_num(_look(tree["s1"], tree["scale1"], last))
-    entry = _look(tree["e1"], tree["p1"], np.where((last >= 0) & (token >= 0), last * m + token, -1))
-    return np.where(np.isnan(entry), scale + root, entry)
+    state = _find(tree, "s1", last)
+    out, inside = root.astype(float), np.flatnonzero(state >= 0)
+    out[inside] += tree["scale1"][state[inside]]
+    inside = inside[token[inside] >= 0]
+    entry = _find(tree, "e1", last[inside] * m + token[inside])  # only states have entries
+    out[inside[entry >= 0]] = tree["p1"][entry[entry >= 0]]
+    return out
 
 
 def score(tree: Tree, symbols: np.ndarray, root: np.ndarray, end: int) -> np.ndarray:
     """log10 probability of each token of a text, in the state of its longest retained context."""
+    return score_all(tree, symbols, root, end, np.zeros(1, np.int64))
+
+
+def score_all(tree: Tree, symbols: np.ndarray, root: np.ndarray, end: int, begins: np.ndarray) -> np.ndarray:
+    """score() of the tokens of texts that follow one another and begin at begins."""
     m = int(tree["m"])
-    last = np.concatenate([[end], symbols[:-1]])
-    first = np.concatenate([[-1], last[:-1]])
-    one = _depth_one(tree, last, symbols, root, m)
+    last, first = np.roll(symbols, 1), np.roll(symbols, 2)
+    last[begins] = end
+    first[begins[begins + 1 < len(symbols)] + 1] = end
+    first[begins] = -1  # last, for a text of one token is followed by another's first
     pair = np.where((first >= 0) & (last >= 0), first * m + last, -1)
-    scale = np.nan_to_num(_look(tree["s2"], tree["scale2"], pair))
-    entry = _look(tree["e2"], tree["p2"], np.where((pair >= 0) & (symbols >= 0), pair * m + symbols, -1))
-    return np.where(np.isnan(entry), scale + one, entry)
+    out, state = np.full(len(symbols), np.nan), _find(tree, "s2", pair)
+    inside = np.flatnonzero((state >= 0) & (symbols >= 0))
+    entry = _find(tree, "e2", pair[inside] * m + symbols[inside])
+    out[inside[entry >= 0]] = tree["p2"][entry[entry >= 0]]
+    rest = np.flatnonzero(np.isnan(out))
+    state, one = state[rest], _depth_one(tree, last[rest], symbols[rest], root[rest], m)
+    scale = np.zeros(len(rest))
+    scale[state >= 0] = tree["scale2"][state[state >= 0]]
+    out[rest] = scale + one
+    return out
+
+
+def _find(tree: Tree, name: str, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted keys, -1 where there is none. The index of the keys is made once for a tree."""
+    if not len(tree[name]):
+        return np.full(len(wanted), -1)
+    if f"{name} index" not in tree:
+        tree[f"{name} index"] = pd.Index(tree[name])
+    return tree[f"{name} index"].get_indexer(wanted)
+
+
+def _runs(seqs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """seqs in turn, so many at a time as have RUN_TOKENS tokens, one at least."""
+    held, n = [], 0
+    for x in seqs:
+        held.append(x)
+        n += len(x)
+        if n >= RUN_TOKENS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def _scorer(total: int, distinct: int):
@@ -357,10 +412,12 @@ def _scorer(total: int, distinct: int):
             tree |= {keys: code[order], values: value[order]}
         root = np.log10(count + 0.1) - low
         out = []
-        for packed in docs["numbers"]:
-            seq = _unpack(packed, 1)[0]
-            r = root[seq]
-            out.append((int((count[seq] > 0).sum()), float(r.sum()), float(score(tree, seq, r, seq[-1]).sum())))
+        for some in _runs(_unpack(x, 1)[0] for x in docs["numbers"]):
+            symbols, begins = np.concatenate(some), np.cumsum([0] + [len(x) for x in some[:-1]])
+            r = root[symbols]
+            found, end = score_all(tree, symbols, r, int(symbols[-1]), begins), begins + [len(x) for x in some]
+            known = np.add.reduceat(count[symbols] > 0, begins, dtype=np.int64)
+            out += [(int(k), float(r[x:y].sum()), float(found[x:y].sum())) for k, x, y in zip(known, begins, end, strict=True)]
         docs = docs.assign(**{k: [x[i] for x in out] for i, k in enumerate(("n_known", "base_score", "score"))})
         return docs[["doc_id", "no_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
 

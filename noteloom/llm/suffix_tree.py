@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -53,48 +52,41 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END.encode()]
 
 
-def _numbered(texts: pa.Array, number: dict[str, int]) -> list[np.ndarray]:
-    """tokens() of each text as numbers; what is new is numbered in turn."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat = words.flatten().dictionary_encode()
-    end = number.setdefault(END, len(number))
-    there = flat.dictionary.to_pylist()
-    to = np.array([number.setdefault(w, len(number)) if w else end for w in there], np.uint32)  # '' is at the edges of texts
-    at = flat.indices.to_numpy()
-    of = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
-    if "" in there:
-        full = at != there.index("")
-        at, of = at[full], of[full]
-    seq, ends = to[at], np.cumsum(np.bincount(of, minlength=len(texts)))
-    return [np.append(seq[x:y], np.uint32(end)) for x, y in zip([0, *ends[:-1]], ends, strict=False)]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers, and the dictionary of each block with its counts in training texts."""
     task, turn = TaskContext.get().partitionId(), 0
-    number: dict[str, int] = {}
+    number: dict[bytes, int] = {}
     trained, size = [], 0
 
     def dictionary() -> pa.RecordBatch:
         seen = np.bincount(np.concatenate(trained), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
         n = len(number)
-        words = pa.array(list(number), pa.string())
+        words = pa.array([w.decode() for w in number], pa.string())
         empty = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *empty, pa.array(range(n), pa.int32()), words, pa.array(seen, pa.int64())], names)
 
     names = ["block", "doc_id", "held_out", "n_tokens", "numbers", "place", "word", "n"]
     block = task << 24
-    for part in (x for batch in batches for x in slices(batch, 2, BLOCK_CHARS // 16)):
-        seqs, held = _numbered(part.column(2), number), part.column(1).to_pylist()
-        trained += [x for x, out in zip(seqs, held, strict=True) if not out]
-        n, size = len(seqs), size + part.column(2).nbytes
-        sizes, packed = pa.array([len(x) for x in seqs], pa.int64()), pa.array([_pack(x) for x in seqs], pa.binary())
-        empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), part.column(0), part.column(1), sizes, packed, *empty], names)
-        if size > BLOCK_CHARS or len(number) > BLOCK_WORDS:
-            yield dictionary()
-            turn += 1
-            block, number, trained, size = task << 24 | turn, {}, [], 0
+    for part in (x for batch in batches for x in slices(batch, 2, BLOCK_CHARS // 4)):
+        ids, held, texts = (c.to_pylist() for c in part.columns)
+        packed, sizes, begin = [], [], 0
+        for k, text in enumerate(texts):
+            seq = np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32)
+            if not held[k]:
+                trained.append(seq)
+            packed.append(_pack(seq))
+            sizes.append(len(seq))
+            size += len(text or "")
+            full = size > BLOCK_CHARS or len(number) > BLOCK_WORDS
+            if full or k == len(texts) - 1:
+                n = len(packed)
+                empty = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(ids[begin : k + 1], pa.int64()), pa.array(held[begin : k + 1], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), *empty], names)
+                packed, sizes, begin = [], [], k + 1
+            if full:
+                yield dictionary()
+                turn += 1
+                block, number, trained, size = task << 24 | turn, {}, [], 0
     if number:
         yield dictionary()
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from noteloom.sources.shared import folder, settled
 
+MOST_SENT = 1 << 19  # numbers of a table that goes through the driver to all tasks: some 20 MB there
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
@@ -43,6 +45,23 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are shuffled. Left to itself Spark sends a table to all tasks by the bytes of its
+    files; 10 MB of packed numbers are a hundred in the driver, which builds the table, and a query has many."""
+    return df.hint("merge")
+
+
+def spread_by_hash(df: DataFrame) -> DataFrame:
+    """The same for a side of few bytes a row, beside texts: a partition of it is held, so the texts aren't sorted."""
+    return df.hint("shuffle_hash")
+
+
+def sent(df: DataFrame, cells: Column | None = None, most: int | None = None, beyond: Callable[[DataFrame], DataFrame] = spread) -> DataFrame:
+    """A stored side of a join: sent to all tasks if it has few numbers (cells: those of a row, if there are lists), else spread()."""
+    total = df.agg(F.sum(F.lit(len(df.columns)) if cells is None else cells + len(df.columns))).first()[0] or 0
+    return F.broadcast(df) if total <= (MOST_SENT if most is None else most) else beyond(df)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """A batch in pieces whose strings or binaries in a column have about `size` bytes (a piece has one row at least).
     Only a piece is turned into Python objects at a time."""

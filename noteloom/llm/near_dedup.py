@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, stored, table, tidy
+from noteloom.llm.common import sent, slices, spread, spread_by_hash, stored, table, tidy
 
 WORDS = 5
 SIMILARITY = (85, 100)
@@ -50,7 +50,6 @@ FEW_PAIRS = 1 << 20
 FAMILY = 256  # classes of a family that one task may hold
 FAMILY_SHINGLES = 500_000  # and their shingles
 VISITED = 16  # classes of a family that others visit
-MOST_SENT = 1 << 20
 MOST_LINKS = 1 << 17  # that one task may label
 SEED = 11
 SLICE_BYTES = 1_000_000
@@ -140,11 +139,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (cls, and columns of whole numbers) with members, a row for each row of docs that has the id cls. Up to MOST_SENT
-    rows of wanted are sent to where the texts are; beyond that both move."""
-    sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    """wanted (cls, and columns of whole numbers) with members, a row for each row of docs that has the id cls. How they meet
+    is wanted's to say (sent() or spread_by_hash())."""
     rest = [c for c in wanted.columns if c != "cls"]
-    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(sent, "cls").select("cls", "text", *rest)
+    texts = _named(docs).select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls").select("cls", "text", *rest)
     return texts.mapInArrow(tidy(_sets), "cls long, members binary" + "".join(f", {c} long" for c in rest))
 
 
@@ -308,7 +306,7 @@ def _salted(rows: DataFrame, work: str, family: int) -> DataFrame:
     totals = rows.groupBy("fam").agg(F.count(F.lit(1)).alias("nf"), F.sum(work).alias("work")).filter("nf > 1")
     small = stored(totals.select("fam", ((F.col("nf") <= family) & (F.col("work") <= FAMILY_SHINGLES)).alias("small")), "totals")
     salt = F.when(F.col("small"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) + 1).cast("long")
-    return rows.join(small, "fam").withColumn("salt", salt).drop("small")
+    return rows.join(sent(small), "fam").withColumn("salt", salt).drop("small")
 
 
 def _in_families(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -338,23 +336,23 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     share = _share(similarity)
     counts = sets.select("fam", "members").mapInArrow(tidy(_shingle_counts), "fam long, element long, df long").groupBy("fam", "element").agg(F.sum("df").alias("df"))
     nf = stored(sets.groupBy("fam").agg(F.count(F.lit(1)).alias("nf")), "sizes")
-    counts = stored(counts.filter("df > 1").join(nf, "fam"), "shingles")
+    counts = stored(counts.filter("df > 1").join(sent(nf), "fam"), "shingles")
     centres = counts.filter(F.col("df") * 2 > F.col("nf")).groupBy("fam").agg(F.collect_list("element").alias("centre"))  # at most twice as large as the mean set
     numbered = sets.select("fam", "cls", F.monotonically_increasing_id().alias("row"), "n", "members")  # rows of one id may have different texts
-    rows = numbered.join(stored(centres, "centres"), "fam", "left").mapInArrow(tidy(_differences), "fam long, cls long, row long, n long, element long, has boolean")
+    rows = numbered.join(sent(stored(centres, "centres"), F.size("centre")), "fam", "left").mapInArrow(tidy(_differences), "fam long, cls long, row long, n long, element long, has boolean")
     often = F.when(F.col("has"), F.coalesce("df", F.lit(1))).otherwise(F.col("nf") - F.col("df"))  # who lacks it has a row of counts
-    rows = rows.join(counts, ["fam", "element"], "left").withColumn("often", often)
+    rows = rows.join(sent(counts), ["fam", "element"], "left").withColumn("often", often)
     diffs = rows.groupBy("fam", "cls", "row", "n").agg(F.array_sort(F.collect_list(F.when(F.isnotnull("element"), F.struct("often", "element")))).alias("diff"))
     diffs = stored(diffs.withColumn("excess", _excess(F.size("diff").cast("long"), F.col("n"), similarity)), "differences")
     least = diffs.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least")).select("fam", F.col("least.excess").alias("low"), F.col("least.cls").alias("first"))
-    first = diffs.join(stored(least, "least"), "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
+    first = diffs.join(sent(stored(least, "least")), "fam").withColumn("core", F.col("excess") + F.col("low") <= 0)
     edge = first.groupBy("fam").agg(F.min(F.when(~F.col("core"), F.col("excess"))).alias("edge")).filter("edge IS NOT NULL")
-    known = first.join(stored(edge, "edges"), "fam", "left")
+    known = first.join(sent(stored(edge, "edges")), "fam", "left")
     core_links = known.filter(F.col("core") & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
 
     far = first.filter(~F.col("core")).select("fam", "row", F.explode("diff.element").alias("element"))
     shared = far.groupBy("fam", "element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    inner = far.join(shared, ["fam", "element"]).groupBy("fam", "row").agg(F.max(F.struct("m", "element")).alias("most"))
+    inner = far.join(spread(shared), ["fam", "element"]).groupBy("fam", "row").agg(F.max(F.struct("m", "element")).alias("most"))
     inner = stored(inner.select("row", F.xxhash64("fam", "most.element").alias("inner")), "inner")
 
     other = F.when(F.col("core"), F.col("edge")).otherwise(F.col("low"))
@@ -362,7 +360,7 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     band = lambda x: F.floor(F.log2((x - F.col("low") + 1).cast("double"))).cast("int")
     kind = F.when(F.col("core"), F.lit(0)).when(F.isnotnull("inner"), F.lit(1)).otherwise(F.lit(2))
     which = F.when(F.col("core"), F.lit(0).cast("long")).otherwise(F.coalesce("inner", "row"))
-    open_ = known.filter("edge IS NOT NULL").join(inner, "row", "left").withColumn("grp", F.struct(kind.alias("kind"), which.alias("id")))
+    open_ = known.filter("edge IS NOT NULL").join(sent(inner), "row", "left").withColumn("grp", F.struct(kind.alias("kind"), which.alias("id")))
     open_ = open_.select("fam", "cls", "grp", "low", "excess", F.size("diff").alias("d"), need.alias("need"), "diff")
     posts = open_.select("fam", "cls", "grp", "low", "excess", "d", "need", F.posexplode("diff").alias("at", "x")).filter((F.col("at") <= F.col("d") - F.col("need")) & (F.col("x.often") > 1))
     left = F.col("d") - F.col("at")
@@ -374,13 +372,13 @@ def _level_links(sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFram
     groups = posts.groupBy("fam", "element", "band", "grp").agg(F.min("excess").alias("excess"), F.max("left").alias("left"), F.min("cls").alias("cls"))
     can = F.least("left", "left_b") * share >= F.col("excess") + F.col("excess_b")
     once = (F.col("own") > F.col("band")) | (F.col("b") > F.col("cls"))
-    asked = asks.join(groups, ["fam", "element", "band"]).filter(can & once & (F.col("grp") != F.col("grp_b"))).drop("excess", "left", "cls")
+    asked = asks.join(spread(groups), ["fam", "element", "band"]).filter(can & once & (F.col("grp") != F.col("grp_b"))).drop("excess", "left", "cls")
     members = posts.select("fam", "element", "band", "grp", "cls", "excess", "left")
-    pairs = stored(asked.join(members, ["fam", "element", "band", "grp"]).filter(can & once).select("fam", F.col("cls").alias("a"), "b").distinct(), "pairs")
+    pairs = stored(asked.join(sent(members), ["fam", "element", "band", "grp"]).filter(can & once).select("fam", F.col("cls").alias("a"), "b").distinct(), "pairs")
     side = lambda c: diffs.select("fam", F.col("cls").alias(c), F.col("excess").alias(f"excess_{c}"), F.transform("diff", lambda x: x["element"]).alias(f"diff_{c}"))
-    both = pairs.join(side("a"), ["fam", "a"]).join(side("b"), ["fam", "b"])
+    both = pairs.join(sent(side("a"), F.size("diff_a")), ["fam", "a"]).join(sent(side("b"), F.size("diff_b")), ["fam", "b"])
     both = both.filter(F.col("excess_a") + F.col("excess_b") <= F.size(F.array_intersect("diff_a", "diff_b")) * share)
-    within = diffs.join(inner, "row").select(F.col("inner").alias("fam"), "cls", "n", F.size("diff").cast("long").alias("d"), F.transform("diff", lambda x: x["element"]).alias("diff"))
+    within = diffs.join(sent(inner), "row").select(F.col("inner").alias("fam"), "cls", "n", F.size("diff").cast("long").alias("d"), F.transform("diff", lambda x: x["element"]).alias("diff"))
     return core_links.unionByName(both.select("a", "b")), within
 
 
@@ -425,10 +423,10 @@ def labelled(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     both = stored(few.union(few.select("b", "a")).distinct(), "links")
     linked = stored(both.select(F.col("a").alias("cls")).distinct().withColumn("comp", F.col("cls")), "labels")
     while True:
-        near = both.join(linked.select(F.col("cls").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        low = linked.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", "comp", F.least("comp", "near").alias("low"))
+        near = both.join(spread(linked.select(F.col("cls").alias("b"), F.col("comp").alias("near"))), "b").groupBy("a").agg(F.min("near").alias("near"))
+        low = linked.join(spread(near.withColumnRenamed("a", "cls")), "cls").select("cls", "comp", F.least("comp", "near").alias("low"))
         jump = linked.select(F.col("cls").alias("low"), F.col("comp").alias("further"))
-        after = stored(low.join(jump, "low").select("cls", F.least("low", "further").alias("comp"), (F.least("low", "further") != F.col("comp")).alias("moved")), "labels")
+        after = stored(low.join(spread(jump), "low").select("cls", F.least("low", "further").alias("comp"), (F.least("low", "further") != F.col("comp")).alias("moved")), "labels")
         linked = after.select("cls", "comp")
         if after.filter("moved").isEmpty():
             return linked
@@ -436,7 +434,7 @@ def labelled(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp) of all nodes; those without links are their own component."""
-    return nodes.select("cls").join(labelled(links), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+    return nodes.select("cls").join(spread(labelled(links)), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
 
 
 def _confirm(similarity: tuple[int, int]):
@@ -473,7 +471,7 @@ def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tupl
         sums = shares.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count(F.lit(1)).alias("fams"))
         few_ = (F.col("m") - F.col("top")) * F.col("m") <= few_pairs
         open_ = stored(sums.filter("fams > 1").select("key", few_.alias("few")), "open")
-        held = stored(lists.join(open_, "key"), "held")
+        held = stored(lists.join(sent(open_), "key"), "held")
         last = F.col("depth") >= matches
         few = held.filter(F.col("few") | last)
         alike = F.least("n", "n_b") * whole >= F.greatest("n", "n_b") * part
@@ -481,15 +479,15 @@ def cross_pairs(lists: DataFrame, few_pairs: int, matches: int, similarity: tupl
         small = few.filter(F.col("size") < visited).withColumn("before", F.slice("keys", F.lit(1), F.col("at") + 1))
         other = small.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"), F.col("before").alias("before_b"))
         can = (F.col("cls") < F.col("b")) & (F.col("fam") != F.col("fam_b")) & alike & (_collisions("before", "before_b") == F.col("depth")) & shared
-        pairs = stored(small.join(other, (F.col("key") == F.col("k")) & can).select(F.col("cls").alias("a"), "b").distinct(), "across")
+        pairs = stored(small.join(sent(other, F.size("keys_b")), (F.col("key") == F.col("k")) & can).select(F.col("cls").alias("a"), "b").distinct(), "across")
         found = pairs if found is None else found.union(pairs)
         # a class asks each larger family of its list once, and whether one of its members is near is all that counts
         large = few.filter(F.col("size") >= visited)
         hosts = large.groupBy("key", F.col("fam").alias("host")).agg(F.first("size").alias("host_size"), F.min("n").alias("least"), F.max("n").alias("most"))
         larger = F.struct("host_size", "host") > F.struct("size", "fam")
-        asks = few.join(hosts, "key").filter(larger & (F.col("n") * whole >= F.col("least") * part) & (F.col("most") * whole >= F.col("n") * part))
+        asks = few.join(spread(hosts), "key").filter(larger & (F.col("n") * whole >= F.col("least") * part) & (F.col("most") * whole >= F.col("n") * part))
         members = large.select(F.col("key").alias("k"), F.col("fam").alias("fam_b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"))
-        near = asks.join(members, (F.col("key") == F.col("k")) & (F.col("host") == F.col("fam_b")) & alike & shared, "left_semi")
+        near = asks.join(sent(members, F.size("keys_b")), (F.col("key") == F.col("k")) & (F.col("host") == F.col("fam_b")) & alike & shared, "left_semi")
         near = stored(near.select(F.col("host").alias("fam"), "cls").distinct(), "visits")
         visits = near if visits is None else visits.union(near)
         many = held.filter(~F.col("few") & ~last)
@@ -509,36 +507,36 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
     classes = stored(classes.select("h1", "h2", "n", "cls", F.array(*(f"k{k}" for k in range(COORDINATES))).alias("keys")), "classes")
     posted = classes.select("cls", F.explode("keys").alias("key"))
     sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = posted.join(sizes, "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("met"))  # at most COORDINATES
+    met = posted.join(spread(sizes), "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("met"))  # at most COORDINATES
     met = stored(met.filter(F.size("met") >= matches), "met")
     liked = F.aggregate("met", F.lit(0).cast("long"), lambda a, x: a + x["size"])
     lists = met.select("cls", liked.alias("liked"), F.posexplode(F.slice("met", F.lit(1), F.size("met") - matches + 1)).alias("at", "x"))
     lists = stored(lists.select(F.col("x.key").alias("key"), "cls", "liked", "at"), "lists")
     leaders = lists.groupBy("key").agg(F.max(F.struct("liked", "cls")).alias("top"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("top.cls").alias("leader"))
-    led = lists.join(leaders, "key").filter("leader <> cls").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
+    led = lists.join(spread(leaders), "key").filter("leader <> cls").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
     families = labelled(led.filter(F.col("collisions") >= LEADS))
 
     known = classes.select("h1", "h2", "n", "cls")
     sizes = families.groupBy(F.col("comp").alias("fam")).agg(F.count(F.lit(1)).alias("size"))
-    families = stored(families.withColumnRenamed("comp", "fam").join(sizes, "fam"), "families")
-    in_lists = lists.join(families, "cls", "left").select("key", "cls", "at", F.coalesce("fam", "cls").alias("fam"), F.coalesce("size", F.lit(1)).alias("size"))
-    in_lists = in_lists.join(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), "cls").join(known.select("cls", "n"), "cls").withColumn("depth", F.lit(1))
+    families = stored(families.withColumnRenamed("comp", "fam").join(spread(sizes), "fam"), "families")
+    in_lists = lists.join(sent(families), "cls", "left").select("key", "cls", "at", F.coalesce("fam", "cls").alias("fam"), F.coalesce("size", F.lit(1)).alias("size"))
+    in_lists = in_lists.join(sent(met.select("cls", F.transform("met", lambda x: x["key"]).alias("keys")), F.size("keys")), "cls").join(sent(known.select("cls", "n")), "cls").withColumn("depth", F.lit(1))
     pairs, visits = cross_pairs(in_lists, few_pairs, matches, similarity, visited)
 
-    own = families.select("fam", "cls").union(visits).join(known.select("cls", "n"), "cls")
+    own = families.select("fam", "cls").union(visits).join(sent(known.select("cls", "n")), "cls")
     wanted = stored(_salted(own, "n", family).select("cls", "fam", "salt"), "wanted")
-    links, large = _in_families(_sets_of(wanted, docs).withColumn("n", (F.octet_length("members") / 8).cast("long")), similarity)
+    links, large = _in_families(_sets_of(spread_by_hash(wanted), docs).withColumn("n", (F.octet_length("members") / 8).cast("long")), similarity)
     if not large.isEmpty():
         links = links.unionByName(large_family_links(large, similarity, family))
 
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        sets = stored(_sets_of(stored(ends, "ends"), docs).distinct(), "sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
+        sets = stored(_sets_of(sent(stored(ends, "ends"), beyond=spread_by_hash), docs).distinct(), "sets")
+        both = pairs.join(spread(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma"))), "a").join(spread(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb"))), "b")
         links = links.unionByName(both.select("a", "b", "ma", "mb").mapInArrow(tidy(_confirm(similarity)), "a long, b long"))
 
-    named = known.join(labelled(links), "cls", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
-    out = sketched.drop("keys").join(named, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
+    named = known.join(spread(labelled(links)), "cls", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
+    out = sketched.drop("keys").join(spread(named), ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

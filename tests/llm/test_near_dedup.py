@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noteloom.llm import common
 from noteloom.llm import near_dedup as nd
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -178,3 +179,33 @@ def test_labels_in_a_task_and_in_rounds(spark, most):
     got = {r.cls: r.comp for r in nd.labelled(links, most).collect()}
     want = {min(x): x for x in linked(520, pairs) if len(x) > 1}
     assert got == {k: low for low, x in want.items() for k in x}
+
+
+def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch):
+    """Tables beyond MOST_SENT are not broadcast by Spark's own choice either: it goes by the bytes of packed files."""
+    monkeypatch.setattr(common, "MOST_SENT", -1, raising=False)
+    plans, write = [], nd.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(nd, "stored", noted)
+    pick, rows = random.Random(6), []
+    for i in range(60):
+        words = [f"w{i % 3}x{k}" for k in range(80)]
+        for _ in range(i % 9):
+            words[pick.randrange(80)] = f"e{pick.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    out = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), family=4)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == plain(rows)
+    assert {"families", "visits", "differences", "posts", "pairs", "wanted", "out"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
+def test_few_numbers_are_sent(spark):
+    df = spark.createDataFrame([(1, [1] * 50), (2, [2] * 50)], "a long, b array<long>")
+    plan = lambda side: df.select("a").join(side, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(common.sent(df, F.size("b"), 104)) and "SortMergeJoin" in plan(common.sent(df, F.size("b"), 103))
+    assert "ShuffledHashJoin" in plan(common.spread_by_hash(df)) and "SortMergeJoin" in plan(common.spread(df))

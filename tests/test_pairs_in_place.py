@@ -77,3 +77,15 @@ def test_alignment_stores_no_grams(spark, monkeypatch):
     assert got == [(1, "c", 0, 0, 2), (2, "c", 0, 2, 2), (4, "c", 0, 0, 1)]
     texts = [f.name for schemas in stored.values() for schema in schemas for f in schema if "string" in f.dataType.simpleString()]
     assert "numbers" in stored and set(texts) == {"candidate"}
+
+
+def test_sums_are_over_the_matches(spark, monkeypatch):
+    """The sums are those of the rows that token_match_join() makes, one for each two equal tokens of a pair."""
+    texts = [("a b a", "a a c a"), ("a " * 300, "a " * 200), ("a", "b"), ("", "a"), (None, None)]
+    df = mt.token_pairs(spark.createDataFrame([(k, "c", 0, a, b) for k, (a, b) in enumerate(texts)], SCHEMA))
+    want = [(k, i, j) for k, (a, b) in enumerate(texts) for i, x in enumerate((a or "").split()) for j, y in enumerate((b or "").split()) if x == y]
+    join, seen = al.token_match_join, []
+    monkeypatch.setattr(al, "token_match_join", lambda pairs: seen.append(join(pairs)) or seen[-1])
+    sums = {r.source_id: (r.n, r.sum_i, r.sum_j) for r in al.token_match_sums(df).collect()}
+    assert sorted((r.source_id, r.i, r.j) for r in seen[0].collect()) == want
+    assert sums == {k: tuple(sum(x) for x in zip(*((1, i, j) for key, i, j in want if key == k), strict=True)) for k in (0, 1)}

@@ -89,3 +89,25 @@ def test_sums_are_over_the_matches(spark, monkeypatch):
     sums = {r.source_id: (r.n, r.sum_i, r.sum_j) for r in al.token_match_sums(df).collect()}
     assert sorted((r.source_id, r.i, r.j) for r in seen[0].collect()) == want
     assert sums == {k: tuple(sum(x) for x in zip(*((1, i, j) for key, i, j in want if key == k), strict=True)) for k in (0, 1)}
+
+
+def test_overlaps_write_out_no_grams(spark, monkeypatch):
+    """rouge and gram_overlap_join count n-grams by number where the pair is: no n-gram is a row or a text."""
+    from noteloom.operators import numbering
+
+    monkeypatch.setattr(numbering, "SLICE", 7)  # several slices of a batch
+    pick = random.Random(8)
+    texts = [(" ".join(pick.choices("abcd", k=pick.randrange(9))), " ".join(pick.choices("abcd", k=pick.randrange(9)))) for _ in range(40)] + [(None, "a b"), ("a b", None)]
+    df = mt.token_pairs(spark.createDataFrame([(k, "c", 0, a, b) for k, (a, b) in enumerate(texts)], SCHEMA))
+    bags = lambda t, n: Counter(zip(*((t or "").split()[i:] for i in range(n))))
+    for n in (1, 2, 3, 4):
+        want = {k: sum((bags(a, n) & bags(b, n)).values()) for k, (a, b) in enumerate(texts)}
+        assert {r.source_id: r.overlap for r in mt.gram_overlap_join(df, n).collect()} == {k: x for k, x in want.items() if x}
+    got = {r.source_id: r for r in mt.rouge(df).collect()}
+    for k, (a, b) in enumerate(texts):
+        for n in (1, 2):
+            both, one, two = (bags(a, n) & bags(b, n)).total(), bags(a, n).total(), bags(b, n).total()
+            assert got[k][f"rouge{n}_recall"] == (both / one if one else 0) and got[k][f"rouge{n}_precision"] == (both / two if two else 0)
+    for out in (mt.rouge(df), mt.gram_overlap_join(df, 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan

@@ -7,6 +7,7 @@ from statistics import median
 
 from noteloom.operators import alignment as al
 from noteloom.operators import metrics as mt
+from noteloom.operators import numbering
 from noteloom.plans import queries as plans
 from noteloom.sources import writers
 from noteloom.sources.shared import settled
@@ -105,3 +106,26 @@ def test_metrics_are_made_once_for_all_statistics(spark):
     assert made.value == 200
     assert got[None].n == 200 and got[None].p50_fidelity_score == median([r[2] for r in rows])
     assert got["c1"].p50_readability_score == median([r[3] for r in rows if r[1] == "c1"])
+
+
+ODD = [
+    "One, TWO!  Äö three?\n\tfour--five. ", "...", "a. A. b", "Йод. Ёж! ёж! Ёж", "", None, "1.5 is. not cut", "Kelvin. k elvin. İx i x. I x",
+    "# Head\n---\n*x* y_z. [00:01:02 - 00:03:04] b　c!　d", "12\n00:00:01,000 --> 00:00:02,000\n<b>x</b> 7\n\n 8 \n. x. x.", "\U0001f600 a.\U0001f600 b. c?\x85d", "the end", " the end.", "q" * 70,
+]
+
+
+def test_counts_of_texts_are_those_of_lists(spark, monkeypatch):
+    """Tokens and sentences found in a slice of texts are those of the expressions, for all pairs of odd texts and of the smallest scale."""
+    monkeypatch.setattr(numbering, "SLICE_BYTES", 300)
+    rows = [(len(ODD) * i + j, "c", 0, a, b) for i, a in enumerate(ODD) for j, b in enumerate(ODD)]
+    schema = "source_id long, candidate string, cand_ord int, source_text string, candidate_text string"
+    some = plans.fixture(spark, DATA, "fx_pairs").filter("source_id % 10 = 0")
+    pairs = settled(spark.createDataFrame(rows, schema).union(some.select(*schema.replace(",", "").split()[::2])), "odd")
+    want = mt.quality_metrics(al.counted(mt.sides(pairs)))
+    got = mt.quality_metrics(mt.with_sentences(al.counted_texts(mt.clean_sides(pairs)))).select(*want.columns)
+    assert sorted(map(tuple, got.na.fill(-1).collect())) == sorted(map(tuple, want.na.fill(-1).collect()))
+
+
+def test_quality_makes_no_lists(spark):
+    plan = plans.QUERIES["quality_metrics"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array<string>" not in plan

@@ -544,7 +544,7 @@ def near_dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, few_pa
 def drop_near(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, matches: int = MATCHES) -> DataFrame:
     """The rows of docs that stay, one of each group, with their columns as they were."""
     kept = near_dedup(docs, similarity, matches=matches).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return docs.join(spread_by_hash(kept), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

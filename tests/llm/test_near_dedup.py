@@ -209,3 +209,11 @@ def test_few_numbers_are_sent(spark):
     plan = lambda side: df.select("a").join(side, "a")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(common.sent(df, F.size("b"), 104)) and "SortMergeJoin" in plan(common.sent(df, F.size("b"), 103))
     assert "ShuffledHashJoin" in plan(common.spread_by_hash(df)) and "SortMergeJoin" in plan(common.spread(df))
+
+
+def test_ids_that_stay_are_not_sent(spark, monkeypatch):
+    """The pipeline's stage joins texts with the ids that stay, most of all: by a shuffle."""
+    monkeypatch.setattr(common, "MOST_SENT", -1, raising=False)
+    out = nd.drop_near(spark.createDataFrame([(k, f"a b c d e{k % 3}", "x") for k in range(9)], "doc_id long, text string, lang string"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]

@@ -121,11 +121,23 @@ def shared_counts(pair: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.
     return [np.bincount(owner, x, pairs).astype(np.int64) for x in (n > 0, k > 0, (n > 0) & (k > 0), np.minimum(n, k))]
 
 
-def _overlaps(sizes: tuple[int, ...]):
+def sides_in_texts(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """words_of() the texts of the first column, then of the second; a text that is there again, as a source for its candidates, is read once."""
+    known = pa.concat_arrays([pc.fill_null(batch.column(c), "") for c in (0, 1)]).dictionary_encode()
+    which = known.indices.to_numpy(zero_copy_only=False)
+    return [sides_of(x, which) for x in words_of(known.dictionary)]
+
+
+def _overlaps(sizes: tuple[int, ...], texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in row_slices(b, (0, 1))):
-            m, (a, b) = batch.num_rows, (list_begins(batch.column(c)) for c in (0, 1))
-            tokens = pa.concat_arrays([batch.column(c).flatten() for c in (0, 1)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        for batch in (x for b in batches for x in (text_slices if texts else row_slices)(b, (0, 1))):
+            m = batch.num_rows
+            if texts:
+                tokens, begin = sides_in_texts(batch)[0]
+                a, b = begin[: m + 1], begin[m:] - begin[m]
+            else:
+                a, b = (list_begins(batch.column(c)) for c in (0, 1))
+                tokens = pa.concat_arrays([batch.column(c).flatten() for c in (0, 1)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
             counts = [np.diff(a), np.diff(b)]
             for n in sizes:
                 found = gram_ids(tokens, n)
@@ -139,6 +151,7 @@ def _overlaps(sizes: tuple[int, ...]):
 
 def overlaps(pairs: DataFrame, key: list[str], *sizes: int) -> DataFrame:
     """(key, words_source, words_candidate, overlap<n> of each of the sizes): overlap<n> is the sum, over the n-grams that both sides of a pair have, of the
-    lesser count. pairs: with tokens st and ct. N-grams meet by their numbers where the pair is, so none is written out as a text."""
+    lesser count. pairs: with tokens st and ct, or with cleaned texts source_clean and candidate_clean. N-grams meet by their numbers where the pair is, so none is written out as a text."""
     schema = ", ".join([f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in key] + [f"{c} long" for c in ("words_source", "words_candidate", *(f"overlap{n}" for n in sizes))])
-    return pairs.select("st", "ct", *key).mapInArrow(_overlaps(sizes), schema)
+    texts = "source_clean" in pairs.columns
+    return pairs.select(*(("source_clean", "candidate_clean") if texts else ("st", "ct")), *key).mapInArrow(_overlaps(sizes, texts), schema)

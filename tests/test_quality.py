@@ -127,5 +127,15 @@ def test_counts_of_texts_are_those_of_lists(spark, monkeypatch):
 
 
 def test_quality_makes_no_lists(spark):
-    plan = plans.QUERIES["quality_metrics"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
-    assert "regexp_extract_all" not in plan and "array<string>" not in plan
+    for name in ("quality_metrics", "rouge", "gram_overlap_join"):
+        plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "array<string>" not in plan
+
+
+def test_overlaps_of_texts_are_those_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "SLICE_BYTES", 300)
+    rows = [(len(ODD) * i + j, "c", 0, a, b) for i, a in enumerate(ODD) for j, b in enumerate(ODD)]
+    pairs = settled(spark.createDataFrame(rows, "source_id long, candidate string, cand_ord int, source_text string, candidate_text string"), "odd")
+    texts, lists = mt.clean_sides(pairs), mt.token_pairs(pairs)
+    for f in (mt.rouge, lambda x: mt.gram_overlap_join(x, 2), lambda x: mt.gram_overlap_join(x, 1)):
+        assert sorted(map(tuple, f(texts).collect())) == sorted(map(tuple, f(lists).collect()))
